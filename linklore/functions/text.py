@@ -8,35 +8,57 @@ would change headlines.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _FRACTION_BITS = 52
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Name a value inside an expression, so it appears once in the tree."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def fixed(x: Column, digits: int, plus: bool = False) -> Column:
     """``x`` with ``digits`` decimals; ``plus`` writes the sign of positives."""
-    x = x.cast("double")
-    size = F.abs(x)
-    whole = F.floor(size).cast("bigint")
-    fraction = (size - whole) * F.lit(float(1 << _FRACTION_BITS))
-    bits = F.floor(fraction).cast("bigint")
-    inexact = fraction != bits.cast("double")
-    scaled = bits * F.lit(10**digits).cast("bigint")
-    kept = F.shiftright(scaled, _FRACTION_BITS)
-    rest = scaled.bitwiseAND(F.lit((1 << _FRACTION_BITS) - 1))
-    half = F.lit(1 << (_FRACTION_BITS - 1))
-    odd = ((whole if digits == 0 else kept) % 2) == 1
-    up = (rest > half) | ((rest == half) & (inexact | odd))
-    kept = kept + F.when(up, F.lit(1)).otherwise(F.lit(0)).cast("bigint")
-    carry = kept >= 10**digits
-    whole = whole + F.when(carry, 1).otherwise(0).cast("bigint")
-    kept = F.when(carry, F.lit(0).cast("bigint")).otherwise(kept)
-    sign = F.when(x < 0, F.lit("-")).otherwise(F.lit("+" if plus else ""))
-    parts = [sign, whole.cast("string")]
-    if digits:
-        parts += [F.lit("."), F.lpad(kept.cast("string"), digits, "0")]
-    return F.concat(*parts)
+    unit = 10**digits
+
+    def split(v: Column) -> Column:
+        whole = F.floor(F.abs(v)).cast("bigint")
+        fraction = (F.abs(v) - F.floor(F.abs(v))) * F.lit(float(1 << _FRACTION_BITS))
+        return let(F.struct(v.alias("v"), whole.alias("whole"), fraction.alias("fraction")), scale)
+
+    def scale(s: Column) -> Column:
+        bits = F.floor(s["fraction"]).cast("bigint")
+        return let(
+            F.struct(
+                s["v"].alias("v"),
+                s["whole"].alias("whole"),
+                (bits * F.lit(unit).cast("bigint")).alias("scaled"),
+                (F.floor(s["fraction"]) != s["fraction"]).alias("inexact"),
+            ),
+            rounded,
+        )
+
+    def rounded(s: Column) -> Column:
+        kept = s["whole"] * unit + F.shiftright(s["scaled"], _FRACTION_BITS)
+        rest = s["scaled"].bitwiseAND(F.lit((1 << _FRACTION_BITS) - 1))
+        half = F.lit(1 << (_FRACTION_BITS - 1))
+        up = (rest > half) | ((rest == half) & (s["inexact"] | (kept % 2 == 1)))
+        total = kept + F.when(up, 1).otherwise(0)
+        return let(F.struct(s["v"].alias("v"), total.alias("total")), show)
+
+    def show(s: Column) -> Column:
+        sign = F.when(s["v"] < 0, "-").otherwise("+" if plus else "")
+        whole = F.floor(s["total"] / unit).cast("bigint").cast("string")
+        if not digits:
+            return F.concat(sign, s["total"].cast("string"))
+        part = F.lpad((s["total"] % unit).cast("string"), digits, "0")
+        return F.concat(sign, whole, F.lit("."), part)
+
+    return let(x.cast("double"), split)
 
 
 def text(x: Column) -> Column:
@@ -53,6 +75,10 @@ def _ladder(x: Column, steps: list[tuple[float, int, str]], otherwise: Column) -
 
 def rate(bps: Column) -> Column:
     """A bit rate with one unit per magnitude."""
+    return let(bps, _rate)
+
+
+def _rate(bps: Column) -> Column:
     steps = [(1e9, 2, " Gbps"), (1e6, 1, " Mbps"), (1e3, 0, " Kbps")]
     small = F.when(bps > 0, F.concat(fixed(bps, 0), F.lit(" bps"))).otherwise("idle")
     return _ladder(bps, steps, small)

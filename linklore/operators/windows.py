@@ -18,6 +18,7 @@ from ..plans.sequence import (
     frame_list,
     frame_sum,
     last_known,
+    position,
     previous,
     running,
     scan,
@@ -122,7 +123,7 @@ def association_epochs(rec: Recording) -> DataFrame:
         & before["bssid"].eqNullSafe(F.col("bssid"))
     )
     df = scan(
-        df.drop("before").withColumn("starts", ~same),
+        df.withColumn("starts", ~same).drop("before"),
         SESSION,
         rec.layout,
         epoch=running(F.col("starts").cast("int")),
@@ -146,6 +147,13 @@ def signal_window(rec: Recording) -> DataFrame:
         **half_frames("rssi_dbm", p.us(p.signal_lookback), p, "rule"),
         **half_frames("rssi_dbm", p.us(p.card_lookback), p, "card"),
     )
+    # Only a row with a reading evicts, so a row without one keeps the count.
+    df = scan(
+        df.withColumn("samples", F.when(F.col("rssi_dbm").isNotNull(), F.col("samples"))),
+        [*SESSION, "epoch"],
+        rec.layout,
+        retained=last_known(F.col("samples")),
+    ).withColumn("samples", F.coalesce("retained", F.lit(0).cast("bigint")))
     return df.select(
         *BASE,
         "ssid",
@@ -153,6 +161,7 @@ def signal_window(rec: Recording) -> DataFrame:
         "rssi_dbm",
         "epoch",
         "identity_key",
+        "since_us",
         L.active_duration(F.col("since_us"), F.col("at_us"), p).alias("associated_secs"),
         "samples",
         half_delta("rule").alias("rssi_delta"),
@@ -342,8 +351,6 @@ def _last_probes(gateway: DataFrame, n: int, layout: Layout) -> DataFrame:
     cols = gateway.columns
     part = list(SESSION)
     if layout.split:
-        from ..plans.sequence import position
-
         width = max(layout.segment_rows, n)
         df = scan(gateway, SESSION, layout, _pos=position())
         df = df.withColumn("_own", F.floor((F.col("_pos") - 1) / width).cast("bigint"))

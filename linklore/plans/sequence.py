@@ -46,7 +46,7 @@ class Layout:
 WHOLE = Layout()
 
 #: A session above this many rows is cut into segments.
-MAX_SESSION_ROWS = 4_000_000
+MAX_SESSION_ROWS = 1_000_000
 
 
 def choose_layout(log: DataFrame, max_rows: int = MAX_SESSION_ROWS) -> Layout:
@@ -83,6 +83,14 @@ def last_known(value: Column) -> _Spec:
     return _Spec("last", value)
 
 
+def running_max(value: Column) -> _Spec:
+    return _Spec("max", value)
+
+
+def running_min(value: Column) -> _Spec:
+    return _Spec("min", value)
+
+
 def position() -> _Spec:
     """1, 2, 3 ... in order."""
     return running(F.lit(1))
@@ -140,6 +148,8 @@ def _local(specs: dict[str, _Spec], keys: list[str], order: list[str]) -> list[C
             col = F.lag(s.value).over(w)
         elif s.kind == "running":
             col = F.sum(s.value).over(upto)
+        elif s.kind in ("max", "min"):
+            col = _extreme(s.kind)(s.value).over(upto)
         else:
             col = F.last(s.value, ignorenulls=True).over(upto)
         out.append(col.alias(name))
@@ -151,6 +161,8 @@ def _summary(s: _Spec, rank: Column) -> Column:
         return F.max_by(s.value, rank)
     if s.kind == "running":
         return F.sum(s.value)
+    if s.kind in ("max", "min"):
+        return _extreme(s.kind)(s.value)
     return F.max_by(s.value, F.when(s.value.isNotNull(), rank))
 
 
@@ -158,15 +170,24 @@ def _carry(s: _Spec, name: str, before) -> Column:
     col = F.col(f"_sum_{name}")
     if s.kind == "running":
         return F.sum(col).over(before)
+    if s.kind in ("max", "min"):
+        return _extreme(s.kind)(col).over(before)
     return F.last(col, ignorenulls=True).over(before)
 
 
 def _combine(s: _Spec, name: str) -> Column:
     if s.kind == "running":
         return F.col(name) + F.coalesce(F.col(f"_carry_{name}"), F.lit(0).cast("bigint"))
+    if s.kind in ("max", "min"):
+        pick = F.greatest if s.kind == "max" else F.least
+        return pick(F.col(name), F.col(f"_carry_{name}"))
     return F.coalesce(F.col(name), F.col(f"_carry_{name}"))
 
 
+def _extreme(kind: str):
+    return F.max if kind == "max" else F.min
+
+
 # --------------------------------------------------------------------------
 # trailing time frames
 
@@ -269,8 +290,11 @@ def settle(df: DataFrame, layout: Layout) -> DataFrame:
     """Cut the plan before a split prefix reads its input twice, so that chained
     prefixes cost one pass each instead of doubling.  Reliable checkpoint only:
     it outlives lost executors."""
-    if not layout.split:
-        return df
+    return materialize(df) if layout.split else df
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write an intermediate once to the shared checkpoint folder."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 

@@ -96,11 +96,12 @@ def dns(df: DataFrame) -> DataFrame:
 def wifi(df: DataFrame) -> DataFrame:
     k = F.col("k")
     number = _pick(CHANNELS, k % 5, "int")
-    bssid = F.when(k % 25 != 0, F.concat(F.lit("b"), (k % 4).cast("string")))
+    home = F.concat(F.lit("b"), (F.floor(F.col("day") / 6) % 4).cast("string"))
+    bssid = F.when(k == 1, "b9").when(k != 0, home)
     return df.select(
         *BASE,
         F.lit("en0").alias("interface"),
-        F.concat(F.lit("s"), F.floor(k / 50).cast("string")).alias("ssid"),
+        F.concat(F.lit("s"), F.floor(F.col("day") / 16).cast("string")).alias("ssid"),
         bssid.alias("bssid"),
         (-30 - F.col("value").cast("int") % 60).alias("rssi_dbm"),
         F.lit(-95).alias("noise_dbm"),
