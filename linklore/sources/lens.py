@@ -149,12 +149,31 @@ def counters(df: DataFrame, layout: Layout) -> DataFrame:
     )
 
 
+def _sensor() -> Column:
+    return F.when(F.col("k") % 6 == 0, "wifi").otherwise("iface")
+
+
+def _state() -> Column:
+    return _pick(STATES, F.floor(F.col("k") / 6) % 3, "string")
+
+
+def _source() -> Column:
+    variant = _variant()
+    return (
+        F.when(variant == "GatewayLatency", "gateway")
+        .when(variant == "DnsLatency", "dns")
+        .when(variant == "InterfaceCounters", "iface")
+        .when(variant == "SensorHealth", _sensor())
+        .otherwise("wifi")
+    )
+
+
 def health(df: DataFrame) -> DataFrame:
     k = F.col("k")
     return df.where(k % 3 == 0).select(
         *BASE,
-        F.when(k % 6 == 0, "wifi").otherwise("iface").alias("sensor"),
-        _pick(STATES, F.floor(k / 6) % 3, "string").alias("state"),
+        _sensor().alias("sensor"),
+        _state().alias("state"),
         F.lit("lens").alias("backend"),
         F.lit(None).cast("string").alias("detail"),
     )
@@ -222,7 +241,12 @@ def recording(
             "scans": scans,
             "counters": counters(events(spark, sf_dir, "purchase"), layout),
             "health": health(signup),
-            "log": log.select(*BASE, _variant().alias("event_type")),
+            "log": log.select(
+                *BASE,
+                _variant().alias("event_type"),
+                _source().alias("source"),
+                F.when(_variant() == "SensorHealth", _state()).alias("health_state"),
+            ),
         },
         heard,
         layout,

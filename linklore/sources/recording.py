@@ -60,6 +60,17 @@ STREAMS: dict[str, tuple[str, str]] = {
     ),
     "health": ("SensorHealth", "sensor string, state string, backend string, detail string"),
 }
+# The sensor that publishes each stream (health: the sensor itself).
+SOURCE = {
+    "gateway": "gateway",
+    "dns": "dns",
+    "wifi": "wifi",
+    "scans": "wifi",
+    "counters": "iface",
+    "iface_states": "iface",
+    "roams": "analysis",
+    "findings": "analysis",
+}
 NEIGHBORS = (
     "scan_seq bigint, pos int, bssid string, ssid string, rssi_dbm int, "
     "channel_number int, channel_band string, channel_width string, "
@@ -105,13 +116,24 @@ class Recording:
         )
 
     def log(self) -> DataFrame:
-        """Every event, without its payload."""
+        """Every event without its payload: ``event_type``, ``source``, and
+        ``health_state`` for sensor health."""
         if "log" in self.streams:
             return self.streams["log"]
-        parts = [
-            df.select(*BASE, F.lit(STREAMS[name][0]).alias("event_type"))
-            for name, df in self.streams.items()
-        ]
+        parts = []
+        for name, df in self.streams.items():
+            is_health = name == "health"
+            source = F.col("sensor") if is_health else F.lit(SOURCE[name])
+            parts.append(
+                df.select(
+                    *BASE,
+                    F.lit(STREAMS[name][0]).alias("event_type"),
+                    source.alias("source"),
+                    (F.col("state") if is_health else F.lit(None).cast("string")).alias(
+                        "health_state"
+                    ),
+                )
+            )
         return reduce(DataFrame.unionByName, parts)
 
     def wifi_lost(self) -> DataFrame:
