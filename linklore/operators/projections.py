@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ladders as L
-from ..functions.text import byte_size, duration, fixed
+from ..functions.text import byte_size, duration, fixed, let
 from ..plans.sequence import last_known, scan
 from ..sources.recording import BASE, Recording
 from . import lifecycle
@@ -345,23 +345,35 @@ def _history(df: DataFrame, n: int, *cols: str) -> DataFrame:
     )
 
 
-def _persistence(same: Column, p) -> Column:
+def _persistence(agreement: Column, p) -> Column:
     """Whole seconds for which the trailing rows have agreed with the last one;
-    null under three.  ``same`` is an array of (at_us, same, seq)."""
-    broke = F.array_max(F.transform(F.filter(same, lambda x: ~x["same"]), lambda x: x["seq"]))
-    held = F.filter(same, lambda x: broke.isNull() | (x["seq"] > broke))
-    secs = L.active_duration(
-        F.element_at(held, 1)["at_us"], F.element_at(held, -1)["at_us"], p
-    )
-    return F.when(secs >= 3, secs)
+    null under three.  ``agreement`` is an array of (at_us, same, seq)."""
+
+    def held(rows: Column) -> Column:
+        broke = F.array_max(F.transform(F.filter(rows, lambda x: ~x["same"]), lambda x: x["seq"]))
+        return let(
+            F.struct(rows.alias("rows"), broke.alias("broke")),
+            lambda s: let(
+                F.filter(
+                    s["rows"], lambda x: s["broke"].isNull() | (x["seq"] > s["broke"])
+                ),
+                lambda run: L.active_duration(
+                    F.element_at(run, 1)["at_us"], F.element_at(run, -1)["at_us"], p
+                ),
+            ),
+        )
+
+    return let(let(agreement, held), lambda secs: F.when(secs >= 3, secs))
 
 
 def _agreement(cls) -> Column:
-    last = cls(F.element_at("h", -1))
-    return F.transform(
-        "h",
-        lambda x: F.struct(
-            x["at_us"].alias("at_us"), (cls(x) == last).alias("same"), x["seq"].alias("seq")
+    return let(
+        cls(F.element_at("h", -1)),
+        lambda last: F.transform(
+            "h",
+            lambda x: F.struct(
+                x["at_us"].alias("at_us"), (cls(x) == last).alias("same"), x["seq"].alias("seq")
+            ),
         ),
     )
 

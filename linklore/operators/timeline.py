@@ -20,6 +20,8 @@ from . import windows as W
 EVALUATED = ("GatewayLatency", "DnsLatency", "Scan", "Wifi")
 INSTANT = ["at_us", "is_tick", "seq"]
 _TICKS_PER_CHUNK = 4096
+# Places in a scan below 2^43, signals within +-2^19 dBm.
+_PLACE_BITS = 43
 
 
 def slice_of(layout: Layout, at_us: str = "at_us") -> Column | None:
@@ -76,13 +78,17 @@ def same_ssid_best(rec: Recording) -> DataFrame:
     known = rec.neighbors.where(
         F.col("ssid").isNotNull() & F.col("bssid").isNotNull() & F.col("rssi_dbm").isNotNull()
     )
+    # One whole number orders by signal and then by place in the scan, so the
+    # grouping stays a hash aggregate (a struct maximum would sort every row).
+    strength = F.shiftleft(F.col("rssi_dbm").cast("bigint"), _PLACE_BITS) - F.col("pos")
     per_ap = known.groupBy("session_id", "scan_seq", "ssid", "bssid").agg(
-        F.max(F.struct("rssi_dbm", (-F.col("pos")).alias("order"))).alias("top")
+        F.max(strength).alias("strength")
     )
     rank = F.row_number().over(
-        Window.partitionBy("session_id", "scan_seq", "ssid").orderBy(F.desc("top"))
+        Window.partitionBy("session_id", "scan_seq", "ssid").orderBy(F.desc("strength"))
     )
-    ap = F.struct("bssid", F.col("top.rssi_dbm").alias("rssi_dbm"))
+    rssi = F.shiftright(F.col("strength") + ((1 << _PLACE_BITS) - 1), _PLACE_BITS)
+    ap = F.struct("bssid", rssi.cast("int").alias("rssi_dbm"))
     return (
         per_ap.withColumn("rank", rank)
         .where(F.col("rank") <= 2)

@@ -201,9 +201,9 @@ class _Frame:
 
 
 def frame_sum(value: Column, start_us: int, end_us: int | None = None) -> _Frame:
-    """Sum over rows with ``at - start <= at' < at - end``.  Without ``end``
-    the frame closes at this row (rows of equal time count only when they
-    come before it)."""
+    """Sum of whole numbers over rows with ``at - start <= at' < at - end``.
+    Without ``end`` the frame closes at this row (rows of equal time count only
+    when they come before it)."""
     return _Frame("sum", value, start_us, end_us)
 
 
@@ -265,21 +265,26 @@ def _frame(f: _Frame, part: list[str], order: list[str]) -> Column:
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    if f.end is not None:
-        earlier, with_peers = by_time.rangeBetween(-f.start, -f.end - 1), False
-    else:
-        earlier, with_peers = by_time.rangeBetween(-f.start, -1), True
     if f.kind == "earliest":
-        return F.min(f.value).over(earlier)
+        return F.min(f.value).over(by_time.rangeBetween(-f.start, -1))
     if f.kind == "list":
+        earlier = by_time.rangeBetween(-f.start, -1)
         return F.concat(
             F.collect_list(f.value).over(earlier), F.collect_list(f.value).over(peers)
         )
-    agg = F.sum if f.kind == "sum" else F.count
-    total = F.coalesce(agg(f.value).over(earlier), F.lit(0))
-    if with_peers:
-        total = total + F.coalesce(agg(f.value).over(peers), F.lit(0))
-    return total.cast("bigint")
+
+    def total(over) -> Column:
+        agg = F.sum if f.kind == "sum" else F.count
+        return F.coalesce(agg(f.value).over(over), F.lit(0)).cast("bigint")
+
+    def before(offset: int) -> Column:
+        """Everything more than ``offset`` back.  A frame that only grows costs
+        one step per row, a sliding one is summed again for every row."""
+        return total(by_time.rangeBetween(Window.unboundedPreceding, -offset - 1))
+
+    if f.end is not None:
+        return before(f.end) - before(f.start)
+    return before(0) + total(peers) - before(f.start)
 
 
 # --------------------------------------------------------------------------

@@ -8,15 +8,12 @@ access points of a scan are the line items of one part.
 
 from __future__ import annotations
 
-from dataclasses import replace
-from functools import lru_cache
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ladders as L
 from ..params import Params
-from ..plans.sequence import Layout, choose_layout, position, running, scan
+from ..plans.sequence import Layout, choose_layout, running, scan
 from .recording import BASE, Recording
 
 HOUR_US = 3_600_000_000
@@ -36,8 +33,9 @@ def epoch_us(ts: Column) -> Column:
     return F.unix_micros(F.from_utc_timestamp(ts.cast("timestamp"), F.current_timezone()))
 
 
-def events(spark: SparkSession, sf_dir: str, event_type: str | None = None) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/events.parquet")
+def events(raw: DataFrame, event_type: str | None = None) -> DataFrame:
+    """The event table as session rows; a type filter reaches the scan."""
+    df = raw
     if event_type:
         df = df.where(F.col("event_type") == event_type)
     return df.select(
@@ -51,11 +49,11 @@ def events(spark: SparkSession, sf_dir: str, event_type: str | None = None) -> D
     )
 
 
-def layout_of(spark: SparkSession, sf_dir: str) -> Layout:
+def layout_of(raw: DataFrame, sf_dir: str) -> Layout:
     """Session layout, measured once per application and folder."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (raw.sparkSession.sparkContext.applicationId, sf_dir)
     if key not in _layouts:
-        _layouts[key] = choose_layout(events(spark, sf_dir))
+        _layouts[key] = choose_layout(events(raw))
     return _layouts[key]
 
 
@@ -219,40 +217,43 @@ def recording(
     layout: Layout | None = None,
     params: Params = LENS_PARAMS,
 ) -> Recording:
-    layout = layout or layout_of(spark, sf_dir)
-    signup = events(spark, sf_dir, "signup")
-    scan_rows = signup.where(F.col("k") % 3 != 0).select(*BASE)
-    heard = neighbors(scan_rows, spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
-    sizes = heard.groupBy("session_id", F.col("scan_seq").alias("seq")).agg(
-        F.count(F.lit(1)).alias("n_neighbors")
-    )
-    scans = scan_rows.join(sizes, ["session_id", "seq"], "left").select(
-        *BASE,
-        F.lit("en0").alias("interface"),
-        F.coalesce("n_neighbors", F.lit(0).cast("bigint")).alias("n_neighbors"),
-    )
-    log = events(spark, sf_dir)
-    return Recording(
-        spark,
-        {
-            "gateway": gateway(events(spark, sf_dir, "view")),
-            "dns": dns(events(spark, sf_dir, "error")),
-            "wifi": wifi(events(spark, sf_dir, "click")),
-            "scans": scans,
-            "counters": counters(events(spark, sf_dir, "purchase"), layout),
-            "health": health(signup),
-            "log": log.select(
-                *BASE,
-                _variant().alias("event_type"),
-                _source().alias("source"),
-                F.when(_variant() == "SensorHealth", _state()).alias("health_state"),
-            ),
-        },
-        heard,
-        layout,
-        params,
-        "bigint",
-    )
+    raw = spark.read.parquet(f"{sf_dir}/events.parquet")
+    layout = layout or layout_of(raw, sf_dir)
+
+    def scan_rows() -> DataFrame:
+        return events(raw, "signup").where(F.col("k") % 3 != 0).select(*BASE)
+
+    def heard() -> DataFrame:
+        return neighbors(scan_rows(), spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+
+    def scans() -> DataFrame:
+        sizes = heard().groupBy("session_id", F.col("scan_seq").alias("seq")).agg(
+            F.count(F.lit(1)).alias("n_neighbors")
+        )
+        return scan_rows().join(sizes, ["session_id", "seq"], "left").select(
+            *BASE,
+            F.lit("en0").alias("interface"),
+            F.coalesce("n_neighbors", F.lit(0).cast("bigint")).alias("n_neighbors"),
+        )
+
+    def log() -> DataFrame:
+        return events(raw).select(
+            *BASE,
+            _variant().alias("event_type"),
+            _source().alias("source"),
+            F.when(_variant() == "SensorHealth", _state()).alias("health_state"),
+        )
+
+    streams = {
+        "gateway": lambda: gateway(events(raw, "view")),
+        "dns": lambda: dns(events(raw, "error")),
+        "wifi": lambda: wifi(events(raw, "click")),
+        "scans": scans,
+        "counters": lambda: counters(events(raw, "purchase"), layout),
+        "health": lambda: health(events(raw, "signup")),
+        "log": log,
+    }
+    return Recording(spark, streams, heard, layout, params, "bigint")
 
 
 def _variant() -> Column:

@@ -8,6 +8,7 @@ one array.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -80,15 +81,20 @@ NEIGHBORS = (
 
 @dataclass(frozen=True)
 class Recording:
+    """``streams`` and ``neighbor_rows`` hold DataFrames, or functions that
+    build one when it is first asked for."""
+
     spark: SparkSession
-    streams: dict[str, DataFrame]
-    neighbor_rows: DataFrame | None = None
+    streams: dict[str, DataFrame | Callable[[], DataFrame]]
+    neighbor_rows: DataFrame | Callable[[], DataFrame] | None = None
     layout: Layout = WHOLE
     params: Params = field(default=DEFAULTS)
     session_type: str = "string"
 
     def stream(self, name: str) -> DataFrame:
         if name in self.streams:
+            if callable(self.streams[name]):
+                self.streams[name] = self.streams[name]()
             return self.streams[name]
         return self._empty(STREAMS[name][1])
 
@@ -110,7 +116,7 @@ class Recording:
     def neighbors(self) -> DataFrame:
         """One row per access point heard by a scan (``scan_seq``)."""
         if self.neighbor_rows is not None:
-            return self.neighbor_rows
+            return self.neighbor_rows() if callable(self.neighbor_rows) else self.neighbor_rows
         return self.spark.createDataFrame(
             [], f"session_id {self.session_type}, {NEIGHBORS}"
         )
@@ -119,9 +125,10 @@ class Recording:
         """Every event without its payload: ``event_type``, ``source``, and
         ``health_state`` for sensor health."""
         if "log" in self.streams:
-            return self.streams["log"]
+            return self.stream("log")
         parts = []
-        for name, df in self.streams.items():
+        for name in self.streams:
+            df = self.stream(name)
             is_health = name == "health"
             source = F.col("sensor") if is_health else F.lit(SOURCE[name])
             parts.append(
@@ -167,8 +174,8 @@ class Recording:
 
         return Recording(
             self.spark,
-            {name: cut(df, "seq") for name, df in self.streams.items()},
-            None if self.neighbor_rows is None else cut(self.neighbor_rows, "scan_seq"),
+            {name: (lambda n=name: cut(self.stream(n), "seq")) for name in self.streams},
+            None if self.neighbor_rows is None else (lambda: cut(self.neighbors, "scan_seq")),
             self.layout,
             self.params,
             self.session_type,
