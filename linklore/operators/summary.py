@@ -69,13 +69,18 @@ def running_tally(rec: Recording) -> DataFrame:
     per_interval = rec.log().groupBy(*SESSION, start.alias("window_us")).agg(
         *[F.count_if(F.col("event_type") == v).alias(n) for v, n in names.items()]
     )
+    return accumulate(per_interval)
+
+
+def accumulate(per_interval: DataFrame) -> DataFrame:
+    """Interval counts to running totals."""
     upto = (
         Window.partitionBy(*SESSION)
         .orderBy("window_us")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return per_interval.select(
-        *SESSION, "window_us", *[F.sum(n).over(upto).alias(n) for n in names.values()]
+        *SESSION, "window_us", *[F.sum(n).over(upto).alias(n) for n in TALLIED]
     )
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,9 +22,18 @@ from ..operators import rules as R
 from ..operators import summary as S
 from ..operators import timeline as TL
 from ..operators import windows as W
-from ..sources import lens
+from ..functions import normalize as N
+from ..sources import lens, probes
 from ..sources.recording import BASE, Recording
-from .sequence import last_known, position, scan
+from ..sources.session_files import (
+    assign_ids,
+    deduplicate,
+    envelopes_of,
+    read_sessions,
+    write_sessions,
+)
+from ..streaming import tail as stream
+from .sequence import scratch_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -178,8 +187,6 @@ def _elapsed(rec: Recording) -> DataFrame:
 
 def _dedup(rec: Recording) -> DataFrame:
     """A recorder that started mid-stream writes its backlog twice."""
-    from ..sources.session_files import deduplicate
-
     twice = rec.log().unionByName(P.backlog(rec, 50))
     return deduplicate(twice.withColumn("id", F.col("seq"))).groupBy("session_id").agg(
         F.count(F.lit(1)).alias("n"), F.sum("seq").alias("seq_sum")
@@ -187,8 +194,6 @@ def _dedup(rec: Recording) -> DataFrame:
 
 
 def _assigned(rec: Recording) -> DataFrame:
-    from ..sources.session_files import assign_ids
-
     return assign_ids(rec.log(), rec.layout).select(*BASE, "id")
 
 
@@ -233,6 +238,136 @@ def _epochs(rec: Recording) -> DataFrame:
     return W.association_epochs(rec).select(*BASE, "lost", "epoch", "since_us", "identity_key")
 
 
+def _ping(rec: Recording) -> DataFrame:
+    """Ping output rebuilt as text from the probes, then read back."""
+    reply = F.concat(
+        F.lit("64 bytes from 10.0.0.1: icmp_seq=1 ttl=64 time="),
+        X.fixed(F.col("rtt_ms"), 3),
+        F.lit(" ms"),
+    )
+    lines = rec.gateway.select(
+        *BASE,
+        "target",
+        F.when(F.col("reachable"), reply).otherwise("Request timeout for icmp_seq 0").alias("text"),
+    )
+    return probes.ping_probes(lines, rec.params)
+
+
+def _raw_channel(pos: Column) -> Column:
+    number = F.col("channel_number").cast("string")
+    return (
+        F.when(pos % 4 == 0, F.concat(number, F.lit(" (5GHz, 80MHz)")))
+        .when(pos % 4 == 1, F.concat(number, F.lit(",40")))
+        .when(pos % 4 == 2, F.concat(number, F.lit(" (2GHz, 20MHz)")))
+        .otherwise(number)
+    )
+
+
+def _raw_security(pos: Column) -> Column:
+    words = [
+        "spairport_security_mode_wpa3_transition", "spairport_security_mode_wpa3_personal",
+        "pairport_security_mode_wpa2", "wpa", "WEP", "spairport_security_mode_none", "other",
+    ]
+    return F.get(F.array(*[F.lit(x) for x in words]), (pos % 7).cast("int"))
+
+
+def _capture_text(rec: Recording) -> DataFrame:
+    """Capture texts of every neighbour, normalised."""
+    pos = F.col("pos")
+    signal = F.concat(F.col("rssi_dbm").cast("string"), F.lit(" dBm / -9"), (pos % 10).cast("string"), F.lit(" dBm"))
+    name = F.when(pos % 5 == 0, "<Redacted>").when(pos % 5 == 1, "").otherwise(F.col("ssid"))
+    bssid = F.when(pos % 6 != 0, F.upper("bssid"))
+    ch = N.channel(_raw_channel(pos))
+    return rec.neighbors.select(
+        "session_id",
+        "scan_seq",
+        "pos",
+        N.ssid(name).alias("ssid"),
+        L.canonical_bssid(bssid).alias("bssid"),
+        N.signal_dbm(signal).alias("rssi_dbm"),
+        N.noise_dbm(signal).alias("noise_dbm"),
+        ch["number"].alias("channel_number"),
+        ch["band"].alias("channel_band"),
+        ch["width"].alias("channel_width"),
+        N.security(_raw_security(pos)).alias("security"),
+        N.observation_confidence(N.ssid(name), bssid).alias("confidence"),
+    )
+
+
+def _captures(rec: Recording) -> DataFrame:
+    """One property list per Wi-Fi row: the link, and one neighbour."""
+
+    def entry(key: str, value: Column) -> Column:
+        return F.concat(
+            F.lit(f"<key>{key}</key><string>"), value, F.lit("</string>")
+        )
+
+    signal = F.concat(F.col("rssi_dbm").cast("string"), F.lit(" dBm / -95 dBm"))
+    net = F.concat(
+        F.lit("<dict>"),
+        entry("_name", F.col("ssid")),
+        F.coalesce(entry("spairport_network_bssid", F.upper("bssid")), F.lit("")),
+        entry("spairport_signal_noise", signal),
+        entry("spairport_network_channel", _raw_channel(F.col("seq"))),
+        F.lit("</dict>"),
+    )
+    xml = F.concat(
+        F.lit('<?xml version="1.0"?><plist version="1.0"><array><dict><key>_dataType</key>'
+              "<string>SPAirPortDataType</string><key>_items</key><array><dict>"
+              "<key>spairport_airport_interfaces</key><array><dict><key>_name</key><string>en0</string>"
+              "<key>spairport_current_network_information</key>"),
+        net,
+        F.lit("<key>spairport_airport_other_local_wireless_networks</key><array>"),
+        net,
+        F.lit("</array></dict></array></dict></array></dict></array></plist>"),
+    )
+    docs = rec.wifi.select(
+        F.concat("session_id", F.lit("/"), "seq").alias("capture_id"),
+        "at_us",
+        xml.cast("binary").alias("content"),
+    )
+    parts = probes.capture_parts(docs)
+    links = probes.capture_links(parts).withColumn("part", F.lit("link"))
+    aps = probes.capture_neighbors(parts).withColumn("part", F.lit("neighbor"))
+    cols = ["capture_id", "at_us", "part", "ssid", "bssid", "rssi_dbm", "channel_number",
+            "channel_band", "channel_width", "confidence"]
+    return links.select(*cols).unionByName(aps.select(*cols))
+
+
+def _session_roundtrip(rec: Recording) -> DataFrame:
+    """Write every session as JSON lines, read the files back, summarise."""
+    path = scratch_folder(rec.spark, "sessions")
+    write_sessions(envelopes_of(rec), path, layout=rec.layout)
+    back = read_sessions(rec.spark, path, by_folder=True, layout=rec.layout, params=rec.params)
+    out = S.session_summary(back).drop("duration_text")
+    number = F.regexp_extract("session_id", "session_id=([0-9]+)", 1)
+    return out.withColumn("session_id", number.cast("bigint"))
+
+
+def _stream_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The running tally, counted by a streaming query over the event table."""
+    path = scratch_folder(spark, "tally")
+    raw = spark.read.parquet(f"{sf_dir}/events.parquet")
+    live = (
+        spark.readStream.schema(raw.schema)
+        .option("pathGlobFilter", "events.parquet")
+        .parquet(sf_dir)
+    )
+    rec = lens.recording(spark, sf_dir)
+    log = lens.log_of(live).withColumn("at", F.timestamp_micros("at_us")).withWatermark("at", "1 hour")
+    query = (
+        stream.interval_counts(log, rec.params)
+        .writeStream.outputMode("update")
+        .option("checkpointLocation", f"{path}/progress")
+        .foreachBatch(stream.upsert_to(f"{path}/rows"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    counted = stream.latest_rows(spark, f"{path}/rows", ["session_id", "window_us"])
+    return flat(S.accumulate(counted))
+
+
 OPERATORS: dict[str, Callable[[Recording], DataFrame]] = {
     # sources and ordering
     "event_index": S.event_index,
@@ -240,6 +375,10 @@ OPERATORS: dict[str, Callable[[Recording], DataFrame]] = {
     "deduplicate": _dedup,
     "assign_ids": _assigned,
     "backlog": lambda r: P.backlog(r, 100),
+    "session_roundtrip": _session_roundtrip,
+    "ping_ingest": _ping,
+    "capture_text": _capture_text,
+    "capture_ingest": _captures,
     # scalar functions
     "link_ladders": _link_ladders,
     "latency_ladders": _latency_ladders,
@@ -314,4 +453,7 @@ def _on_lens(operator: Callable[[Recording], DataFrame]) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    return {name: _on_lens(op) for name, op in OPERATORS.items()}
+    return {
+        **{name: _on_lens(op) for name, op in OPERATORS.items()},
+        "stream_tally": _stream_tally,
+    }

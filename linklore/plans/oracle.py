@@ -622,6 +622,24 @@ QUERIES: dict[str, str] = {
         ELSE 'density stable' END AS trend FROM (SELECT * FROM asof3 QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY at_us DESC, is_tick DESC, seq DESC) = 1) e""",
     "latest_health": "SELECT session_id, sensor, seq, at_us, state FROM health QUALIFY row_number() OVER (PARTITION BY session_id, sensor ORDER BY seq DESC) = 1",
 }
+QUERIES["ping_ingest"] = """SELECT session_id, seq, at_us, target, CAST(round(x * 1000000) AS BIGINT) AS rtt_nanos,
+    {ms} AS rtt_ms, reachable, probe FROM (SELECT *, CASE WHEN reachable THEN rtt_ms ELSE 900e0 END AS x FROM gateway)""".format(
+    ms=_ms("CAST(round(x * 1000000) AS BIGINT)")
+)
+QUERIES["session_roundtrip"] = QUERIES["session_summary"].rsplit(", CASE", 1)[0] + " FROM log GROUP BY 1"
+QUERIES["stream_tally"] = QUERIES["running_tally"]
+_RAW_CHANNEL = """CASE {pos} % 4 WHEN 0 THEN 'FiveGhz' WHEN 2 THEN 'TwoPointFourGhz' ELSE {band} END AS channel_band,
+    CASE {pos} % 4 WHEN 0 THEN 'Mhz80' WHEN 1 THEN 'Mhz40' WHEN 2 THEN 'Mhz20' END AS channel_width"""
+QUERIES["capture_text"] = """SELECT session_id, scan_seq, pos, CASE WHEN pos % 5 >= 2 THEN ssid END AS ssid,
+    CASE WHEN pos % 6 <> 0 THEN bssid END AS bssid, rssi_dbm, -90 - pos % 10 AS noise_dbm, channel_number, {ch},
+    ['Wpa3Transition', 'Wpa3', 'Wpa2', 'Wpa', 'Wep', 'Open', 'Unknown'][pos % 7 + 1] AS security,
+    CASE WHEN pos % 5 >= 2 AND pos % 6 <> 0 THEN 'Direct' ELSE 'Inferred' END AS confidence FROM neighbors""".format(
+    ch=_RAW_CHANNEL.format(pos="pos", band=_band("channel_number"))
+)
+QUERIES["capture_ingest"] = """SELECT session_id || '/' || seq AS capture_id, at_us, part, ssid, bssid, rssi_dbm, channel_number, {ch},
+    CASE WHEN bssid IS NULL THEN 'Inferred' ELSE 'Direct' END AS confidence FROM (SELECT * EXCLUDE (channel_band), unnest(['link', 'neighbor']) AS part FROM wifi)""".format(
+    ch=_RAW_CHANNEL.format(pos="seq", band=_band("channel_number"))
+)
 QUERIES["recent_feed"] = f"SELECT * FROM ({QUERIES['event_feed']}) QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) <= 200"
 
 # First moment all sources are covered, by checking every event against history.

@@ -18,6 +18,7 @@ form that never puts a session into one task:
 from __future__ import annotations
 
 import tempfile
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -304,15 +305,25 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share.  Only a local session may make its own."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if shared:
+        return shared
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    shared = tempfile.mkdtemp(prefix="checkpoint-")
+    spark.sparkContext.setCheckpointDir(shared)
+    return shared
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under the shared one."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError(
-                "set spark.checkpoint.dir to a folder all executors share"
-            )
-        shared = tempfile.mkdtemp(prefix="checkpoint-")
-    sc.setCheckpointDir(shared)
+    if not spark.sparkContext.getCheckpointDir():
+        shared = shared_folder(spark)
+        if not spark.sparkContext.getCheckpointDir():
+            spark.sparkContext.setCheckpointDir(shared)

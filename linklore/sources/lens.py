@@ -211,6 +211,16 @@ def neighbors(scans: DataFrame, lineitem: DataFrame) -> DataFrame:
     )
 
 
+def log_of(raw: DataFrame) -> DataFrame:
+    """The payload-free log of an event table, batch or streaming."""
+    return events(raw).select(
+        *BASE,
+        _variant().alias("event_type"),
+        _source().alias("source"),
+        F.when(_variant() == "SensorHealth", _state()).alias("health_state"),
+    )
+
+
 def recording(
     spark: SparkSession,
     sf_dir: str,
@@ -236,14 +246,6 @@ def recording(
             F.coalesce("n_neighbors", F.lit(0).cast("bigint")).alias("n_neighbors"),
         )
 
-    def log() -> DataFrame:
-        return events(raw).select(
-            *BASE,
-            _variant().alias("event_type"),
-            _source().alias("source"),
-            F.when(_variant() == "SensorHealth", _state()).alias("health_state"),
-        )
-
     streams = {
         "gateway": lambda: gateway(events(raw, "view")),
         "dns": lambda: dns(events(raw, "error")),
@@ -251,7 +253,7 @@ def recording(
         "scans": scans,
         "counters": lambda: counters(events(raw, "purchase"), layout),
         "health": lambda: health(events(raw, "signup")),
-        "log": log,
+        "log": lambda: log_of(raw),
     }
     return Recording(spark, streams, heard, layout, params, "bigint")
 
