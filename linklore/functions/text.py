@@ -13,7 +13,10 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_FRACTION_BITS = 52
+# Fraction bits that hold a double exactly from 1/16 up, and from 1/256 up; what
+# is smaller rounds to zero at two decimals.  Times 100 both fit a BIGINT.
+_FRACTION_BITS = 56
+_SMALL_BITS = 60
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -26,27 +29,38 @@ def fixed(x: Column, digits: int, plus: bool = False) -> Column:
     unit = 10**digits
 
     def split(v: Column) -> Column:
-        whole = F.floor(F.abs(v)).cast("bigint")
-        fraction = (F.abs(v) - F.floor(F.abs(v))) * F.lit(float(1 << _FRACTION_BITS))
-        return let(F.struct(v.alias("v"), whole.alias("whole"), fraction.alias("fraction")), scale)
+        size = F.abs(v)
+        return let(
+            F.struct(
+                v.alias("v"),
+                F.floor(size).cast("bigint").alias("whole"),
+                (size - F.floor(size)).alias("fraction"),
+                (size < 0.0625).alias("small"),
+            ),
+            scale,
+        )
+
+    def by_size(s: Column, value: Callable[[int], Column | int]) -> Column:
+        return F.when(s["small"], value(_SMALL_BITS)).otherwise(value(_FRACTION_BITS))
 
     def scale(s: Column) -> Column:
-        bits = F.floor(s["fraction"]).cast("bigint")
+        exact = s["fraction"] * by_size(s, lambda n: F.lit(float(1 << n)))
+        bits = F.floor(exact).cast("bigint")
         return let(
             F.struct(
                 s["v"].alias("v"),
                 s["whole"].alias("whole"),
+                s["small"].alias("small"),
                 (bits * F.lit(unit).cast("bigint")).alias("scaled"),
-                (F.floor(s["fraction"]) != s["fraction"]).alias("inexact"),
             ),
             rounded,
         )
 
     def rounded(s: Column) -> Column:
-        kept = s["whole"] * unit + F.shiftright(s["scaled"], _FRACTION_BITS)
-        rest = s["scaled"].bitwiseAND(F.lit((1 << _FRACTION_BITS) - 1))
-        half = F.lit(1 << (_FRACTION_BITS - 1))
-        up = (rest > half) | ((rest == half) & (s["inexact"] | (kept % 2 == 1)))
+        kept = s["whole"] * unit + by_size(s, lambda n: F.shiftright(s["scaled"], n))
+        rest = by_size(s, lambda n: s["scaled"].bitwiseAND(F.lit((1 << n) - 1)))
+        half = by_size(s, lambda n: F.lit(1 << (n - 1)))
+        up = (rest > half) | ((rest == half) & (kept % 2 == 1))
         total = kept + F.when(up, 1).otherwise(0)
         return let(F.struct(s["v"].alias("v"), total.alias("total")), show)
 

@@ -232,7 +232,7 @@ def _chain_split(marks: DataFrame, p: Params, layout: Layout) -> DataFrame:
     fields = {f.name: f.dataType.simpleString() for f in marks.schema}
     key_ddl = ", ".join(f"{k} {fields[k]}" for k in keys)
 
-    def summarize(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def summarize(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(INSTANT)
         at, conf = pdf["at_us"].to_numpy(), pdf["confidence"].to_numpy(np.float32)
         early = int(np.searchsorted(at, at[0] + cooldown, side="left"))
@@ -265,7 +265,7 @@ def _chain_split(marks: DataFrame, p: Params, layout: Layout) -> DataFrame:
         f"{key_ddl}, at array<bigint>, conf array<float>, out_at array<bigint>, out_conf array<float>",
     )
 
-    def walk(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def walk(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         state, rows = None, []
         for r in pdf.sort_values("segment").itertuples():
             rows.append([*key, r.segment, state is not None, *(state or (0, 0.0))])
