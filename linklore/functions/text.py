@@ -25,7 +25,9 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def fixed(x: Column, digits: int, plus: bool = False) -> Column:
-    """``x`` with ``digits`` decimals; ``plus`` writes the sign of positives."""
+    """``x`` with up to two decimals; ``plus`` writes the sign of positives."""
+    if not 0 <= digits <= 2:
+        raise ValueError("0, 1 or 2 decimals")
     unit = 10**digits
 
     def split(v: Column) -> Column:

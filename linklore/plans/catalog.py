@@ -242,7 +242,7 @@ def _ping(rec: Recording) -> DataFrame:
     """Ping output rebuilt as text from the probes, then read back."""
     reply = F.concat(
         F.lit("64 bytes from 10.0.0.1: icmp_seq=1 ttl=64 time="),
-        X.fixed(F.col("rtt_ms"), 3),
+        X.fixed(F.col("rtt_ms"), 2),
         F.lit(" ms"),
     )
     lines = rec.gateway.select(

@@ -72,8 +72,12 @@ class SessionError(ValueError):
 # -- lines -----------------------------------------------------------------
 
 
-def _session_of(path: Column, by_folder: bool) -> Column:
-    return F.regexp_extract(path, "([^/]+)/[^/]+$", 1) if by_folder else path
+def session_of(path: Column, by_folder: bool = False) -> Column:
+    """Session of a file: its path (local ones are spelled in two ways), or the
+    name of its folder."""
+    if by_folder:
+        return F.regexp_extract(path, "([^/]+)/[^/]+$", 1)
+    return F.regexp_replace(path, "^file:/+", "file:/")
 
 
 def _numbered(spark: SparkSession, path: str | list[str], by_folder: bool = False) -> DataFrame:
@@ -81,7 +85,7 @@ def _numbered(spark: SparkSession, path: str | list[str], by_folder: bool = Fals
     written in parts) and ``line``, the 1-based physical line number."""
     file = F.col("_metadata.file_path")
     raw = spark.read.text(path).select(
-        _session_of(file, by_folder).alias("session_id"),
+        session_of(file, by_folder).alias("session_id"),
         F.struct(file.alias("file"), F.col("_metadata.file_block_start").alias("at")).alias("block"),
         F.monotonically_increasing_id().alias("mono"),
         "value",
@@ -140,7 +144,7 @@ def headers(
     names = [(name,) for name in spark.read.text(path).inputFiles()]
     files = (
         spark.createDataFrame(names, "file string")
-        .select(_session_of(F.col("file"), by_folder).alias("session_id"))
+        .select(session_of(F.col("file"), by_folder).alias("session_id"))
         .distinct()
     )
     first = (
@@ -266,10 +270,10 @@ def scan_sessions(
         .where(F.col("line") > F.col("header_line"))
         .select("session_id", (F.col("line") - F.col("header_line") + 1).alias("line"), "value")
     )
-    return SessionScan(sessions, _parsed(rows))
+    return SessionScan(sessions, parsed(rows))
 
 
-def _parsed(lines: DataFrame) -> DataFrame:
+def parsed(lines: DataFrame) -> DataFrame:
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
     df = lines.withColumn("r", F.from_json("value", ROW, options))
     df = df.withColumn("at_us", parse_time(F.col("r.at")))

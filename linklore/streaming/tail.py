@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.summary import COUNTERS, TALLIED
 from ..params import DEFAULTS, Params
-from ..sources.session_files import _parsed
+from ..sources.session_files import parsed, session_of
 
 
 def tail(
@@ -21,9 +21,9 @@ def tail(
         .option("maxFilesPerTrigger", files_per_trigger)
         .option("recursiveFileLookup", "true")
         .load(path)
-        .select(F.col("_metadata.file_path").alias("session_id"), "value")
+        .select(session_of(F.col("_metadata.file_path")).alias("session_id"), "value")
     )
-    rows = _parsed(lines.where(F.trim("value") != "")).where("is_good")
+    rows = parsed(lines.where(F.trim("value") != "")).where("is_good")
     return (
         rows.withColumn("at", F.timestamp_micros("at_us"))
         .withWatermark("at", late)
