@@ -1,16 +1,18 @@
 """Session recordings: newline-delimited JSON, a header line and then one event
 per line, in publication order.
 
-All files of a folder are read in one job.  Line numbers are global to a file
-although Spark splits it: every split counts its own lines, the per-split counts
-are summed, and no file passes through one task.
+All files of a folder are read in one pass, without a shuffle: the position of a
+line is derived from the split it lies in, so order survives although Spark cuts
+files.  ``land`` writes that pass to a columnar table pruned by variant; headers
+and rejected lines are partitions of their own there, so checking them later
+does not touch the events.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ladders as L
@@ -80,33 +82,35 @@ def session_of(path: Column, by_folder: bool = False) -> Column:
     return F.regexp_replace(path, "^file:/+", "file:/")
 
 
-def _numbered(spark: SparkSession, path: str | list[str], by_folder: bool = False) -> DataFrame:
-    """Non-blank lines with ``session_id`` (the file, or the folder of a session
-    written in parts) and ``line``, the 1-based physical line number."""
+#: Bits of ``seq`` for the position inside one file; the bits above number the
+#: part files of a session written in parts.
+_POSITION_BITS = 42
+_ROW_BITS = (1 << 33) - 1
+
+
+def read_lines(spark: SparkSession, path: str | list[str], by_folder: bool = False) -> DataFrame:
+    """Lines with ``session_id`` (the file, or the folder of a session written in
+    parts) and ``seq``, which grows along the session.
+
+    ``seq`` is the split's byte offset plus the row's number in its task.  A task
+    reads at most one split size of bytes and a line has at least one, so the
+    number stays below the split size and the next split starts above it."""
     file = F.col("_metadata.file_path")
-    raw = spark.read.text(path).select(
-        session_of(file, by_folder).alias("session_id"),
-        F.struct(file.alias("file"), F.col("_metadata.file_block_start").alias("at")).alias("block"),
-        F.monotonically_increasing_id().alias("mono"),
-        "value",
-    )
-    blocks = raw.groupBy("session_id", "block").agg(
-        F.min("mono").alias("base"), F.count(F.lit(1)).alias("n")
+    position = F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND(
+        F.lit(_ROW_BITS)
     )
-    before = (
-        Window.partitionBy("session_id")
-        .orderBy("block")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = blocks.select(
-        "session_id", "block", "base", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("skip")
-    )
-    # One row per file split: Spark broadcasts it where its size allows.
-    lines = raw.join(offsets, ["session_id", "block"]).select(
-        "session_id",
-        (F.col("skip") + F.col("mono") - F.col("base") + 1).alias("line"),
-        "value",
+    if by_folder:
+        part = F.coalesce(
+            F.expr(r"try_cast(regexp_extract(_metadata.file_path, 'part-([0-9]+)[^/]*$', 1) as bigint)"),
+            F.lit(0),
+        )
+        position = F.shiftleft(part, _POSITION_BITS) + position
+    return spark.read.text(path).select(
+        session_of(file, by_folder).alias("session_id"), position.alias("seq"), "value"
     )
+
+
+def _has_text(lines: DataFrame) -> DataFrame:
     return lines.where(F.trim("value") != "")
 
 
@@ -129,31 +133,17 @@ def parse_time(text: Column) -> Column:
 # -- header ----------------------------------------------------------------
 
 
-def headers(
-    spark: SparkSession,
-    path: str | list[str],
-    kind: str = DEFAULT_KIND,
-    by_folder: bool = False,
-) -> DataFrame:
-    """One row per file with its header fields and a ``status``.
+def headers(rows: DataFrame, kind: str = DEFAULT_KIND, files: DataFrame | None = None) -> DataFrame:
+    """One row per session with its header fields and a ``status``, from the
+    first line of each.  ``files`` adds sessions without any line.
 
     The checks go from outside in, so that a wrong kind or version is reported
     as such even where the rest of the header has another shape."""
-    # Scans skip empty files, so the names come from the file index, which the
-    # driver of any scan holds anyway.
-    names = [(name,) for name in spark.read.text(path).inputFiles()]
-    files = (
-        spark.createDataFrame(names, "file string")
-        .select(session_of(F.col("file"), by_folder).alias("session_id"))
-        .distinct()
+    df = rows.groupBy("session_id").agg(F.min(F.struct("seq", "value")).alias("f")).select(
+        "session_id", F.col("f.seq").alias("header_seq"), F.col("f.value").alias("value")
     )
-    first = (
-        _numbered(spark, path, by_folder)
-        .groupBy("session_id")
-        .agg(F.min(F.struct("line", "value")).alias("f"))
-        .select("session_id", F.col("f.line").alias("header_line"), F.col("f.value").alias("value"))
-    )
-    df = files.join(first, "session_id", "left")
+    if files is not None:
+        df = files.join(df, "session_id", "left")
 
     def field(name: str) -> Column:
         return F.get_json_object("value", f"$.{name}")
@@ -168,7 +158,9 @@ def headers(
         & field("tool_version").isNotNull()
     )
     status = (
-        F.when(F.col("value").isNull(), "Empty")
+        F.when(F.col("header_seq").isNull(), "Empty")
+        # A landed event keeps no text: the first line was an event.
+        .when(F.col("value").isNull(), "MissingHeader")
         .when(~is_json, "BadJson")
         .when(F.coalesce(field("row"), F.lit("")) != "header", "MissingHeader")
         .when(field("kind") != kind, "WrongKind")
@@ -179,7 +171,7 @@ def headers(
     )
     return df.select(
         "session_id",
-        "header_line",
+        "header_seq",
         field("kind").alias("kind"),
         version.alias("format_version"),
         created.alias("created_us"),
@@ -211,49 +203,82 @@ def _is_good() -> Column:
     )
 
 
+#: Unreadable sessions up to this many are sent to every task as a list.
+_MAX_BROADCAST_SESSIONS = 100_000
+
+
 @dataclass(frozen=True)
 class SessionScan:
-    """Parsed rows of readable files.  ``line`` counts as the reader counts:
-    the header is line 1 and blank lines after it count."""
+    """Parsed rows (header lines included) and the status of their sessions."""
 
     sessions: DataFrame
     rows: DataFrame
+    lines: DataFrame | None = None
+
+    def _readable(self, rows: DataFrame) -> DataFrame:
+        unreadable = self.sessions.where("status <> 'ok'").select("session_id")
+        n = unreadable.limit(_MAX_BROADCAST_SESSIONS + 1).count()
+        if n == 0:
+            return rows
+        if n <= _MAX_BROADCAST_SESSIONS:
+            unreadable = F.broadcast(unreadable)
+        return rows.join(unreadable, "session_id", "left_anti")
 
     def good(self) -> DataFrame:
-        return self.rows.where("is_good")
+        """Every complete event of readable sessions."""
+        return self._readable(self.rows.where("is_good"))
 
     def bad(self) -> DataFrame:
-        """Rejected rows with the reason."""
-        header = F.col("row_tag") == "header"
-        return self.rows.where(~F.col("is_good")).select(
-            "session_id", "line", F.when(header, "DuplicateHeader").otherwise("BadJson").alias("error"), "value"
+        """Rejected rows of readable sessions with the reason."""
+        heads = self.sessions.where("status = 'ok'").select("session_id", "header_seq")
+        header = F.coalesce(F.col("row_tag") == "header", F.lit(False))
+        return (
+            self.rows.where("not is_good")
+            .join(heads, "session_id")
+            .where(F.col("seq") > F.col("header_seq"))
+            .select(
+                "session_id", "header_seq", "seq",
+                F.when(header, "DuplicateHeader").otherwise("BadJson").alias("error"), "value",
+            )
         )
 
-    def _first_bad(self) -> DataFrame:
-        return self.bad().groupBy("session_id").agg(F.min("line").alias("bad_line"))
+    def first_errors(self) -> DataFrame:
+        """Per session the first rejected row, with its line number: the header
+        is line 1 and blank lines after it count."""
+        first = self.bad().groupBy("session_id").agg(
+            F.min(F.struct("seq", "header_seq", "error")).alias("e")
+        )
+        upto = (F.col("seq") >= F.col("e.header_seq")) & (F.col("seq") <= F.col("e.seq"))
+        return (
+            self.lines.join(first, "session_id")
+            .groupBy("session_id", F.col("e.error").alias("error"))
+            .agg(F.count_if(upto).alias("line"))
+        )
 
     def truncated(self) -> DataFrame:
-        """Each file up to its first bad row."""
-        cut = self._first_bad()
+        """Each session up to its first rejected row."""
+        cut = self.bad().groupBy("session_id").agg(F.min("seq").alias("bad_seq"))
         return (
             self.good()
             .join(cut, "session_id", "left")
-            .where(F.col("bad_line").isNull() | (F.col("line") < F.col("bad_line")))
-            .drop("bad_line")
+            .where(F.col("bad_seq").isNull() | (F.col("seq") < F.col("bad_seq")))
+            .drop("bad_seq")
         )
 
     def strict(self) -> DataFrame:
-        """All rows, or an error naming the first unreadable file or line."""
-        broken = (
-            self.sessions.where("status <> 'ok'")
-            .select("session_id", F.col("header_line").alias("line"), F.col("status").alias("error"))
-            .unionByName(self.bad().select("session_id", "line", "error"))
-            .orderBy("session_id", "line")
-            .first()
-        )
+        """All events.  An unreadable session is an error here; a rejected row is
+        one when it is read, so no extra pass looks for it beforehand."""
+        broken = self.sessions.where("status <> 'ok'").select("session_id", "status").first()
         if broken is not None:
-            raise SessionError(f"{broken['session_id']}: {broken['error']} at line {broken['line']}")
-        return self.good()
+            raise SessionError(f"{broken['session_id']}: {broken['status']}")
+        header = F.coalesce(F.col("row_tag") == "header", F.lit(False))
+        first = self.sessions.select("session_id", "header_seq")
+        again = self.rows.where(header).join(first, "session_id").where("seq > header_seq")
+        if again.limit(1).count():
+            raise SessionError(f"{again.first()['session_id']}: DuplicateHeader")
+        message = F.concat(F.lit("BadJson in "), "session_id", F.lit(" near "), F.col("seq").cast("string"))
+        ok = F.when(F.col("is_good"), True).otherwise(F.raise_error(message).cast("boolean"))
+        return self.rows.where(~header).where(ok)
 
 
 def scan_sessions(
@@ -262,18 +287,23 @@ def scan_sessions(
     kind: str = DEFAULT_KIND,
     by_folder: bool = False,
 ) -> SessionScan:
-    sessions = headers(spark, path, kind, by_folder)
-    readable = sessions.where("status = 'ok'").select("session_id", "header_line")
-    rows = (
-        _numbered(spark, path, by_folder)
-        .join(readable, "session_id")
-        .where(F.col("line") > F.col("header_line"))
-        .select("session_id", (F.col("line") - F.col("header_line") + 1).alias("line"), "value")
+    """Parse text files.  Every action reads the text; ``land`` it to read once."""
+    lines = read_lines(spark, path, by_folder)
+    rows = parsed(_has_text(lines))
+    # Scans skip empty files, so the names come from the file index, which the
+    # driver of any scan holds anyway.
+    names = [(name,) for name in spark.read.text(path).inputFiles()]
+    files = (
+        spark.createDataFrame(names, "file string")
+        .select(session_of(F.col("file"), by_folder).alias("session_id"))
+        .distinct()
     )
-    return SessionScan(sessions, parsed(rows))
+    return SessionScan(headers(rows, kind, files), rows, lines)
 
 
 def parsed(lines: DataFrame) -> DataFrame:
+    """Envelope columns and the verdict on each line.  JSON is parsed once per
+    line, for the fields that are asked for."""
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
     df = lines.withColumn("r", F.from_json("value", ROW, options))
     df = df.withColumn("at_us", parse_time(F.col("r.at")))
@@ -289,6 +319,37 @@ def parsed(lines: DataFrame) -> DataFrame:
     )
 
 
+def land(scan_: SessionScan, path: str) -> None:
+    """Write parsed rows once, without a shuffle, partitioned by variant.
+    Headers and rejected lines keep their text; events do not need it."""
+    part = (
+        F.when(F.col("is_good"), F.col("event_type"))
+        .when(F.col("row_tag") == "header", "_header")
+        .otherwise("_rejected")
+    )
+    (
+        scan_.rows.withColumn("part", part)
+        .withColumn("value", F.when(~F.col("is_good"), F.col("value")))
+        .drop("is_good", "event_type")
+        .write.mode("overwrite")
+        .option("maxRecordsPerFile", 5_000_000)
+        .partitionBy("part")
+        .parquet(path)
+    )
+
+
+def read_landed(spark: SparkSession, path: str, kind: str = DEFAULT_KIND) -> SessionScan:
+    """Rows written by :func:`land`.  A filter on the variant prunes folders."""
+    event = ~F.col("part").startswith("_")
+    rows = (
+        spark.read.parquet(path)
+        .withColumn("is_good", event)
+        .withColumn("event_type", F.when(event, F.col("part")))
+        .drop("part")
+    )
+    return SessionScan(headers(rows, kind), rows)
+
+
 def read_sessions(
     spark: SparkSession,
     path: str | list[str],
@@ -300,11 +361,9 @@ def read_sessions(
 ) -> Recording:
     """Recordings of all files: ``on_error`` is ``fail``, ``truncate`` or
     ``quarantine`` (keep every good row)."""
-    parsed = scan_sessions(spark, path, kind, by_folder)
-    policies = {"fail": parsed.strict, "truncate": parsed.truncated, "quarantine": parsed.good}
-    rows = policies[on_error]()
-    envelopes = deduplicate(rows).withColumn("seq", F.col("line"))
-    return to_recording(envelopes, layout, params)
+    found = scan_sessions(spark, path, kind, by_folder)
+    policies = {"fail": found.strict, "truncate": found.truncated, "quarantine": found.good}
+    return to_recording(deduplicate(policies[on_error]()), layout, params)
 
 
 # -- envelopes -> typed streams --------------------------------------------
@@ -364,15 +423,15 @@ def to_recording(
 
 
 def deduplicate(envelopes: DataFrame) -> DataFrame:
-    """One row per (session, id).  Copies of an event are identical, so any may
-    stay; where ``line`` is known the first one does."""
-    if "line" not in envelopes.columns:
-        return envelopes.dropDuplicates(["session_id", "id"])
-    rest = [c for c in envelopes.columns if c not in ("session_id", "id")]
+    """One row per (session, id), the first in order.  Copies are equal but for
+    their place, so the variant joins the key and a filter on it still reaches
+    the scan."""
+    keys = ["session_id", "id", "event_type"]
+    rest = [c for c in envelopes.columns if c not in keys]
     return (
-        envelopes.groupBy("session_id", "id")
-        .agg(F.min_by(F.struct(*rest), "line").alias("_first"))
-        .select("session_id", "id", "_first.*")
+        envelopes.groupBy(*keys)
+        .agg(F.min_by(F.struct(*rest), "seq").alias("_first"))
+        .select(*keys, "_first.*")
     )
 
 
@@ -381,18 +440,7 @@ def assign_ids(rows: DataFrame, layout: Layout = WHOLE) -> DataFrame:
     return scan(rows, ["session_id"], layout, id=position())
 
 
-# -- landing and sink ------------------------------------------------------
-
-
-def land(envelopes: DataFrame, path: str) -> None:
-    """Write parsed envelopes once as a columnar table, pruned by variant.  No
-    shuffle; files are cut by size."""
-    (
-        envelopes.write.mode("overwrite")
-        .option("maxRecordsPerFile", 5_000_000)
-        .partitionBy("event_type")
-        .parquet(path)
-    )
+# -- sink ------------------------------------------------------
 
 
 def envelopes_of(rec: Recording) -> DataFrame:

@@ -21,9 +21,12 @@ def tail(
         .option("maxFilesPerTrigger", files_per_trigger)
         .option("recursiveFileLookup", "true")
         .load(path)
-        .select(session_of(F.col("_metadata.file_path")).alias("session_id"), "value")
+        .select(
+            session_of(F.col("_metadata.file_path")).alias("session_id"), "value"
+        )
     )
     rows = parsed(lines.where(F.trim("value") != "")).where("is_good")
+    rows = rows.withColumn("seq", F.col("id"))
     return (
         rows.withColumn("at", F.timestamp_micros("at_us"))
         .withWatermark("at", late)

@@ -45,7 +45,7 @@ def test_header_status(spark, tmp_path):
     put(tmp_path, "newer", [{**HEADER, "format_version": 3, "created_at": [1]}])
     put(tmp_path, "older", [{**HEADER, "format_version": 1, "created_at": [2023, 318, 22, 13, 20, 0, 0, 0, 0]}])
     put(tmp_path, "shape", [{**HEADER, "created_at": 5}])
-    got = {k: r.status for k, r in by_name(SF.headers(spark, str(tmp_path))).items()}
+    got = {k: r.status for k, r in by_name(SF.scan_sessions(spark, str(tmp_path)).sessions).items()}
     assert got == {
         "ok": "ok", "empty": "Empty", "blank": "Empty", "headless": "MissingHeader", "text": "BadJson",
         "kind": "WrongKind", "newer": "NewerVersion", "older": "OlderVersion", "shape": "BadJson",
@@ -59,7 +59,7 @@ def test_row_errors_and_policies(spark, tmp_path):
     put(tmp_path, "unknown", [HEADER, row(1, type="Mystery")])
     put(tmp_path, "good", [HEADER, row(1), row(2)])
     read = SF.scan_sessions(spark, str(tmp_path))
-    bad = {k: (r.line, r.error) for k, r in by_name(read.bad()).items()}
+    bad = {k: (r.line, r.error) for k, r in by_name(read.first_errors()).items()}
     assert bad == {
         "bad": (4, "BadJson"), "twice": (3, "DuplicateHeader"), "lacking": (3, "BadJson"), "unknown": (2, "BadJson"),
     }
@@ -70,7 +70,12 @@ def test_row_errors_and_policies(spark, tmp_path):
 
     assert counts("truncate") == {"bad": 1, "twice": 1, "lacking": 1, "good": 2}
     assert counts("quarantine") == {"bad": 2, "twice": 2, "lacking": 2, "good": 2}
-    with pytest.raises(SF.SessionError, match="BadJson at line 4"):
+    with pytest.raises(SF.SessionError, match="twice: DuplicateHeader"):
+        SF.read_sessions(spark, str(tmp_path))
+    with pytest.raises(Exception, match="BadJson in .*bad"):
+        SF.read_sessions(spark, str(tmp_path / "bad")).log().count()
+    put(tmp_path, "none", [])
+    with pytest.raises(SF.SessionError, match="none: Empty"):
         SF.read_sessions(spark, str(tmp_path))
     assert SF.read_sessions(spark, str(tmp_path / "good")).gateway.count() == 2
 
@@ -82,12 +87,12 @@ def test_line_numbers_do_not_depend_on_file_splits(spark, tmp_path):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
     try:
         read = SF.scan_sessions(spark, str(tmp_path))
-        assert read.rows.rdd.getNumPartitions() > 3
-        rows = read.good().where("session_id like '%long'").select("line", "id").collect()
-        bad = {k: r.line for k, r in by_name(read.bad()).items()}
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 3
+        rows = read.good().where("session_id like '%long'").orderBy("seq").select("seq", "id").collect()
+        bad = {k: r.line for k, r in by_name(read.first_errors()).items()}
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
-    assert len(rows) == 1499 and all(r.line == r.id + 1 for r in rows)
+    assert [r.id for r in rows] == list(range(1, 1500)) and len({r.seq for r in rows}) == 1499
     assert bad == {"long": 1501, "short": 3}
 
 
@@ -131,7 +136,7 @@ def test_round_trip_of_every_variant(spark, make, tmp_path, layout):
     assert sorted(map(repr, (tuple(r)[2:] for r in back.neighbors.collect()))) == sorted(
         map(repr, (tuple(r)[2:] for r in rec.neighbors.collect()))
     )
-    order = [r.id for r in SF.scan_sessions(spark, path, by_folder=True).good().where("session_id like '%=a'").orderBy("line").collect()]
+    order = [r.id for r in SF.scan_sessions(spark, path, by_folder=True).good().where("session_id like '%=a'").orderBy("seq").collect()]
     assert order == list(range(1, 11))
 
 
@@ -139,8 +144,13 @@ def test_land_and_tail(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
     put(src, "s", [HEADER, row(1), row(1), "{bad", row(2), row(3, type="SensorHealth", sensor="wifi", state="Stale")])
-    SF.land(SF.scan_sessions(spark, str(src)).good(), str(tmp_path / "batch"))
-    assert spark.read.parquet(str(tmp_path / "batch")).where("event_type = 'SensorHealth'").count() == 1
+    SF.land(SF.scan_sessions(spark, str(src)), str(tmp_path / "batch"))
+    landed = SF.read_landed(spark, str(tmp_path / "batch"))
+    assert [r.status for r in landed.sessions.collect()] == ["ok"]
+    assert landed.good().count() == 4 and [r.error for r in landed.bad().collect()] == ["BadJson"]
+    assert [r.id for r in landed.truncated().collect()] == [1, 1]
+    rec = SF.to_recording(SF.deduplicate(landed.good()))
+    assert (rec.gateway.count(), rec.health.count()) == (2, 1)
     query = TAIL.land_stream(TAIL.tail(spark, str(src)), str(tmp_path / "live"), str(tmp_path / "cp"))
     query.awaitTermination()
     put(src, "s2", [HEADER, row(7), row(8)])
@@ -156,3 +166,37 @@ def test_ids_and_backlog(make):
     assert [r.id for r in SF.assign_ids(rec.log()).orderBy("seq").collect()] == [1, 2, 3, 4, 5]
     assert sorted(r.seq for r in backlog(rec, 2).collect()) == [30, 40]
     assert backlog(rec, 0).count() == 0
+
+
+def test_live_findings_equal_a_replay(spark, tmp_path):
+    from linklore.operators.lifecycle import findings
+    from linklore.streaming.live import analyze_batches, current_findings
+
+    src = tmp_path / "in"
+    src.mkdir()
+
+    def probes(first, n, lost):
+        return [
+            row(i, at=f"2026-05-28T19:{i // 60:02d}:{i % 60:02d}Z", type="GatewayLatency", target="gw",
+                rtt={"secs": 0, "nanos": 7_000_000}, reachable=i % 2 > 0 or not lost, probe="icmp")
+            for i in range(first, first + n)
+        ]
+
+    def live():
+        (
+            TAIL.tail(spark, str(src)).writeStream.option("checkpointLocation", str(tmp_path / "cp"))
+            .foreachBatch(analyze_batches(str(tmp_path / "events"), str(tmp_path / "found")))
+            .trigger(availableNow=True).start().awaitTermination()
+        )
+
+    put(src, "a", [HEADER, *probes(1, 20, True)])
+    put(src, "quiet", [HEADER, *probes(1, 5, False)])
+    live()
+    assert [r.lifecycle for r in current_findings(spark, str(tmp_path / "found")).orderBy("at_us").collect()][0] == "Active"
+    put(src, "b", [HEADER, *probes(1, 12, True)])
+    live()
+    got = current_findings(spark, str(tmp_path / "found"))
+    want = findings(SF.read_sessions(spark, str(src)))
+    cols = ["session_id", "at_us", "fingerprint", "lifecycle", "headline"]
+    assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
+    assert {r.session_id[-1] for r in got.collect()} == {"a", "b"}
