@@ -40,7 +40,7 @@ EPISODE = [*FINGERPRINT, "episode"]
 
 def findings(rec: Recording, rules: dict[str, R.Rule] | None = None) -> DataFrame:
     """The whole pipeline: windows, timeline, rules, lifecycle."""
-    candidates = R.match(timeline(rec), rec.params, rules)
+    candidates = R.match(timeline(rec, R.needed(rules)), rec.params, rules)
     found = transitions(candidates, instants(rec), rec.params, rec.layout)
     rendered = R.render(found, rec.params, rules)
     return rendered.withColumn(

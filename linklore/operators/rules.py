@@ -37,7 +37,10 @@ class Match:
 
 @dataclass(frozen=True)
 class Rule:
+    """``needs`` names the timeline states the condition reads."""
+
     kind: str
+    needs: tuple[str, ...]
     match: Callable[[Params], Match]
     headline: Callable[[Column, Column, Params], Column]
     evidence: Callable[[Column, Column, Params], list[Column]]
@@ -254,17 +257,22 @@ def _density_evidence(n: Column, w: Column, p: Params) -> list[Column]:
 
 
 RULES: dict[str, Rule] = {
-    "rf_congestion": Rule("RfCongestion", _congestion, _congestion_headline, _congestion_evidence),
+    "rf_congestion": Rule("RfCongestion", ("rf",), _congestion, _congestion_headline, _congestion_evidence),
     "gateway_instability": Rule(
-        "GatewayInstability", _gateway, _gateway_headline, _gateway_evidence
+        "GatewayInstability", ("gw", "tput"), _gateway, _gateway_headline, _gateway_evidence
     ),
-    "dns_pathology": Rule("DnsPathology", _resolver, _resolver_headline, _resolver_evidence),
-    "sticky_client": Rule("StickyClient", _sticky, _sticky_headline, _sticky_evidence),
-    "signal_trend": Rule("SignalTrend", _signal, _signal_headline, _signal_evidence),
-    "rf_density_trend": Rule("RfDensityTrend", _density, _density_headline, _density_evidence),
+    "dns_pathology": Rule("DnsPathology", ("dns", "gw"), _resolver, _resolver_headline, _resolver_evidence),
+    "sticky_client": Rule("StickyClient", ("rf",), _sticky, _sticky_headline, _sticky_evidence),
+    "signal_trend": Rule("SignalTrend", ("sig",), _signal, _signal_headline, _signal_evidence),
+    "rf_density_trend": Rule("RfDensityTrend", ("env",), _density, _density_headline, _density_evidence),
 }
 
 
+def needed(rules: dict[str, Rule] | None = None) -> set[str]:
+    """Timeline states the given rules (default: all) read."""
+    return {state for rule in (rules or RULES).values() for state in rule.needs}
+
+
 def match(
     timeline: DataFrame, p: Params = DEFAULTS, rules: dict[str, Rule] | None = None
 ) -> DataFrame:

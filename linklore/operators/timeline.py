@@ -7,6 +7,7 @@ one exchange on the session and one sort, whatever the number of streams.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -140,86 +141,91 @@ def link_environment(rec: Recording) -> DataFrame:
     )
 
 
-def timeline(rec: Recording) -> DataFrame:
+STATES = ("gw", "dns", "rf", "sig", "env", "tput")
+
+
+def timeline(rec: Recording, needs: Iterable[str] = STATES) -> DataFrame:
     """One row per evaluation instant with the state of all streams:
     ``gw``, ``dns``, ``rf``, ``sig``, ``env``, ``tput``, and the half-window
-    changes of signal and density measured at the instant itself."""
+    changes of signal and density measured at the instant itself.
+
+    ``needs`` limits the states that are derived; instants are always all."""
     p = rec.params
-    state = F.lit(0).alias("evaluates")
-    acts = F.lit(1).alias("evaluates")
+    needs = [s for s in STATES if s in set(needs)]
     event = F.lit(0).alias("is_tick")
 
-    gw = W.gateway_window(rec).select(
-        *BASE, event, acts, F.struct("n", "loss", "median_ms", "p95_ms", "elevated", "target").alias("gw_now")
-    )
-    dns = W.dns_window(rec).select(
-        *BASE, event, acts, F.struct("n", "fail", "median_ms").alias("dns_now")
-    )
-    rf = link_environment(rec).select(
-        *BASE, event, acts, F.struct("link", "heard", "channel_aps", "alternative").alias("rf_now")
-    )
-    sig_fields = ["epoch", "identity_key", "since_us", "samples"]
-    sig = W.signal_window(rec).select(
-        *BASE, event, state, F.struct(*sig_fields).alias("sig_now"), F.col("rssi_dbm").alias("rssi")
-    )
-    no_sig = F.struct(
-        F.lit(None).cast("bigint").alias("epoch"),
-        F.lit(None).cast("string").alias("identity_key"),
-        F.lit(None).cast("bigint").alias("since_us"),
-        F.lit(None).cast("bigint").alias("samples"),
-    )
-    sig_lost = rec.wifi_lost().select(*BASE, event, state, no_sig.alias("sig_now"))
-    env = W.density_window(rec).select(
-        *BASE, event, state, F.struct("ap_count", "samples").alias("env_now"), F.col("ap_count").alias("aps")
-    )
-    tput = W.throughput_window(rec).select(
-        *BASE, event, state, F.struct("rx_bps", "tx_bps").alias("tput_now")
-    )
-    no_rate = F.lit(None).cast("double")
-    tput_lost = rec.iface_lost().select(
-        *BASE, event, state, F.struct(no_rate.alias("rx_bps"), no_rate.alias("tx_bps")).alias("tput_now")
-    )
-    tick = ticks(rec).select("session_id", "seq", "at_us", F.lit(1).alias("is_tick"), acts)
-    merged = reduce(
-        lambda a, b: a.unionByName(b, allowMissingColumns=True),
-        [gw, dns, rf, sig, sig_lost, env, tput, tput_lost, tick],
-    )
-    order = [*INSTANT, "evaluates"]
+    def rows(df: DataFrame, acts: bool, *state: Column) -> DataFrame:
+        return df.select(*BASE, event, F.lit(int(acts)).alias("evaluates"), *state)
+
+    parts = [
+        ticks(rec).select(
+            "session_id", "seq", "at_us", F.lit(1).alias("is_tick"), F.lit(1).alias("evaluates")
+        )
+    ]
+    # Events whose state is not needed still are instants.
+    idle = [t for t, s in zip(EVALUATED, ("gw", "dns", "rf", "rf")) if s not in needs]
+    if idle:
+        parts.append(rows(rec.log().where(F.col("event_type").isin(*idle)), True))
+    if "gw" in needs:
+        fields = F.struct("n", "loss", "median_ms", "p95_ms", "elevated", "target")
+        parts.append(rows(W.gateway_window(rec), True, fields.alias("gw_now")))
+    if "dns" in needs:
+        fields = F.struct("n", "fail", "median_ms")
+        parts.append(rows(W.dns_window(rec), True, fields.alias("dns_now")))
+    if "rf" in needs:
+        fields = F.struct("link", "heard", "channel_aps", "alternative")
+        parts.append(rows(link_environment(rec), True, fields.alias("rf_now")))
+    if "sig" in needs:
+        fields = F.struct("epoch", "identity_key", "since_us", "samples")
+        parts.append(
+            rows(W.signal_window(rec), False, fields.alias("sig_now"), F.col("rssi_dbm").alias("rssi"))
+        )
+        nothing = F.struct(
+            F.lit(None).cast("bigint").alias("epoch"),
+            F.lit(None).cast("string").alias("identity_key"),
+            F.lit(None).cast("bigint").alias("since_us"),
+            F.lit(None).cast("bigint").alias("samples"),
+        )
+        parts.append(rows(rec.wifi_lost(), False, nothing.alias("sig_now")))
+    if "env" in needs:
+        fields = F.struct("ap_count", "samples")
+        parts.append(
+            rows(W.density_window(rec), False, fields.alias("env_now"), F.col("ap_count").alias("aps"))
+        )
+    if "tput" in needs:
+        fields = F.struct("rx_bps", "tx_bps")
+        parts.append(rows(W.throughput_window(rec), False, fields.alias("tput_now")))
+        none = F.lit(None).cast("double")
+        nothing = F.struct(none.alias("rx_bps"), none.alias("tx_bps"))
+        parts.append(rows(rec.iface_lost(), False, nothing.alias("tput_now")))
+
     df = scan(
-        merged,
+        reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts),
         ["session_id"],
         rec.layout,
-        order,
+        [*INSTANT, "evaluates"],
         slice_of(rec.layout),
-        **{
-            name: last_known(F.col(f"{name}_now"))
-            for name in ("gw", "dns", "rf", "sig", "env", "tput")
-        },
-    ).withColumn("sig_epoch", F.col("sig.epoch"))
-    peers = ["is_tick", "seq", "evaluates"]
-    df = trailing(
-        df,
-        ["session_id", "sig_epoch"],
-        rec.layout,
-        peers,
-        **W.half_frames("rssi", p.us(p.signal_lookback), p, "sig"),
-    )
-    df = trailing(
-        df,
-        ["session_id"],
-        rec.layout,
-        peers,
-        **W.half_frames("aps", p.us(p.density_lookback), p, "env"),
-    )
-    return df.where("evaluates = 1").select(
-        "session_id",
-        *INSTANT,
-        "gw",
-        "dns",
-        "rf",
-        "sig",
-        "env",
-        "tput",
-        F.when(F.col("sig_epoch").isNotNull(), W.half_delta("sig")).alias("rssi_delta"),
-        W.half_delta("env").alias("density_delta"),
+        **{name: last_known(F.col(f"{name}_now")) for name in needs},
     )
+    peers = ["is_tick", "seq", "evaluates"]
+    extra = []
+    if "sig" in needs:
+        df = trailing(
+            df.withColumn("sig_epoch", F.col("sig.epoch")),
+            ["session_id", "sig_epoch"],
+            rec.layout,
+            peers,
+            **W.half_frames("rssi", p.us(p.signal_lookback), p, "sig"),
+        )
+        held = F.col("sig_epoch").isNotNull()
+        extra.append(F.when(held, W.half_delta("sig")).alias("rssi_delta"))
+    if "env" in needs:
+        df = trailing(
+            df,
+            ["session_id"],
+            rec.layout,
+            peers,
+            **W.half_frames("aps", p.us(p.density_lookback), p, "env"),
+        )
+        extra.append(W.half_delta("env").alias("density_delta"))
+    return df.where("evaluates = 1").select("session_id", *INSTANT, *needs, *extra)

@@ -93,7 +93,8 @@ def _timeline(rec: Recording) -> DataFrame:
 
 def _rule(name: str) -> Callable[[Recording], DataFrame]:
     def run(rec: Recording) -> DataFrame:
-        return R.evaluate(TL.timeline(rec), rec.params, {name: R.RULES[name]})
+        rule = {name: R.RULES[name]}
+        return R.evaluate(TL.timeline(rec, R.needed(rule)), rec.params, rule)
 
     return run
 

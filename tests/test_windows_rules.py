@@ -63,7 +63,7 @@ def test_throughput_rates_resets_and_last_two_samples(make):
 
 
 def fired(rec, rule):
-    df = R.evaluate(T.timeline(rec), rec.params, {rule: R.RULES[rule]})
+    df = R.evaluate(T.timeline(rec, R.RULES[rule].needs), rec.params, {rule: R.RULES[rule]})
     return {r.session_id: r for r in df.where("is_tick = 0").orderBy("at_us", "seq").collect()}
 
 
