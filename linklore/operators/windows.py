@@ -18,12 +18,14 @@ from ..plans.sequence import (
     frame_list,
     frame_sum,
     last_known,
+    materialize,
     position,
     previous,
     running,
     scan,
     trailing,
 )
+from ..plans.selection import frame_count_above, frame_value_at_rank
 from ..sources.recording import BASE, Recording
 
 SESSION = ["session_id"]
@@ -40,51 +42,93 @@ def _ratio(part: Column, whole: Column) -> Column:
 def gateway_window(rec: Recording) -> DataFrame:
     """Count, loss, upper median, nearest-rank p95 and elevated count over the
     latency span ending at every probe."""
-    p = rec.params
-    ok = F.col("reachable")
-    span = p.us(p.latency_span)
-    df = trailing(
-        rec.gateway,
-        SESSION,
-        rec.layout,
-        n=frame_count(F.lit(1), span),
-        lost=frame_count(F.when(~ok, 1), span),
-        rtts=frame_list(F.when(ok, F.col("rtt_ms")), span),
-    )
-    df = df.withColumn("ordered", F.array_sort("rtts")).withColumn(
-        "median_ms", L.upper_median(F.col("ordered"))
-    )
-    limit = F.col("median_ms") * p.elevated_multiple
+    df = _latency_frames(rec, rec.gateway, "reachable", rec.params.elevated_multiple)
     return df.select(
-        *BASE,
-        "target",
-        "n",
-        _ratio(F.col("lost"), F.col("n")).alias("loss"),
-        "median_ms",
-        L.nearest_p95(F.col("ordered")).alias("p95_ms"),
-        F.coalesce(F.size(F.filter("ordered", lambda x: x > limit)), F.lit(0))
-        .cast("bigint")
-        .alias("elevated"),
+        *BASE, "target", "n", _ratio(F.col("bad"), F.col("n")).alias("loss"),
+        "median_ms", "p95_ms", "elevated",
     )
 
 
 def dns_window(rec: Recording) -> DataFrame:
+    df = _latency_frames(rec, rec.dns, "answered")
+    return df.select(
+        *BASE, "n", _ratio(F.col("bad"), F.col("n")).alias("fail"), "median_ms"
+    )
+
+
+def _latency_frames(
+    rec: Recording, rows: DataFrame, ok_col: str, multiple: float | None = None
+) -> DataFrame:
+    """Frame size, failures and order statistics of the successful round trips."""
     p = rec.params
-    ok = F.col("answered")
     span = p.us(p.latency_span)
+    ok = F.col(ok_col)
+    counts = {
+        "n": frame_count(F.lit(1), span),
+        "bad": frame_count(F.when(~ok, 1), span),
+    }
+    if rec.layout.split:
+        rows = materialize(rows)
+        sized = materialize(trailing(rows, SESSION, rec.layout, **counts))
+        if (sized.agg(F.max("n")).first()[0] or 0) > rec.layout.frame_rows:
+            return _dense_statistics(rec, sized, ok_col, multiple)
     df = trailing(
-        rec.dns,
-        SESSION,
-        rec.layout,
-        n=frame_count(F.lit(1), span),
-        failed=frame_count(F.when(~ok, 1), span),
-        rtts=frame_list(F.when(ok, F.col("rtt_ms")), span),
+        rows, SESSION, rec.layout, **counts, rtts=frame_list(F.when(ok, F.col("rtt_ms")), span)
     )
-    return df.select(
-        *BASE,
-        "n",
-        _ratio(F.col("failed"), F.col("n")).alias("fail"),
-        L.upper_median(F.array_sort("rtts")).alias("median_ms"),
+    df = df.withColumn("ordered", F.array_sort("rtts")).withColumn(
+        "median_ms", L.upper_median(F.col("ordered"))
+    )
+    df = df.withColumn("p95_ms", L.nearest_p95(F.col("ordered")))
+    if multiple is not None:
+        limit = F.col("median_ms") * multiple
+        above = F.size(F.filter("ordered", lambda x: x > limit))
+        df = df.withColumn("elevated", F.coalesce(above, F.lit(0)).cast("bigint"))
+    return df.drop("rtts", "ordered")
+
+
+def _dense_statistics(
+    rec: Recording, sized: DataFrame, ok_col: str, multiple: float | None
+) -> DataFrame:
+    """The same columns without collecting frames (see ``plans.selection``)."""
+    span = rec.params.us(rec.params.latency_span)
+    key = [*SESSION, "at_us", "seq"]
+    elements = materialize(
+        sized.where(ok_col).select(*key, F.col("rtt_nanos").alias("value"))
+    )
+    top = elements.agg(F.max("value")).first()[0] or 0
+    members = F.col("n") - F.col("bad")
+    p95 = F.least(F.floor(members * F.lit(0.95)).cast("bigint"), members - 1)
+    half = F.floor(members / 2).cast("bigint")
+    asked = sized.where(members > 0).select(
+        *key,
+        F.explode(
+            F.array(
+                F.struct(F.lit("median").alias("name"), half.alias("rank")),
+                F.struct(F.lit("p95").alias("name"), p95.alias("rank")),
+            )
+        ).alias("q"),
+    ).select(*key, "q.*")
+    values = frame_value_at_rank(elements, asked, SESSION, span, top, rec.layout)
+    values = materialize(
+        values.groupBy(*key).agg(
+            F.max(F.when(F.col("name") == "median", F.col("value"))).alias("median"),
+            F.max(F.when(F.col("name") == "p95", F.col("value"))).alias("p95"),
+        )
+    )
+    df = sized.join(values, key, "left")
+    if multiple is not None:
+        limit = F.least(F.floor(F.col("median") * multiple).cast("bigint"), F.lit(top))
+        asked = df.where(F.col("median").isNotNull()).select(
+            *key, members.alias("n"), limit.alias("limit")
+        )
+        above = frame_count_above(elements, asked, SESSION, span, top, rec.layout)
+        df = df.join(above, key, "left").withColumn(
+            "elevated", F.coalesce("above", F.lit(0).cast("bigint"))
+        ).drop("above")
+    return (
+        df.withColumn("median_ms", L.nanos_to_ms(F.col("median")))
+        .withColumn("p95_ms", L.nanos_to_ms(F.col("p95")))
+        .drop("median", "p95")
     )
 
 

@@ -38,6 +38,8 @@ class Layout:
 
     segment_rows: int | None = None
     segment_us: int | None = None
+    #: Frames of a split session with more rows are never collected.
+    frame_rows: int = 20_000
 
     @property
     def split(self) -> bool:

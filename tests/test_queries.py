@@ -57,3 +57,11 @@ def test_layout_is_chosen_by_the_largest_session(spark):
 
     assert choose_layout(log, 100) == WHOLE
     assert choose_layout(log, 25) == Layout(25, 247)
+
+
+@pytest.mark.parametrize("name", ["gateway_window", "dns_window"])
+def test_dense_frames_are_selected_not_collected(spark, name):
+    operator = catalog.OPERATORS[name]
+    whole = catalog.flat(operator(lens.recording(spark, DATA)))
+    dense = catalog.flat(operator(lens.recording(spark, DATA, Layout(37, 11 * HOUR, frame_rows=3))))
+    assert rows_of(whole.columns, whole.collect()) == rows_of(dense.columns, dense.collect())
