@@ -219,7 +219,8 @@ def frame_list(value: Column, start_us: int) -> _Frame:
 
 
 def frame_earliest(value: Column, start_us: int) -> _Frame:
-    """Smallest value among strictly earlier rows of the frame."""
+    """First row of the frame, if it comes before this one.  ``value`` is a struct
+    that starts with ``at_us, seq``."""
     return _Frame("earliest", value, start_us, None)
 
 
@@ -255,13 +256,22 @@ def trailing(
             )
         )
         part.append("_slice")
-    out = df.select("*", *[_frame(f, part, order).alias(n) for n, f in frames.items()])
+    in_order = Window.partitionBy(*part).orderBy("at_us", *order)
+    df = df.select(
+        "*",
+        *[
+            F.lead(f.value).over(in_order).alias(f"_next_{n}")
+            for n, f in frames.items()
+            if f.kind == "earliest"
+        ],
+    )
+    out = df.select("*", *[_frame(n, f, part, order).alias(n) for n, f in frames.items()])
     if layout.split:
         out = out.where("_slice = _own")
     return out.select(*cols, *frames)
 
 
-def _frame(f: _Frame, part: list[str], order: list[str]) -> Column:
+def _frame(name: str, f: _Frame, part: list[str], order: list[str]) -> Column:
     by_time = Window.partitionBy(*part).orderBy("at_us")
     peers = (
         Window.partitionBy(*part, "at_us")
@@ -269,7 +279,13 @@ def _frame(f: _Frame, part: list[str], order: list[str]) -> Column:
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     if f.kind == "earliest":
-        return F.min(f.value).over(by_time.rangeBetween(-f.start, -1))
+        # The row after the last one before the frame; without such a row, the
+        # very first.  Both come from frames that only grow.
+        outside = by_time.rangeBetween(Window.unboundedPreceding, -f.start - 1)
+        last_out = F.max(F.struct("at_us", "seq", F.col(f"_next_{name}").alias("next"))).over(outside)
+        start = F.min(f.value).over(by_time.rangeBetween(Window.unboundedPreceding, 0))
+        first = F.coalesce(last_out["next"], start)
+        return F.when(first["seq"] != F.col("seq"), first)
     if f.kind == "list":
         earlier = by_time.rangeBetween(-f.start, -1)
         return F.concat(
