@@ -340,10 +340,23 @@ def link_idle(rx_bps: Column, tx_bps: Column, floor_bps: float) -> Column:
 # -- bounded series --------------------------------------------------------
 
 
+#: Up to this rank Spark limits every group before the exchange by itself.
+_GROUP_LIMIT = 1000
+_SALTS = 64
+
+
 def last_n(df: DataFrame, n: int, keys: list[str] | None = None) -> DataFrame:
-    """The newest ``n`` rows per session.  Ranking with a bound keeps at most
-    ``n`` rows per session and task before the exchange."""
+    """The newest ``n`` rows per session.  Only candidates reach the task that
+    ranks a session: Spark cuts small bounds map-side, larger ones are cut per
+    salted part of the session first."""
     keys = keys or SESSION
+    if n > _GROUP_LIMIT:
+        salted = df.withColumn("_salt", F.pmod(F.xxhash64("seq"), F.lit(_SALTS)))
+        df = _newest(salted, n, [*keys, "_salt"]).drop("_salt")
+    return _newest(df, n, keys)
+
+
+def _newest(df: DataFrame, n: int, keys: list[str]) -> DataFrame:
     newest = Window.partitionBy(*keys).orderBy(F.desc("seq"))
     return (
         df.withColumn("_rank", F.row_number().over(newest)).where(F.col("_rank") <= n).drop("_rank")

@@ -166,6 +166,8 @@ def test_ids_and_backlog(make):
     assert [r.id for r in SF.assign_ids(rec.log()).orderBy("seq").collect()] == [1, 2, 3, 4, 5]
     assert sorted(r.seq for r in backlog(rec, 2).collect()) == [30, 40]
     assert backlog(rec, 0).count() == 0
+    long = make(gateway=[gateway("a", i, i, 5) for i in range(3000)])
+    assert sorted(r.seq for r in backlog(long, 1500).collect()) == list(range(1500, 3000))
 
 
 def test_live_findings_equal_a_replay(spark, tmp_path):
