@@ -174,7 +174,7 @@ def _material(delta, p: Params):
 def _chain_whole(marks: DataFrame, p: Params, layout: Layout) -> DataFrame:
     """Fold an episode's (time, confidence) pairs inside the JVM."""
     step = F.struct(*INSTANT, "confidence")
-    ordered = marks.groupBy(*EPISODE).agg(F.array_sort(F.collect_list(step)).alias("steps"))
+    ordered = marks.groupBy(*EPISODE).agg(F.sort_array(F.collect_list(step)).alias("steps"))
     hit = "struct<at_us:bigint,is_tick:int,seq:bigint,lifecycle:string>"
     start = F.struct(
         F.lit(None).cast("bigint").alias("at_us"),

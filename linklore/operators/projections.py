@@ -340,7 +340,7 @@ def _history(df: DataFrame, n: int, *cols: str) -> DataFrame:
     return (
         W.last_n(df, n)
         .groupBy(*SESSION)
-        .agg(F.array_sort(F.collect_list(F.struct("seq", "at_us", *cols))).alias("h"))
+        .agg(F.sort_array(F.collect_list(F.struct("seq", "at_us", *cols))).alias("h"))
         .withColumn("last", F.element_at("h", -1))
     )
 
@@ -383,7 +383,7 @@ def _phrase(word: Column, secs: Column) -> Column:
 
 
 def _good(ok: str) -> Column:
-    return F.array_sort(
+    return F.sort_array(
         F.transform(F.filter("h", lambda x: x[ok]), lambda x: x["rtt_ms"])
     )
 

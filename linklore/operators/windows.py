@@ -75,7 +75,7 @@ def _latency_frames(
     df = trailing(
         rows, SESSION, rec.layout, **counts, rtts=frame_list(F.when(ok, F.col("rtt_ms")), span)
     )
-    df = df.withColumn("ordered", F.array_sort("rtts")).withColumn(
+    df = df.withColumn("ordered", F.sort_array("rtts")).withColumn(
         "median_ms", L.upper_median(F.col("ordered"))
     )
     df = df.withColumn("p95_ms", L.nearest_p95(F.col("ordered")))
@@ -421,7 +421,7 @@ def _last_probes(gateway: DataFrame, n: int, layout: Layout) -> DataFrame:
         part.append("_slice")
     frame = Window.partitionBy(*part).orderBy("seq").rowsBetween(-(n - 1), 0)
     out = gateway.withColumn(
-        "median_ms", L.upper_median(F.array_sort(F.collect_list("rtt_ms").over(frame)))
+        "median_ms", L.upper_median(F.sort_array(F.collect_list("rtt_ms").over(frame)))
     )
     if layout.split:
         out = out.where("_slice = _own")

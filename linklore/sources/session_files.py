@@ -454,7 +454,7 @@ def envelopes_of(rec: Recording) -> DataFrame:
             "security", "phy_mode", "confidence",
         )
         heard = rec.neighbors.groupBy("session_id", F.col("scan_seq").alias("seq")).agg(
-            F.transform(F.array_sort(F.collect_list(ap)), lambda x: x.dropFields("pos")).alias("neighbors")
+            F.transform(F.sort_array(F.collect_list(ap)), lambda x: x.dropFields("pos")).alias("neighbors")
         )
         scans = rec.scans.join(heard, ["session_id", "seq"], "left").withColumn(
             "neighbors", F.coalesce("neighbors", F.array().cast(f"array<{_NEIGHBOR}>"))
