@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules
+from . import language_id, quality_rules
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,8 +17,15 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op4_quality_rules": op4_quality_rules}
+    return {
+        "op4_quality_rules": op4_quality_rules,
+        "op10_language_id": op10_language_id,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
