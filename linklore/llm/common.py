@@ -62,3 +62,10 @@ def bounded_sample(df: DataFrame, total: int, bound: int, *by: Column) -> DataFr
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def join_nulls(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` with null equal to null; ``right`` must have no other column of ``left``."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    on = [left[k].eqNullSafe(renamed[f"_right_{k}"]) for k in keys]
+    return left.join(renamed, on, how).drop(*[f"_right_{k}" for k in keys])

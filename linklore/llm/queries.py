@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, minhash_dedup, quality_rules
+from . import language_id, minhash_dedup, mixing, quality_rules
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "source_size", "target", "taken", "source", "times")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_rules.judge(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
@@ -27,6 +32,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_source_mixing": op2_source_mixing,
         "op4_quality_rules": op4_quality_rules,
         "op8_minhash_dedup": op8_minhash_dedup,
         "op10_language_id": op10_language_id,
