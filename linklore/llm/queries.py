@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, minhash_dedup, mixing, quality_rules, secret_scan
+from . import language_id, minhash_dedup, mixing, quality_rules, secret_scan, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -38,6 +42,7 @@ def queries() -> dict[str, Query]:
     return {
         "op2_source_mixing": op2_source_mixing,
         "op4_quality_rules": op4_quality_rules,
+        "op6_toxicity": op6_toxicity,
         "op8_minhash_dedup": op8_minhash_dedup,
         "op9_secret_scan": op9_secret_scan,
         "op10_language_id": op10_language_id,
