@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, minhash_dedup, mixing, quality_rules, secret_scan, toxicity
+from . import language_id, minhash_dedup, mixing, packing, quality_rules, secret_scan, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +27,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -43,6 +48,7 @@ def queries() -> dict[str, Query]:
         "op2_source_mixing": op2_source_mixing,
         "op4_quality_rules": op4_quality_rules,
         "op6_toxicity": op6_toxicity,
+        "op7_packing": op7_packing,
         "op8_minhash_dedup": op8_minhash_dedup,
         "op9_secret_scan": op9_secret_scan,
         "op10_language_id": op10_language_id,
