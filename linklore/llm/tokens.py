@@ -14,7 +14,7 @@ import numpy as np
 #: looks at neighbours, and no token crosses white space.
 _UNUSUAL = re.compile(r"[^\x00-\x1B\x20-ɏ]|<\|")
 #: Words remembered by a worker.
-_MOST_WORDS = 300_000
+_MOST_WORDS = 800_000
 
 
 class WordCache:
