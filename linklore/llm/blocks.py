@@ -51,15 +51,18 @@ def dealt(rows: DataFrame) -> DataFrame:
     return out.select("key", "_task.k", "_task.i", "_task.j", *[c for c in rows.columns if c != "key"])
 
 
-def by_task(
-    rows: DataFrame, keys: list[str], work: Callable[[pa.Table], tuple[list, list]], names: tuple[str, str] = ("u", "v")
+def runs_of(
+    rows: DataFrame, keys: list[str], work: Callable[[pa.Table], tuple], columns: list[tuple[str, pa.DataType]]
 ) -> DataFrame:
-    """Two columns of ids from ``work`` on the rows of every key, one key at a time."""
+    """Columns of longs from ``work`` on the rows of every key, one key at a time.
+
+    Keys are brought together and in order by Spark; a task holds the rows of one key.
+    """
+    names, types = [n for n, _ in columns], [t for _, t in columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(table: pa.Table) -> pa.RecordBatch:
-            u, v = work(table)
-            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], list(names))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(work(table), types)], names)
 
         rest: pa.Table | None = None
         for batch in batches:
@@ -77,8 +80,13 @@ def by_task(
         if rest is not None and rest.num_rows:
             yield done(rest)
 
-    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, "id")
-    return ordered.mapInArrow(run, f"{names[0]} long, {names[1]} long")
+    ordered = rows.repartition(*keys).sortWithinPartitions(*keys)
+    return ordered.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+
+
+def by_task(rows: DataFrame, keys: list[str], work: Callable[[pa.Table], tuple[list, list]]) -> DataFrame:
+    """Edges (u, v) from ``work`` on the rows of every key."""
+    return runs_of(rows, keys, work, [("u", pa.int64()), ("v", pa.int64())])
 
 
 class Forest:
