@@ -33,11 +33,11 @@ from .components import components
 
 LEAST_COSINE = 0.93
 #: Share of pairs at the least similarity whose cell one side alone visits.
-TARGET_RECALL = 0.97
+TARGET_RECALL = 0.99
 #: Vectors the codebooks are fitted on, at most.
 SAMPLE_ROWS = 8192
 #: Vectors a cell of the largest label should hold.
-CELL_ROWS = 64
+CELL_ROWS = 128
 MOST_CODES = 1024
 BLOCK = 512
 
