@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, minhash_dedup, mixing, multi_index, packing, quality_rules, secret_scan, toxicity
+from . import fixity, language_id, minhash_dedup, mixing, multi_index, packing, quality_rules, secret_scan, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixity.audit_pages(table(spark, sf_dir, "pages"))
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken", "source", "times")
@@ -49,6 +53,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_warc_fixity": op1_warc_fixity,
         "op2_source_mixing": op2_source_mixing,
         "op3_multi_index": op3_multi_index,
         "op4_quality_rules": op4_quality_rules,
@@ -61,4 +66,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_warc_fixity": fixity.AUDIT_SQL}
