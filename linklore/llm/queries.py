@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fixity, language_id, minhash_dedup, mixing, multi_index, packing, quality_rules, secret_scan, toxicity
+from . import fixity, language_id, license_rules, minhash_dedup, mixing, multi_index, packing, quality_rules, secret_scan, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_rules.recognise(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -57,6 +61,7 @@ def queries() -> dict[str, Query]:
         "op2_source_mixing": op2_source_mixing,
         "op3_multi_index": op3_multi_index,
         "op4_quality_rules": op4_quality_rules,
+        "op5_license_rules": op5_license_rules,
         "op6_toxicity": op6_toxicity,
         "op7_packing": op7_packing,
         "op8_minhash_dedup": op8_minhash_dedup,
@@ -66,4 +71,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_fixity": fixity.AUDIT_SQL}
+    return {"op1_warc_fixity": fixity.AUDIT_SQL, "op5_license_rules": license_rules.recognise_sql()}
