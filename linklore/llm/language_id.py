@@ -247,11 +247,14 @@ def fit(docs: DataFrame, usable: Column, sample_rows: int = SAMPLE_ROWS) -> Netw
 # prediction
 
 
-def predict(docs: DataFrame, net: Network, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """``keep``, ``lang_pred`` and ``score`` of every row."""
+def predict(
+    docs: DataFrame, net: Network, keep: tuple[str, ...] = ("doc_id",), text: str = "text",
+    into: tuple[str, str] = ("lang_pred", "score"),
+) -> DataFrame:
+    """``keep``, and language and score of every row in the columns ``into``."""
     shown = docs.select(*keep)
-    fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
-    names = [*keep, "lang_pred", "score"]
+    fields = [T.StructField(into[0], T.StringType()), T.StructField(into[1], T.DoubleType())]
+    names = [*keep, *into]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -283,3 +286,12 @@ def identify(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     net = fit(docs, ~held_out(F.col("doc_id")), sample_rows)
     out = predict(docs, net)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def spoken(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of ``docs`` whose language is known: all but the ``und`` ones."""
+    net = fit(docs, ~held_out(F.col("doc_id")), sample_rows)
+    found = predict(docs, net, tuple(docs.columns), into=("_lang_pred", "_lang_score"))
+    return found.where(F.col("_lang_pred") != UNKNOWN).drop("_lang_pred", "_lang_score") if net.classes else docs.where(
+        F.col("text").rlike(r"\p{L}")
+    )

@@ -25,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import Forest, by_task, dealt
@@ -69,14 +69,14 @@ def _texts(batch: pa.RecordBatch, i: int) -> list[bytes | None]:
 
 
 def _sets(docs: DataFrame, p: Banding) -> DataFrame:
-    """doc_id, n_shingles, set_key and the keys of all bands."""
+    """doc_id, text_hash, n_shingles, set_key and the keys of all bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family = MinHashes(p.hashes)
         salt = mixed(np.arange(1, p.bands + 1, dtype=np.uint64))
         for batch in batches:
             n, keys, bands = [], [], []
-            for s in shingle_sets(_texts(batch, 1), p.words):
+            for s in shingle_sets(_texts(batch, 2), p.words):
                 n.append(len(s))
                 keys.append(set_key(s))
                 minima = family.of(s).astype(np.uint64).reshape(p.bands, p.rows)
@@ -84,11 +84,12 @@ def _sets(docs: DataFrame, p: Banding) -> DataFrame:
                 for j in range(p.rows):
                     h = mixed(h + minima[:, j])
                 bands.append(h.tobytes() if len(s) else None)
-            cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "set_key", "bands"])
+            made = [pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *made], names)
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands binary")
+    names = ["doc_id", "text_hash", "n_shingles", "set_key", "bands"]
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, set_key binary, bands binary")
 
 
 def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +229,7 @@ def _mixed_buckets(members: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, p: Banding = Banding()) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row of ``docs``."""
+    """doc_id, text_hash, n_shingles, component_id and kept of every row of ``docs``."""
     sets = settle(_sets(docs, p), "sets")
     named = sets.where("set_key is not null and doc_id is not null")
     reps = settle(named.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "reps")
@@ -255,7 +256,19 @@ def near_duplicates(docs: DataFrame, p: Banding = Banding()) -> DataFrame:
 
     final = _with_class(reps, first, "rep").select("set_key", F.col("comp").alias("_first"))
     final = _with_class(final, second, "_first").select("set_key", "comp")
-    out = sets.select("doc_id", "n_shingles", "set_key").join(final, "set_key", "left")
+    out = sets.select("doc_id", "text_hash", "n_shingles", "set_key").join(final, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
     kept = F.coalesce(F.col("doc_id") == component, F.lit(True))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
+    return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), kept.alias("kept"))
+
+
+def deduplicated(docs: DataFrame, p: Banding = Banding()) -> DataFrame:
+    """The rows of ``docs`` that are kept; of rows that repeat id and text, one."""
+    verdict = near_duplicates(docs, p).where(~F.col("kept"))
+    removed = verdict.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h")).distinct()
+    # Rows without an id all stay, so they get numbers of their own and never meet.
+    h = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(F.xxhash64("text"))
+    rows = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_h", h)
+    left = rows.join(removed, ["_id", "_h"], "left_anti")
+    first = F.row_number().over(Window.partitionBy("_id", "_h").orderBy("_id"))
+    return left.withColumn("_nth", first).where("_nth = 1").select(*docs.columns)
