@@ -117,6 +117,8 @@ RULES = (
 #: Every known sentence holds one of these words, so a text without them has none.
 MARKERS = "(?i)licen[cs]e|copyright|permission|warranty|redistribut|reserved|public domain"
 _END = r"([.!?:])\s+"
+#: The colon of this tag ends no sentence.
+_TAG = "(?i)(spdx-license-identifier):[ \t]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -160,7 +162,7 @@ def _written(identifiers: Column) -> Column:
 
 def recognise(docs: DataFrame) -> DataFrame:
     """doc_id, n_sentences (known ones), sentences, licenses and unmatched of every row."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    text = F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), _TAG, "$1 ")
     lines = F.split(F.regexp_replace(text, _END, "$1\n"), r"[\r\n]+")
     joined = F.split(F.regexp_replace(F.regexp_replace(text, r"\s+", " "), r"([.!?:]) ", "$1\n"), "\n")
     none = F.array().cast("array<string>")
@@ -204,7 +206,7 @@ def recognise_sql() -> str:
     return f"""
 WITH RECURSIVE known(sentence, id) AS (VALUES {known}),
 rules(i, name, ids) AS (VALUES {rules}),
-marked AS (SELECT doc_id, text FROM documents WHERE regexp_matches(text, {quoted(MARKERS)})),
+marked AS (SELECT doc_id, regexp_replace(text, {quoted(_TAG)}, '\\1 ', 'g') AS text FROM documents WHERE regexp_matches(text, {quoted(MARKERS)})),
 {fill("by_line", lines)},
 {fill("by_joined", joined)},
 chosen AS (
