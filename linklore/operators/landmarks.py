@@ -189,8 +189,8 @@ def _regime_word(regime: Column) -> Column:
 def from_throughput(rec: Recording) -> DataFrame:
     p = rec.params
     df = _runs(W.step_rate(rec), "regime", rec)
-    df = scan(df, [*SESSION, "run"], rec.layout, start_us=running_min(F.col("at_us")))
-    held = L.whole_seconds(F.col("at_us") - F.col("start_us"), p) >= p.throughput_hold
+    df = scan(df, [*SESSION, "run"], rec.layout, begun=running_min(F.struct("seq", "at_us")))
+    held = L.whole_seconds(F.col("at_us") - F.col("begun.at_us"), p) >= p.throughput_hold
     kept = (
         df.groupBy(*SESSION, "run", "regime")
         .agg(

@@ -446,16 +446,18 @@ def dns_card(rec: Recording) -> DataFrame:
 
 
 def throughput_card(rec: Recording) -> DataFrame:
-    """Latest rates, and how long the activity regime has held.  A lost
-    interface clears the history."""
+    """Rates of the newest counter row, and how long the activity regime has held.
+    After a counter reset the newest row has no rate, while the history stays.  A
+    lost interface clears both."""
     p = rec.params
-    rated = W.throughput_window(rec).where(F.col("step_rx_bps").isNotNull())
+    rated = W.throughput_window(rec)
     lost = rec.iface_lost().groupBy(*SESSION).agg(F.max("seq").alias("lost_seq"))
     rated = rated.join(lost, "session_id", "left").where(
         F.col("lost_seq").isNull() | (F.col("seq") > F.col("lost_seq"))
     )
+    newest = rated.groupBy(*SESSION).agg(F.max_by(F.struct("rx_bps", "tx_bps"), "seq").alias("now"))
     df = _history(
-        rated, p.throughput_history, "rx_bps", "tx_bps", "step_rx_bps", "step_tx_bps"
+        rated.where(F.col("step_rx_bps").isNotNull()), p.throughput_history, "rx_bps", "tx_bps", "step_rx_bps", "step_tx_bps"
     )
 
     def regime(x: Column) -> Column:
@@ -463,10 +465,10 @@ def throughput_card(rec: Recording) -> DataFrame:
 
     last = F.col("last")
     word = F.when(regime(last) == "trickle", "trickling").otherwise(regime(last))
-    return df.withColumn("held_secs", _persistence(_agreement(regime), p)).select(
+    return df.withColumn("held_secs", _persistence(_agreement(regime), p)).join(newest, SESSION).select(
         *SESSION,
-        last["rx_bps"].alias("rx_bps"),
-        last["tx_bps"].alias("tx_bps"),
+        "now.rx_bps",
+        "now.tx_bps",
         regime(last).alias("regime"),
         _phrase(word, F.col("held_secs")).alias("stance"),
     )

@@ -149,11 +149,11 @@ def coverage_time(rec: Recording) -> DataFrame:
         df,
         [*SESSION, "source"],
         rec.layout,
-        first_us=running_min(F.when(data, F.col("at_us"))),
+        first=running_min(F.when(data, F.struct("seq", "at_us"))),
         latest_us=last_known(F.when(data, F.col("at_us"))),
         state=last_known(F.col("health_state")),
     )
-    span = L.active_duration(F.col("first_us"), F.col("latest_us"), p)
+    span = L.active_duration(F.col("first.at_us"), F.col("latest_us"), p)
     df = df.withColumn(
         "ok", _covered(span, F.col("state") != "Operational", p.coverage_window)
     )

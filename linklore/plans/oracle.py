@@ -590,8 +590,9 @@ QUERIES: dict[str, str] = {
     "link_card": f"""SELECT session_id, ssid, bssid, rssi_dbm, snr_db, quality, held_secs,
         CASE WHEN held_secs IS NULL THEN '—' ELSE {_dur('held_secs')} END AS held, delta,
         CASE WHEN delta IS NULL THEN '…' WHEN abs(delta) < 1.5 THEN 'stable' ELSE format('{{:+.0f}} dB / 60s', delta) END AS drift FROM lc2""",
-    "throughput_card": f"""SELECT t.session_id, rx_bps, tx_bps, t.cls AS regime, CASE WHEN held IS NOT NULL THEN replace(t.cls, 'trickle', 'trickling') || ' ' || {_dur('held')} END AS stance
-        FROM (SELECT * FROM th QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) = 1) t JOIN t_held h USING (session_id)""",
+    "throughput_card": f"""SELECT t.session_id, n.rx_bps, n.tx_bps, t.cls AS regime, CASE WHEN held IS NOT NULL THEN replace(t.cls, 'trickle', 'trickling') || ' ' || {_dur('held')} END AS stance
+        FROM (SELECT * FROM th QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) = 1) t JOIN t_held h USING (session_id)
+        JOIN (SELECT session_id, rx_bps, tx_bps FROM tput QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) = 1) n USING (session_id)""",
     "timeline_strip": f"""SELECT c.session_id, c.col, coalesce(n, 0) AS n, ['Notable', 'Recovery', 'Alarm'][worst] AS worst_severity,
         CASE WHEN n IS NULL THEN 'none' WHEN n = 1 THEN 'one' WHEN n <= 3 THEN 'few' ELSE 'many' END AS density
         FROM (SELECT session_id, unnest(range(60)) AS col FROM ends) c LEFT JOIN (SELECT m.session_id,
@@ -644,7 +645,7 @@ QUERIES["recent_feed"] = f"SELECT * FROM ({QUERIES['event_feed']}) QUALIFY row_n
 
 # First moment all sources are covered, by checking every event against history.
 QUERIES["coverage_time"] = f"""SELECT session_id, min(seq) AS seq, arg_min(at_us, seq) AS at_us FROM (
-    SELECT l.session_id, l.seq, l.at_us, s.source, {_secs("max(p.at_us) FILTER (p.event_type <> 'SensorHealth') - min(p.at_us) FILTER (p.event_type <> 'SensorHealth')")} AS span,
+    SELECT l.session_id, l.seq, l.at_us, s.source, {_secs("arg_max(p.at_us, p.seq) FILTER (p.event_type <> 'SensorHealth') - arg_min(p.at_us, p.seq) FILTER (p.event_type <> 'SensorHealth')")} AS span,
     arg_max(p.health_state, p.seq) FILTER (p.event_type = 'SensorHealth') AS state FROM log l
     CROSS JOIN (SELECT unnest(['gateway', 'dns', 'iface', 'wifi']) AS source) s JOIN log p ON p.session_id = l.session_id AND p.source = s.source AND p.seq <= l.seq
     GROUP BY 1, 2, 3, 4) GROUP BY 1, seq, at_us HAVING count(*) FILTER (coalesce(state <> 'Operational', false) OR coalesce(span >= 30, false)) = 4"""

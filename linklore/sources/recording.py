@@ -20,6 +20,8 @@ from ..params import DEFAULTS, Params
 from ..plans.sequence import WHOLE, Layout
 
 BASE = ["session_id", "seq", "at_us"]
+#: What an envelope read from a file also carries, so that it can be written back.
+ORIGIN = ["id", "source", "at_text"]
 
 # Stream name, event variant, columns.
 STREAMS: dict[str, tuple[str, str]] = {

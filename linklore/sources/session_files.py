@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import ladders as L
 from ..params import DEFAULTS, Params
 from ..plans.sequence import WHOLE, Layout, position, scan
-from .recording import BASE, STREAMS, Recording
+from .recording import BASE, ORIGIN, STREAMS, Recording
 
 FORMAT_VERSION = 2
 MIN_READABLE_VERSION = 2
@@ -148,8 +148,9 @@ def headers(rows: DataFrame, kind: str = DEFAULT_KIND, files: DataFrame | None =
     def field(name: str) -> Column:
         return F.get_json_object("value", f"$.{name}")
 
-    is_json = F.from_json("value", "map<string,string>").isNotNull()
-    version = F.expr("try_cast(get_json_object(value, '$.format_version') as bigint)")
+    is_json = F.try_parse_json("value").isNotNull()
+    written = field("format_version")
+    version = F.when(written.rlike("^[0-9]+$"), written.try_cast("bigint"))
     created = parse_time(field("created_at"))
     shaped = (
         field("kind").isNotNull()
@@ -266,19 +267,20 @@ class SessionScan:
         )
 
     def strict(self) -> DataFrame:
-        """All events.  An unreadable session is an error here; a rejected row is
-        one when it is read, so no extra pass looks for it beforehand."""
+        """All events.  An unreadable session or a rejected row is an error here,
+        whatever variant is read later.  On a landed table the check reads the small
+        folders of headers and rejected rows only."""
         broken = self.sessions.where("status <> 'ok'").select("session_id", "status").first()
         if broken is not None:
             raise SessionError(f"{broken['session_id']}: {broken['status']}")
-        header = F.coalesce(F.col("row_tag") == "header", F.lit(False))
-        first = self.sessions.select("session_id", "header_seq")
-        again = self.rows.where(header).join(first, "session_id").where("seq > header_seq")
-        if again.limit(1).count():
-            raise SessionError(f"{again.first()['session_id']}: DuplicateHeader")
-        message = F.concat(F.lit("BadJson in "), "session_id", F.lit(" near "), F.col("seq").cast("string"))
-        ok = F.when(F.col("is_good"), True).otherwise(F.raise_error(message).cast("boolean"))
-        return self.rows.where(~header).where(ok)
+        wrong = self.bad().orderBy("session_id", "seq").first()
+        if wrong is not None:
+            where = f"{wrong['error']} in {wrong['session_id']}"
+            if self.lines is not None:
+                at = (F.col("session_id") == wrong["session_id"]) & (F.col("seq") >= wrong["header_seq"])
+                where += f", line {self.lines.where(at & (F.col('seq') <= wrong['seq'])).count()}"
+            raise SessionError(where)
+        return self.rows.where("is_good")
 
 
 def scan_sessions(
@@ -313,6 +315,7 @@ def parsed(lines: DataFrame) -> DataFrame:
         F.col("r.row").alias("row_tag"),
         F.col("r.id").alias("id"),
         "at_us",
+        F.col("r.at").alias("at_text"),
         F.col("r.source").alias("source"),
         F.col("r.event.type").alias("event_type"),
         F.col("r.event").alias("event"),
@@ -358,12 +361,14 @@ def read_sessions(
     layout: Layout = WHOLE,
     params: Params = DEFAULTS,
     by_folder: bool = False,
+    dedup: bool = False,
 ) -> Recording:
     """Recordings of all files: ``on_error`` is ``fail``, ``truncate`` or
-    ``quarantine`` (keep every good row)."""
+    ``quarantine`` (keep every good row).  ``dedup`` removes equal copies of rows."""
     found = scan_sessions(spark, path, kind, by_folder)
     policies = {"fail": found.strict, "truncate": found.truncated, "quarantine": found.good}
-    return to_recording(deduplicate(policies[on_error]()), layout, params)
+    rows = policies[on_error]()
+    return to_recording(deduplicate(rows) if dedup else rows, layout, params)
 
 
 # -- envelopes -> typed streams --------------------------------------------
@@ -393,9 +398,10 @@ def to_recording(
         "last_seen_us": lambda: parse_time(e["last_seen"]),
         "retry_count": lambda: e["retry_count"],
     }
+    origin = [c for c in ORIGIN if c in envelopes.columns]
     streams = {}
     for name, (variant, columns) in STREAMS.items():
-        cols = []
+        cols = list(origin)
         for column in columns.split(", "):
             field, kind = column.split(" ", 1)
             source = f"{field}_total" if field.startswith(("rx_", "tx_")) and name == "counters" else field
@@ -423,15 +429,18 @@ def to_recording(
 
 
 def deduplicate(envelopes: DataFrame) -> DataFrame:
-    """One row per (session, id), the first in order.  Copies are equal but for
-    their place, so the variant joins the key and a filter on it still reaches
-    the scan."""
-    keys = ["session_id", "id", "event_type"]
+    """Of rows equal but for their place, the first in order.  Rows that share an
+    id but differ in time or content all stay: ids restart with every recorder.
+    The variant is in the key, so a filter on it still reaches the scan."""
+    keys = ["session_id", "id", "event_type", "at_us", "_content"]
+    content = [c for c in envelopes.columns if c not in (*keys, "seq", "at_text")]
     rest = [c for c in envelopes.columns if c not in keys]
     return (
-        envelopes.groupBy(*keys)
+        envelopes.withColumn("_content", F.xxhash64(*content))
+        .groupBy(*keys)
         .agg(F.min_by(F.struct(*rest), "seq").alias("_first"))
         .select(*keys, "_first.*")
+        .drop("_content")
     )
 
 
@@ -461,7 +470,10 @@ def envelopes_of(rec: Recording) -> DataFrame:
         )
     for name in streams:
         df = scans if name == "scans" else rec.stream(name)
-        payload = [c for c in df.columns if c not in (*BASE, "n_neighbors")]
+        payload = [c for c in df.columns if c not in (*BASE, *ORIGIN, "n_neighbors")]
+        for c in ORIGIN:
+            if c not in df.columns:
+                df = df.withColumn(c, F.lit(None).cast("bigint" if c == "id" else "string"))
         part = df.select(*BASE, _row(name, payload).alias("value"))
         out = part if out is None else out.unionByName(part)
     return out
@@ -511,9 +523,9 @@ def _row(name: str, payload: list[str]) -> Column:
 
     row = F.struct(
         F.lit("envelope").alias("row"),
-        F.col("seq").alias("id"),
-        _rfc3339(F.col("at_us")).alias("at"),
-        (source if source is not None else F.lit(SOURCE[name])).alias("source"),
+        F.coalesce("id", "seq").alias("id"),
+        F.coalesce("at_text", _rfc3339(F.col("at_us"))).alias("at"),
+        F.coalesce("source", source if source is not None else F.lit(SOURCE[name])).alias("source"),
         F.struct(*fields).alias("event"),
     )
     return F.to_json(row)
@@ -527,23 +539,31 @@ def write_sessions(
     created_us: int = 0,
     label: str | None = None,
     layout: Layout = WHOLE,
+    headers: DataFrame | None = None,
 ) -> None:
     """One folder per session, header first, rows in order, older files replaced.
+    ``headers`` (of ``SessionScan.sessions``) keeps the fields of the files read.
 
     A session that fits a task is one file.  Split layouts range-partition by
     position instead: a long session becomes several part files whose names
     follow the order of their rows (read back with ``by_folder``)."""
-    header = rows.select("session_id").distinct().select(
+    if headers is None:
+        known = rows.select("session_id").distinct()
+        for c, kind_ in (("kind", "string"), ("tool_version", "string"), ("created_us", "bigint"), ("label", "string")):
+            known = known.withColumn(c, F.lit(None).cast(kind_))
+    else:
+        known = headers.where("status = 'ok'")
+    header = known.select(
         "session_id",
         F.lit(-1).cast("bigint").alias("seq"),
         F.to_json(
             F.struct(
                 F.lit("header").alias("row"),
-                F.lit(kind).alias("kind"),
+                F.coalesce("kind", F.lit(kind)).alias("kind"),
                 F.lit(FORMAT_VERSION).alias("format_version"),
-                _rfc3339(F.lit(created_us).cast("bigint")).alias("created_at"),
-                F.lit(tool_version).alias("tool_version"),
-                F.lit(label).cast("string").alias("label"),
+                _rfc3339(F.coalesce("created_us", F.lit(created_us).cast("bigint"))).alias("created_at"),
+                F.coalesce("tool_version", F.lit(tool_version)).alias("tool_version"),
+                F.coalesce("label", F.lit(label).cast("string")).alias("label"),
             )
         ).alias("value"),
     )

@@ -1,9 +1,9 @@
 """Finding lifecycle on a live stream of evaluations.
 
-State per session is the table of active fingerprints.  Rows are processed in
-instant order within a micro-batch; across batches arrival order is the truth,
-as it is for a live recorder.  When a session falls silent, an event-time timeout
-closes what is due.
+State per session is one row for each open episode.  A micro-batch puts these rows
+in front of its own and derives all transitions of a fingerprint from arrays of
+times and confidences; across batches arrival order is the truth, as it is for a live
+recorder.  When a session falls silent, an event-time timeout closes what is due.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ OUTPUT = (
     "numbers array<double>, words array<string>"
 )
 _INSTANT = ["at_us", "is_tick", "seq"]
+_NOTHING = pd.DataFrame({c: [] for c in ("at_us", "pos", "fingerprint", "kind", "confidence", "numbers", "words")})
 
 
 def evaluations(candidates: DataFrame, instants: DataFrame) -> DataFrame:
@@ -32,56 +33,74 @@ def evaluations(candidates: DataFrame, instants: DataFrame) -> DataFrame:
     return instants.join(candidates, ["session_id", *_INSTANT], "left")
 
 
-def _row(key: str, f: dict, at: int, confidence: float, lifecycle: str) -> dict:
-    return {
-        "session_id": key,
-        "at_us": at,
-        "kind": f["kind"],
-        "fingerprint": f["fingerprint"],
-        "confidence": confidence,
-        "peak_confidence": f["peak"],
-        "lifecycle": lifecycle,
-        "first_seen_us": f["first"],
-        "last_seen_us": at,
-        "numbers": f["numbers"],
-        "words": f["words"],
-    }
-
-
-class _Tracker:
-    """One evaluation at a time against the table of active findings."""
-
-    def __init__(self, key: str, active: dict, p: Params):
-        self.key, self.active, self.p, self.out = key, active, p, []
-
-    def see(self, at: int, c) -> None:
-        confidence = float(np.float32(c.confidence))
-        f = self.active.get(c.fingerprint)
-        text = {"numbers": [float(x) for x in c.numbers], "words": list(c.words)}
-        if f is None:
-            f = {"kind": c.kind, "fingerprint": c.fingerprint, "first": at, "seen": at,
-                 "emitted": at, "shown": confidence, "peak": confidence, **text}
-            self.active[c.fingerprint] = f
-            self.out.append(_row(self.key, f, at, confidence, "Active"))
-            return
-        f.update(text, seen=at, peak=max(f["peak"], confidence))
-        delta = np.float32(confidence) - np.float32(f["shown"])
-        if abs(delta) >= np.float32(self.p.material_delta) and at - f["emitted"] >= self.p.us(
-            self.p.cooldown
-        ):
-            way = "Escalating" if delta > 0 else "Recovering"
-            self.out.append(_row(self.key, f, at, confidence, way))
-            f.update(emitted=at, shown=confidence)
-
-    def sweep(self, at: int, seen: set) -> None:
-        late = self.p.us(self.p.resolved_after)
-        for name in sorted(set(self.active) - seen):
-            if at - self.active[name]["seen"] >= late:
-                self.out.append(_row(self.key, self.active.pop(name), at, 0.0, "Resolved"))
-
-    def next_due(self) -> int | None:
-        due = [f["seen"] + self.p.us(self.p.resolved_after) for f in self.active.values()]
-        return min(due) if due else None
+#: What is kept of an episode that is still open; ``at`` is its last sighting.
+_OPEN = ["fingerprint", "kind", "at", "first", "emitted", "shown", "peak", "numbers", "words"]
+
+
+def _transitions(sightings: pd.DataFrame, instants: np.ndarray, p: Params) -> tuple[list[dict], dict | None]:
+    """Transitions of one fingerprint, and its episode if one stays open.
+
+    ``sightings`` are in order, with ``pos``, the number of their instant (-1 for the
+    carried last sighting of an open episode).  A sighting ends its episode when some
+    instant before the next sighting lies far enough behind it; all gaps are looked up at
+    once.  Inside an episode only transitions are stepped through: the next one is the
+    first row past the cooldown that differs enough from what was last shown.
+    """
+    at, pos = sightings["at"].to_numpy(np.int64), sightings["pos"].to_numpy(np.int64)
+    level = sightings["confidence"].to_numpy(np.float32)
+    due = np.searchsorted(instants, at + p.us(p.resolved_after))
+    ends = np.flatnonzero(due < np.append(pos[1:], len(instants)))
+    out, left = [], None
+    for lo, hi in zip(np.append(0, ends + 1), np.append(ends, len(at) - 1)):
+        if lo > hi:
+            break
+        head = sightings.iloc[lo]
+        peak = np.maximum.accumulate(np.append(head["peak"], level[lo : hi + 1]).astype(np.float32))[1:]
+        fresh = pos[lo] >= 0
+        first = int(at[lo]) if fresh else int(head["first"])
+        emitted, shown = (int(at[lo]), level[lo]) if fresh else (int(head["emitted"]), np.float32(head["shown"]))
+
+        def told(k: int, when: int, confidence: float, lifecycle: str) -> dict:
+            row = sightings.iloc[k]
+            return {"at_us": when, "kind": row["kind"], "fingerprint": row["fingerprint"], "confidence": float(confidence),
+                    "peak_confidence": float(peak[k - lo]), "lifecycle": lifecycle, "first_seen_us": first,
+                    "last_seen_us": when, "numbers": row["numbers"], "words": row["words"]}
+
+        if fresh:
+            out.append(told(lo, int(at[lo]), level[lo], "Active"))
+        k = lo
+        while True:
+            rest = slice(k + 1, hi + 1)
+            news = (at[rest] - emitted >= p.us(p.cooldown)) & (np.abs(level[rest] - shown) >= np.float32(p.material_delta))
+            if not news.any():
+                break
+            k += 1 + int(np.argmax(news))
+            out.append(told(k, int(at[k]), level[k], "Escalating" if level[k] > shown else "Recovering"))
+            emitted, shown = int(at[k]), level[k]
+        if hi in ends:
+            out.append(told(hi, int(instants[due[hi]]), 0.0, "Resolved"))
+        else:
+            row = sightings.iloc[hi]
+            left = {"fingerprint": row["fingerprint"], "kind": row["kind"], "at": int(at[hi]), "first": first, "emitted": emitted,
+                    "shown": float(shown), "peak": float(peak[-1]), "numbers": row["numbers"], "words": row["words"]}
+    return out, left
+
+
+def _advance(held: list[dict], rows: pd.DataFrame, instants: np.ndarray, p: Params) -> tuple[list[dict], list[dict]]:
+    """Transitions of one session's rows at these instants, and the episodes left open."""
+    columns = [*_OPEN, "pos", "confidence"]
+    carried = pd.DataFrame(held, columns=_OPEN).assign(pos=-1)
+    carried["confidence"] = carried["peak"]
+    seen = rows.assign(at=rows["at_us"], first=None, emitted=None, shown=None, peak=-np.inf)
+    seen["numbers"] = [[float(x) for x in v] for v in seen["numbers"]]
+    seen["words"] = [list(v) for v in seen["words"]]
+    every = pd.DataFrame(carried[columns].values.tolist() + seen[columns].values.tolist(), columns=columns)
+    out, left = [], []
+    for _, sightings in every.groupby("fingerprint", sort=True):
+        told, open_ = _transitions(sightings, instants, p)
+        out += told
+        left += [open_] if open_ else []
+    return out, left
 
 
 def finding_stream(evaluated: DataFrame, p: Params = DEFAULTS) -> DataFrame:
@@ -91,29 +110,25 @@ def finding_stream(evaluated: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     def step(
         key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
-        active = json.loads(state.get[0]) if state.exists else {}
-        tracker = _Tracker(key[0], active, p)
+        held = json.loads(state.get[0]) if state.exists else []
         if state.hasTimedOut:
-            tracker.sweep(state.getCurrentWatermarkMs() * 1000, set())
+            rows, instants = _NOTHING, np.array([state.getCurrentWatermarkMs() * 1000])
         else:
             rows = pd.concat(list(batches)).sort_values(_INSTANT)
-            for instant, group in rows.groupby(_INSTANT, sort=False):
-                at, seen = int(instant[0]), set()
-                for c in group.itertuples():
-                    if isinstance(c.fingerprint, str):
-                        seen.add(c.fingerprint)
-                        tracker.see(at, c)
-                tracker.sweep(at, seen)
-        if active:
-            state.update((json.dumps(active),))
-            due = -(-tracker.next_due() // 1000)
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+            rows["pos"] = rows.groupby(_INSTANT, sort=False).ngroup()
+            instants = rows.drop_duplicates("pos")["at_us"].to_numpy(np.int64)
+            rows = rows[rows["fingerprint"].notna()]
+        out, held = _advance(held, rows, instants, p)
+        if held:
+            state.update((json.dumps(held),))
+            due = min(h["at"] for h in held) + p.us(p.resolved_after)
+            state.setTimeoutTimestamp(max(-(-due // 1000), state.getCurrentWatermarkMs() + 1))
         elif state.exists:
             state.remove()
-        if tracker.out:
-            yield pd.DataFrame(tracker.out).astype(
-                {c: object for c in ("session_id", "kind", "fingerprint", "lifecycle")}
-            )
+        if out:
+            found = pd.DataFrame(out)
+            found.insert(0, "session_id", key[0])
+            yield found.astype({c: object for c in ("session_id", "kind", "fingerprint", "lifecycle")})
 
     return (
         evaluated.withColumn("session_id", F.col("session_id").cast("string"))
