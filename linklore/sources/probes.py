@@ -30,10 +30,6 @@ _FIELDS = {
     "phy_mode": "spairport_network_phymode",
 }
 _RATE = "spairport_network_rate"
-_RAW = (
-    "capture_id string, at_us bigint, part string, pos int, n_keys int, rate float, "
-    + ", ".join(f"{f} string" for f in _FIELDS)
-)
 
 
 # -- ping ------------------------------------------------------------------
@@ -68,76 +64,107 @@ def read_captures(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
-def _text(d: dict, key: str) -> str | None:
-    value = d.get(key)
-    return value if isinstance(value, str) else None
-
-
-def _entry(d: dict) -> dict:
-    rate = d.get(_RATE)
-    number = isinstance(rate, (int, float)) and not isinstance(rate, bool)
-    out = {field: _text(d, key) for field, key in _FIELDS.items()}
-    return {**out, "n_keys": len(d), "rate": float(rate) if number else None}
-
-
-def _dicts(value) -> list[dict]:
-    return [v for v in value if isinstance(v, dict)] if isinstance(value, list) else []
-
-
-def _find_interface(root, name: str) -> dict | None:
-    if not isinstance(root, list) or not root:
-        return None
-    sections = [d for d in _dicts(root) if d.get("_dataType") == _SECTION]
-    section = sections[0] if sections else root[0]
-    if not isinstance(section, dict):
-        return None
-    for item in _dicts(section.get("_items")):
-        for iface in _dicts(item.get(_INTERFACES)):
-            if iface.get("_name") == name:
-                return iface
-    return None
-
-
-def _parts(content: bytes, interface: str) -> Iterator[dict]:
-    """Raw texts of one capture: its link, its neighbours, or what went wrong."""
-    try:
-        root = plistlib.loads(content)
-    except Exception as e:  # any malformed document is one error row
-        yield {"part": "error", "name": f"unreadable: {type(e).__name__}"}
-        return
-    iface = _find_interface(root, interface)
-    if iface is None:
-        yield {"part": "error", "name": f"interface {interface} not present"}
-        return
-    if (_text(iface, _STATUS) or "").lower() == _STATUS_OFF:
-        yield {"part": "off"}
-        return
-    yield {"part": "capture"}
-    link = iface.get(_LINK)
-    if isinstance(link, dict):
-        yield {"part": "link", **_entry(link)}
-    if isinstance(iface.get(_OTHERS), list):
-        yield {"part": "scan"}
-        for pos, ap in enumerate(_dicts(iface[_OTHERS])):
-            yield {"part": "neighbor", "pos": pos, **_entry(ap)}
+#: One member of a dictionary of the document; a dictionary itself has no key.
+_NODE = "struct<path:string,key:string,shape:string,text:string,number:double>"
+#: Bytes of documents parsed before rows are handed on.
+_BATCH_BYTES = 1 << 24
 
 
-def capture_parts(captures: DataFrame, interface: str = "en0") -> DataFrame:
-    """Documents to rows of raw text.  Parsing XML is the only Python here; all
-    normalisation afterwards is Column code."""
-    names = [c.split()[0] for c in _RAW.split(", ")]
+def _nodes(value, path: str = "") -> Iterator[tuple]:
+    """Every dictionary of a document and its members, with the path of keys and places."""
+    if isinstance(value, dict):
+        yield path, None, "dict", None, None
+        for key, v in value.items():
+            number = float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else None
+            yield path, key, type(v).__name__, v if isinstance(v, str) else None, number
+            yield from _nodes(v, f"{path}/{key}")
+    elif isinstance(value, list):
+        for i, v in enumerate(value):
+            yield from _nodes(v, f"{path}/{i}")
+
+
+def capture_nodes(captures: DataFrame) -> DataFrame:
+    """``capture_id, at_us, nodes, failure``: documents as flat lists.  Parsing the
+    XML is the only Python here."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [
-                {"capture_id": i, "at_us": t, **part}
-                for i, t, content in zip(pdf["capture_id"], pdf["at_us"], pdf["content"])
-                for part in _parts(bytes(content), interface)
-            ]
-            out = pd.DataFrame(rows, columns=names).astype(object)
-            yield out.where(out.notna(), None)
-
-    return captures.mapInPandas(parse, _RAW).withColumn("interface", F.lit(interface))
+            rows, size = [], 0
+            for capture_id, at_us, content in zip(pdf["capture_id"], pdf["at_us"], pdf["content"]):
+                try:
+                    found, failure = list(_nodes(plistlib.loads(bytes(content)))), None
+                except Exception as e:  # any malformed document is one error row
+                    found, failure = [], f"unreadable: {type(e).__name__}"
+                rows.append((capture_id, at_us, found, failure))
+                size += len(content)
+                if size > _BATCH_BYTES:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, size = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=names)
+
+    names = ["capture_id", "at_us", "nodes", "failure"]
+    return captures.mapInPandas(parse, f"capture_id string, at_us bigint, nodes array<{_NODE}>, failure string")
+
+
+def _where(test) -> Column:
+    return F.filter("nodes", test)
+
+
+def _first(nodes: Column, field: str) -> Column:
+    return F.get(nodes, F.lit(0))[field]
+
+
+def _member(path: Column, key: str, field: str) -> Column:
+    """``field`` of a member of the dictionary at ``path``."""
+    return _first(_where(lambda n: (n["path"] == path) & (n["key"] == key)), field)
+
+
+def _entry(path: Column) -> list[Column]:
+    size = F.size(_where(lambda n: (n["path"] == path) & n["key"].isNotNull()))
+    texts = [_member(path, key, "text").alias(f) for f, key in _FIELDS.items()]
+    return [size.alias("n_keys"), _member(path, _RATE, "number").cast("float").alias("rate"), *texts]
+
+
+def capture_parts(captures: DataFrame, interface: str = "en0") -> DataFrame:
+    """Raw texts of every capture: its link, its neighbours, or what went wrong."""
+    df = capture_nodes(captures)
+    marked = _where(lambda n: (n["key"] == "_dataType") & (n["text"] == _SECTION) & n["path"].rlike("^/[0-9]+$"))
+    df = df.withColumn("section", F.coalesce(_first(marked, "path"), F.lit("/0")))
+    place = F.concat(F.lit("^"), "section", F.lit(f"/_items/[0-9]+/{_INTERFACES}/[0-9]+$"))
+    named = _where(lambda n: (n["key"] == "_name") & (n["text"] == interface) & F.call_function("rlike", n["path"], place))
+    df = df.withColumn("iface", _first(named, "path"))
+    df = df.withColumn("off", F.coalesce(F.lower(_member(F.col("iface"), _STATUS, "text")) == _STATUS_OFF, F.lit(False)))
+    heard = F.concat(F.lit("^"), "iface", F.lit(f"/{_OTHERS}/[0-9]+$"))
+    others = _where(lambda n: n["key"].isNull() & F.call_function("rlike", n["path"], heard))
+    link = F.concat("iface", F.lit(f"/{_LINK}"))
+    on = F.col("iface").isNotNull() & ~F.col("off")
+
+    def part(name: str, path: Column | None = None, pos: Column | None = None) -> Column:
+        none = F.lit(None).cast("string")
+        return F.struct(F.lit(name).alias("part"), (pos if pos is not None else F.lit(None)).cast("int").alias("pos"),
+                        (path if path is not None else none).alias("path"))
+
+    listed = _member(F.col("iface"), _OTHERS, "shape") == "list"
+    several = F.array_compact(
+        F.array(
+            F.when(F.col("iface").isNull(), part("error")),
+            F.when(F.col("off"), part("off")),
+            F.when(on, part("capture")),
+            F.when(on & (_member(F.col("iface"), _LINK, "shape") == "dict"), part("link", link)),
+            F.when(on & listed, part("scan")),
+        )
+    )
+    near = F.when(on, F.transform(others, lambda n, i: part("neighbor", n["path"], i)))
+    df = df.withColumn("piece", F.explode(F.concat(several, F.coalesce(near, F.array().cast("array<struct<part:string,pos:int,path:string>>")))))
+    size, rate, name, *rest = _entry(F.col("piece.path"))
+    wrong = F.when(F.col("piece.part") == "error", F.coalesce("failure", F.lit(f"interface {interface} not present")))
+    filled = F.col("piece.path").isNotNull()
+    return df.select(
+        "capture_id", "at_us", "piece.part", "piece.pos",
+        F.when(filled, size).alias("n_keys"), F.when(filled, rate).alias("rate"),
+        F.coalesce(wrong, name).alias("name"), *rest,
+    ).withColumn("interface", F.lit(interface))
 
 
 def _normalized() -> dict[str, Column]:
