@@ -29,8 +29,8 @@ from .tokens import word_cache
 SEQUENCE = 2048
 CLOSING_ID = 1
 #: Pieces of one length ranked in one part.
-_PART_ROWS = 50_000
-_TOGETHER = 128
+_PART_ROWS = 2000
+_TOGETHER = 512
 
 
 def pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE) -> DataFrame:

@@ -4,17 +4,35 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 from array import array
 from functools import lru_cache
 
 import numpy as np
 
-#: Texts with other characters, special tokens or separators 0x1C-0x1F go through the
-#: tokenizer whole.  Below U+0250 normal form C changes nothing, no rule of lower case
-#: looks at neighbours, and no token crosses white space.
-_UNUSUAL = re.compile(r"[^\x00-\x1B\x20-ɏ]|<\|")
-#: Words remembered by a worker.
-_MOST_WORDS = 800_000
+#: Beyond these a text goes through the tokenizer whole.  Below U+0250 normal form C
+#: changes nothing, no rule of lower case looks at neighbours, and no token crosses
+#: white space; special tokens begin with ``<|``.
+_USUAL = re.compile(r"[\x00-\u024F]*")
+_APART = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
+
+
+def _usual(text: str) -> bool:
+    if any(x in text for x in _APART):
+        return False
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return _USUAL.fullmatch(text) is not None
+    return True
+
+
+#: Words, and pieces of words, remembered by a worker.
+_MOST_WORDS = 600_000
+#: Where the tokenizer itself cuts a word: letters, single digits, the rest.
+_LETTERS = "".join(c for c in map(chr, range(0x250)) if unicodedata.category(c)[0] == "L")
+_DIGITS = "".join(c for c in map(chr, range(0x250)) if unicodedata.category(c)[0] == "N")
+_PIECE = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[{_DIGITS}]|[^{_LETTERS}{_DIGITS}]+")
 
 
 class WordCache:
@@ -26,22 +44,29 @@ class WordCache:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.ids: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text."""
-        split = [None if _UNUSUAL.search(t) else t.lower().split() for t in texts]
-        fresh = {w for words in split if words for w in words}.difference(self.ids)
+        split = [t.lower().split() if _usual(t) else None for t in texts]
+        fresh = set().union(*filter(None, split)).difference(self.ids)
         if len(self.ids) + len(fresh) > _MOST_WORDS:
             self.ids.clear()
-            fresh = {w for words in split if words for w in words}
-        new = list(fresh)
+            fresh = set().union(*filter(None, split))
+        cut = {w: _PIECE.findall(w) for w in fresh}
+        new = list({p for pieces in cut.values() for p in pieces}.difference(self.pieces))
+        if len(self.pieces) + len(new) > _MOST_WORDS:
+            self.pieces.clear()
+            new = list({p for pieces in cut.values() for p in pieces})
         for a in range(0, len(new), 20_000):
             part = new[a : a + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.ids[w] = array("I", e.ids).tobytes()
+            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                self.pieces[p] = array("I", e.ids).tobytes()
+        for w, pieces in cut.items():
+            self.ids[w] = b"".join(map(self.pieces.__getitem__, pieces))
         get = self.ids.__getitem__
         return [self._whole(t) if words is None else b"".join(map(get, words)) for t, words in zip(texts, split)]
 
