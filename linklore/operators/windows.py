@@ -86,6 +86,14 @@ def _latency_frames(
     return df.drop("rtts", "ordered")
 
 
+def _last_not_above(limit_ms: Column) -> Column:
+    """The longest whole-nanosecond time that is not above ``limit_ms`` once it is written
+    in milliseconds, so that counting by nanoseconds and by milliseconds agree."""
+    near = F.round(limit_ms * 1_000_000).cast("bigint")
+    fits = lambda n: L.nanos_to_ms(n) <= limit_ms
+    return F.when(fits(near + 1), near + 1).when(fits(near), near).otherwise(near - 1)
+
+
 def _dense_statistics(
     rec: Recording, sized: DataFrame, ok_col: str, multiple: float | None
 ) -> DataFrame:
@@ -117,7 +125,7 @@ def _dense_statistics(
     )
     df = sized.join(values, key, "left")
     if multiple is not None:
-        limit = F.least(F.floor(F.col("median") * multiple).cast("bigint"), F.lit(top))
+        limit = F.least(_last_not_above(L.nanos_to_ms(F.col("median")) * multiple), F.lit(top))
         asked = df.where(F.col("median").isNotNull()).select(
             *key, members.alias("n"), limit.alias("limit")
         )

@@ -139,3 +139,18 @@ def test_coverage(make):
     )
     got = {r.session_id: r.satisfied for r in SM.coverage_overall(rec).collect()}
     assert got == {"full": True, "point": False, "off": True, "back": False}
+
+
+def test_elevated_at_exactly_twice_the_median(spark, make):
+    """Collected and selected frames count by one rule."""
+    from linklore.plans.sequence import Layout
+
+    rows, seq = [], 0
+    for i, nanos in enumerate([837_108_039, 7_000_000, 333_333_333, 123_456_789, 999_999_937, 1, 600_000_001]):
+        for times, extra in ((1, 0), (1, 0), (1, 0), (2, 0), (2, 1), (2, -1)):
+            seq += 1
+            value = max(0, nanos * times + extra)
+            rows.append((f"s{i}", seq, seq * 1000, "gw", value, (value // 10**9 + value % 10**9 / 1e9) * 1000.0, True, "icmp"))
+    whole = W.gateway_window(make(gateway=rows))
+    cut = W.gateway_window(make(layout=Layout(3, 3000, frame_rows=2), gateway=rows))
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, cut.collect()))
