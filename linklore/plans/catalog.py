@@ -220,11 +220,11 @@ def _landmarks(rec: Recording) -> DataFrame:
 
 
 def _strip(rec: Recording) -> DataFrame:
-    return P.timeline_strip(rec, M.landmarks(rec), STRIP_COLS)
+    return P.timeline_strip(rec, _landmarks(rec), STRIP_COLS)
 
 
 def _around(rec: Recording) -> DataFrame:
-    return M.around_playhead(M.landmarks(rec), _playheads(rec), rec)
+    return M.around_playhead(_landmarks(rec), _playheads(rec), rec)
 
 
 def _state(rec: Recording) -> DataFrame:

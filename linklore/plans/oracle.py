@@ -392,6 +392,7 @@ FRAGMENTS |= {
         {_rate('s.rx_bps')} || ' / TX ' || {_rate('s.tx_bps')} AS headline FROM tr3 r JOIN step s ON s.seq = r.s_seq
         WHERE (prev IS NULL AND r.regime IN ('sustained', 'bursting')) OR (prev <> 'bursting' AND r.regime = 'bursting')
         OR (prev IN ('idle', 'trickle') AND r.regime = 'sustained') OR (prev IN ('sustained', 'bursting') AND r.regime = 'idle')""",
+    "all_marks": "SELECT * FROM marks UNION ALL SELECT * FROM m_find",
     "marks": "SELECT * FROM m_health UNION ALL SELECT * FROM m_gw UNION ALL SELECT * FROM m_dns UNION ALL SELECT * FROM m_tput",
     "ph": """SELECT l.session_id, max(seq) AS playhead_seq, arg_max(at_us, seq) AS playhead_us FROM log l JOIN ends e
         ON e.session_id = l.session_id AND l.seq <= (first_seq + last_seq) // 2 GROUP BY 1""",
@@ -555,7 +556,7 @@ QUERIES: dict[str, str] = {
     "landmarks_around_playhead": """SELECT session_id, playhead_seq, count(*) FILTER (o < coalesce(first_past, 1e9)) - 1 AS current_index,
         arg_max(seq, o) FILTER (o < coalesce(first_past, 1e9)) AS current_seq, arg_min(seq, o) FILTER (seq > playhead_seq) AS next_seq,
         arg_max(seq, o) FILTER (seq < playhead_seq) AS prev_seq FROM (SELECT *, min(CASE WHEN seq > playhead_seq THEN o END) OVER (PARTITION BY session_id) AS first_past
-        FROM (SELECT m.*, playhead_seq, row_number() OVER (PARTITION BY m.session_id ORDER BY commit_seq, category) AS o FROM marks m JOIN ph USING (session_id))) GROUP BY 1, 2""",
+        FROM (SELECT m.*, playhead_seq, row_number() OVER (PARTITION BY m.session_id ORDER BY commit_seq, category) AS o FROM all_marks m JOIN ph USING (session_id))) GROUP BY 1, 2""",
     "session_summary": f"""SELECT session_id, count(*) AS envelope_count, min(at_us) AS first_us, max(at_us) AS last_us, {_SUMMARY},
         {_secs('max(at_us) - min(at_us)')} AS duration_secs, {_dur(_secs('max(at_us) - min(at_us)'), True)} AS duration_text FROM log GROUP BY 1""",
     "category_counts": """SELECT session_id, CASE event_type WHEN 'Wifi' THEN 'Wifi' WHEN 'Scan' THEN 'Wifi' WHEN 'GatewayLatency' THEN 'Gateway'
@@ -586,7 +587,7 @@ QUERIES: dict[str, str] = {
     "landmarks_gateway": "SELECT * FROM m_gw",
     "landmarks_dns": "SELECT * FROM m_dns",
     "landmarks_throughput": "SELECT * FROM m_tput",
-    "landmarks": "SELECT * FROM marks UNION ALL SELECT * FROM m_find",
+    "landmarks": "SELECT * FROM all_marks",
     "link_card": f"""SELECT session_id, ssid, bssid, rssi_dbm, snr_db, quality, held_secs,
         CASE WHEN held_secs IS NULL THEN '—' ELSE {_dur('held_secs')} END AS held, delta,
         CASE WHEN delta IS NULL THEN '…' WHEN abs(delta) < 1.5 THEN 'stable' ELSE format('{{:+.0f}} dB / 60s', delta) END AS drift FROM lc2""",
@@ -598,7 +599,7 @@ QUERIES: dict[str, str] = {
         FROM (SELECT session_id, unnest(range(60)) AS col FROM ends) c LEFT JOIN (SELECT m.session_id,
         least(CAST(floor(((m.at_us - first_us) / {SEC}) / (CAST({_secs('last_us - first_us')} AS DOUBLE) / 60e0)) AS BIGINT), 59) AS col, count(*) AS n,
         max(CASE severity WHEN 'Alarm' THEN 3 WHEN 'Recovery' THEN 2 ELSE 1 END) AS worst
-        FROM marks m JOIN ends e ON e.session_id = m.session_id AND m.at_us >= e.first_us AND {_secs('last_us - first_us')} > 0 GROUP BY 1, 2) h USING (session_id, col)""",
+        FROM all_marks m JOIN ends e ON e.session_id = m.session_id AND m.at_us >= e.first_us AND {_secs('last_us - first_us')} > 0 GROUP BY 1, 2) h USING (session_id, col)""",
     "playback_position": f"""SELECT session_id, playhead_seq, {_secs('playhead_us - first_us')} AS elapsed_secs, {_secs('last_us - first_us')} AS total_secs,
         least(CAST(floor(((playhead_us - first_us) / {SEC}) / (CAST({_secs('last_us - first_us')} AS DOUBLE) / 60e0)) AS BIGINT), 59) AS col FROM ph JOIN ends USING (session_id)""",
     "rf_waterfall": """SELECT r.session_id, r.is_other, r.band_rank, r.number, s.col, s.seq AS scan_seq, s.at_us,
