@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold, place
+from .common import fold, parts_of, place
 
 UNKNOWN = "und"
 #: Positions that run in one chain.
@@ -257,7 +257,7 @@ def predict(
     names = [*keep, *into]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts_of(batches):
             column = batch.column(len(keep)).cast(pa.large_binary())
             raw = [v or b"" for v in column.to_pylist()]
             spoken = np.array([bool(_LETTER.search(v.decode("utf-8", "replace"))) for v in raw], bool)

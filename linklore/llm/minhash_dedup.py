@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import Forest, by_task, dealt
-from .common import settle
+from .common import parts_of, settle
 from .components import components
 from .rolling import mixed
 from .shingles import SHINGLE_WORDS, MinHashes, set_key, shingle_sets
@@ -74,7 +74,7 @@ def _sets(docs: DataFrame, p: Banding) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family = MinHashes(p.hashes)
         salt = mixed(np.arange(1, p.bands + 1, dtype=np.uint64))
-        for batch in batches:
+        for batch in parts_of(batches):
             n, keys, bands = [], [], []
             for s in shingle_sets(_texts(batch, 2), p.words):
                 n.append(len(s))
@@ -123,8 +123,7 @@ def _full_sets(docs: DataFrame, ids: DataFrame, p: Banding) -> DataFrame:
         for batch in batches:
             bit = batch.column(2).to_numpy()
             batch = batch.filter(pa.array((wanted[bit >> 3] >> (bit & 7)) & 1 == 1))
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
+            for part in parts_of(iter([batch])):
                 sets = list(shingle_sets(_texts(part, 1), p.words))
                 signs = [(family.of(s) & np.uint32(255)).astype(np.uint8).tobytes() for s in sets]
                 cols = [

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_sample
+from .common import bounded_sample, parts_of
 
 _SPACE = b" \t\n\r\x0b\x0c"
 _SYMBOLS = b"#*$%&|<>"
@@ -75,7 +75,7 @@ def text_stats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str =
     schema = T.StructType(shown.schema.fields + [T.StructField(s, T.LongType()) for s in STATS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts_of(batches):
             found = [measure(t.as_py()) for t in batch.column(len(keep)).cast(pa.binary())]
             cols = [pa.array(c, pa.int64()) for c in zip(*found)] or [pa.array([], pa.int64())] * len(STATS)
             yield pa.RecordBatch.from_arrays(batch.columns[: len(keep)] + cols, [*keep, *STATS])

@@ -27,8 +27,8 @@ def _usual(text: str) -> bool:
     return True
 
 
-#: Words, and pieces of words, remembered by a worker.
-_MOST_WORDS = 600_000
+#: Words, and pieces of words, remembered by a worker; pieces are what costs time.
+_MOST_WORDS, _MOST_PIECES = 200_000, 500_000
 #: Where the tokenizer itself cuts a word: letters, single digits, the rest.
 _LETTERS = "".join(c for c in map(chr, range(0x250)) if unicodedata.category(c)[0] == "L")
 _DIGITS = "".join(c for c in map(chr, range(0x250)) if unicodedata.category(c)[0] == "N")
@@ -58,7 +58,7 @@ class WordCache:
             fresh = set().union(*filter(None, split))
         cut = {w: _PIECE.findall(w) for w in fresh}
         new = list({p for pieces in cut.values() for p in pieces}.difference(self.pieces))
-        if len(self.pieces) + len(new) > _MOST_WORDS:
+        if len(self.pieces) + len(new) > _MOST_PIECES:
             self.pieces.clear()
             new = list({p for pieces in cut.values() for p in pieces})
         for a in range(0, len(new), 20_000):

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_sample, fold
+from .common import bounded_sample, fold, parts_of
 from .rolling import Prefixes, grouped, segments, word_bounds
 
 #: Rows of the embedding table.
@@ -262,7 +262,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), te
     names = [*keep, "score", "predicted"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts_of(batches):
             raw = [v or b"" for v in batch.column(len(keep)).cast(pa.large_binary()).to_pylist()]
             z = model.logits(raw)
             p = 1 / (1 + np.exp(-np.clip(np.where(np.isinf(z), min(model.bias, -0.04), z), -40, 40)))
