@@ -7,6 +7,12 @@ trained here, in numpy, by backpropagation through time on a bounded sample of r
 
 Null texts and texts without a letter are ``und`` with score 1; repeated rows get equal
 predictions; with no labelled row everything is ``und``.
+
+``spoken`` drops texts without a language.  Its network has one more class, ``und``, that
+is trained on pieces whose letters are drawn at random, and limits are fitted on the
+labelled rows that are not held out (``Limits``): a text goes when letters are too rare among
+its visible characters, or when ``und`` is its most probable class and reaches a score that
+is higher the fewer letters it has, as few letters prove little.
 """
 
 from __future__ import annotations
@@ -31,6 +37,10 @@ SAMPLE_ROWS = 240
 #: Pieces read from each of them, spread over the text.
 _PIECES = 6
 _SIDE_BY_SIDE = 2048
+#: Share of the labelled sample that lies below the values the limits start from.
+_UNUSUAL = 0.001
+#: Letters at which the limit of the score is half way down from 1.
+_FEW_LETTERS = 64
 _LETTER = regex.compile(r"\p{L}")
 #: Bytes that belong to letters: ASCII letters and parts of longer characters.
 _LETTER_BYTE = np.array([chr(b).isalpha() if b < 128 else True for b in range(256)])
@@ -216,31 +226,38 @@ def train(
     return Network(classes, Chain(weights[0], weights[1]), Chain(weights[2], weights[3]), weights[4], weights[5])
 
 
-def training_pieces(
+def labelled_sample(
     docs: DataFrame, usable: Column, sample_rows: int = SAMPLE_ROWS, text: str = "text", lang: str = "lang"
-) -> tuple[list[bytes], list[str]]:
-    """Pieces of about ``sample_rows`` documents of each language among the ``usable``."""
+) -> DataFrame | None:
+    """_text and _lang of about ``sample_rows`` documents of each language among the ``usable``."""
     known = docs.where(usable & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
     known = known.select("doc_id", F.col(text).alias("_text"), F.col(lang).alias("_lang"))
     sizes = {r["_lang"]: r["count"] for r in known.groupBy("_lang").count().collect()}
     if not sizes:
-        return [], []
+        return None
     below = F.create_map(
         *[F.lit(v) for name, n in sorted(sizes.items()) for v in (name, int(min(1.0, 1.2 * sample_rows / n) * (1 << 30)))]
     )
+    some = known.where(place("doc_id") < below[F.col("_lang")]).orderBy(place("doc_id"), "doc_id", "_text")
+    return some.limit(2 * sample_rows * len(sizes)).select("_text", "_lang")
+
+
+def training_pieces(sample: DataFrame | None) -> tuple[list[bytes], list[str]]:
+    """Pieces of the documents of a ``labelled_sample``."""
+    if sample is None:
+        return [], []
     long = F.length("_text")
     spread = F.transform(
         F.sequence(F.lit(0), F.lit(_PIECES - 1)),
         lambda i: F.substring("_text", F.lit(1) + F.floor(long * i / _PIECES).cast("int"), F.lit(WINDOW)),
     )
-    some = known.where(place("doc_id") < below[F.col("_lang")]).orderBy(place("doc_id"), "doc_id", "_text")
-    rows = some.limit(2 * sample_rows * len(sizes)).select("_lang", spread.alias("pieces")).collect()
+    rows = sample.select("_lang", spread.alias("pieces")).collect()
     pairs = [(p.encode(), r["_lang"]) for r in rows for p in r["pieces"] if p]
     return [p for p, _ in pairs], [v for _, v in pairs]
 
 
 def fit(docs: DataFrame, usable: Column, sample_rows: int = SAMPLE_ROWS) -> Network:
-    return train(*training_pieces(docs, usable, sample_rows))
+    return train(*training_pieces(labelled_sample(docs, usable, sample_rows)))
 
 
 # --------------------------------------------------------------------------
@@ -288,10 +305,64 @@ def identify(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def _letters(text: Column) -> Column:
+    return F.length(F.regexp_replace(text, r"\P{L}+", ""))
+
+
+def _share(text: Column) -> Column:
+    """Letters among the characters that are not white space."""
+    return _letters(text) / F.greatest(F.length(F.regexp_replace(text, r"\s+", "")), F.lit(1))
+
+
+def noise_pieces(pieces: list[bytes], seed: int = 17) -> list[bytes]:
+    """For every piece one whose letters are drawn from those of all pieces, or some of them."""
+    rng = np.random.default_rng(seed)
+    texts = [p.decode("utf-8", "replace") for p in pieces]
+    seen = sorted(set(_LETTER.findall("".join(texts))))
+    low = [v for v in seen if v == v.lower()] or seen
+    out = []
+    for t in texts:
+        among = low if rng.random() < 0.6 else seen
+        if rng.random() < 0.5:
+            among = rng.choice(among, max(1, len(among) // 2), replace=False)
+        out.append(_LETTER.sub(lambda _: str(among[rng.integers(len(among))]), t).encode())
+    return out
+
+
+@dataclass(frozen=True)
+class Limits:
+    """``share``: of letters, which a text with a language reaches; ``score``: of ``und``,
+    above which a long text has none."""
+
+    share: float = 0.0
+    score: float = 1.0
+
+    def least_score(self, letters: Column) -> Column:
+        return F.lit(1.0) - F.lit(1 - self.score) * letters / (letters + _FEW_LETTERS)
+
+
+def fit_limits(sample: DataFrame, net: Network) -> Limits:
+    """Limits from whole texts of a ``labelled_sample``, set so that clean texts stay: a third
+    of the share that all but ``_UNUSUAL`` of them reach, and half way to 1 from the score of
+    ``und`` that all but ``_UNUSUAL`` of them stay below (0.5 where that many are not ``und``)."""
+    asked = sample.withColumn("_share", _share(F.col("_text")))
+    rows = predict(asked, net, ("_share",), "_text").collect()
+    share = float(np.quantile([r["_share"] for r in rows], _UNUSUAL, method="lower"))
+    wrong = [r["score"] if r["lang_pred"] == UNKNOWN else 0.0 for r in rows]
+    return Limits(share / 3, (1 + float(np.quantile(wrong, 1 - _UNUSUAL, method="lower"))) / 2)
+
+
 def spoken(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The rows of ``docs`` whose language is known: all but the ``und`` ones."""
-    net = fit(docs, ~held_out(F.col("doc_id")), sample_rows)
-    found = predict(docs, net, tuple(docs.columns), into=("_lang_pred", "_lang_score"))
-    return found.where(F.col("_lang_pred") != UNKNOWN).drop("_lang_pred", "_lang_score") if net.classes else docs.where(
-        F.col("text").rlike(r"\p{L}")
-    )
+    """The rows of ``docs`` that have a language: a letter, and within the ``Limits``."""
+    sample = labelled_sample(docs, ~held_out(F.col("doc_id")), sample_rows)
+    lettered = docs.where(F.col("text").rlike(r"\p{L}"))
+    if sample is None:
+        return lettered
+    pieces, labels = training_pieces(sample)
+    noise = noise_pieces(pieces)[:: max(1, len(set(labels)))]
+    net = train(pieces + noise, labels + [UNKNOWN] * len(noise))
+    limits = fit_limits(sample, net)
+    asked = lettered.where(_share(F.col("text")) >= limits.share).withColumn("_letters", _letters(F.col("text")))
+    found = predict(asked, net, tuple(asked.columns), into=("_lang_pred", "_lang_score"))
+    none = (F.col("_lang_pred") == UNKNOWN) & (F.col("_lang_score") >= limits.least_score(F.col("_letters")))
+    return found.where(~none).drop("_lang_pred", "_lang_score", "_letters")

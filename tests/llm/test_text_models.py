@@ -187,3 +187,14 @@ def test_without_labels_everything_is_und(spark):
     assert {r["lang_pred"] for r in L.identify(docs).collect()} == {"und"}
     assert [r["doc_id"] for r in L.spoken(frame(spark, [(0, "the", None, "s"), (1, "12", None, "s")])).collect()] == [0]
     assert L.identify(frame(spark, []).withColumn("lang", F.lit("en"))).count() == 0
+
+
+def test_network_and_letters_decide_what_is_spoken(spark):
+    rng = random.Random(1)
+    noise = lambda letters: " ".join("".join(rng.choices(letters, k=rng.randint(2, 9))) for _ in range(300))
+    planted = [noise("abcdefghijklmnopqrstuvwxyz"), noise("bcdfghjklmnpqrstvwxz"), "%%% 12 34 56 q 77 88 " + "1 2 3 " * 200]
+    docs = documents(spark, SF).select("doc_id", "text", "lang")
+    odd = spark.createDataFrame([(-1 - i, t, "en") for i, t in enumerate(planted)], docs.schema)
+    got = {r["doc_id"] for r in L.spoken(docs.union(odd), 120).select("doc_id").collect()}
+    assert not got & {-1, -2, -3}
+    assert got == {r["doc_id"] for r in docs.collect()}
