@@ -4,13 +4,15 @@ Everything is Column expressions, one pass over whole texts and no shuffle of te
 Positions are code points, ends exclusive.
 
 Base kinds: ``assign``, ``access``, ``hex``.  The method adds kind ``random``: runs of 20
-or more letters, digits and ``+/_-`` with a digit that overlap no base span.  The encoding
+or more letters, digits and ``+/_-`` that overlap no base span and have a digit, or four
+capitals and four small letters at least.  The encoding
 is inferred from the characters used (hex, base 32, 36 or 64).  Against the hypothesis of
 uniform independent symbols, a chi-squared test of the alphabet, a runs test about its
 middle and a lag-1 serial correlation give three p-values; three times the least is the
 token's.  Structured tokens are told apart by Benjamini-Hochberg over all tokens of a
 length class, at a level that is higher for short ones, whose tests have less power; what
-is not rejected is reported.
+is not rejected is reported.  No token is rejected with a p-value above ``MOST_MISSED``, so
+about that share of random tokens is missed at most, however many structured ones there are.
 
 Null and empty texts have no spans; repeated rows get equal results; an empty table gives
 an empty result; a null id is carried along.
@@ -29,7 +31,8 @@ ASSIGN = rf"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{32,}"
 _RUN = r"[A-Za-z0-9+/_-]"
-TOKEN = rf"(?<!{_RUN})(?=[A-Za-z+/_-]*[0-9]){_RUN}{{20,}}"
+_MIXED = "(?=(?:[a-z+/_-]*[A-Z]){4})(?=(?:[A-Z+/_-]*[a-z]){4})"
+TOKEN = rf"(?<!{_RUN})(?:(?=[A-Za-z+/_-]*[0-9])|{_MIXED}){_RUN}{{20,}}"
 KINDS = ("assign", "access", "hex", "random")
 
 #: Alphabets in order of preference; the first that holds every character is inferred.
@@ -42,6 +45,8 @@ ALPHABETS = (
 )
 #: (least length, level of the false-discovery control) of each length class.
 CLASSES = ((20, 0.30), (28, 0.20), (40, 0.10), (64, 0.05))
+#: p-value up to which a token may be called structured, whatever the level allows.
+MOST_MISSED = 0.03
 _BINS = 1000
 
 
@@ -188,7 +193,7 @@ def scanned(docs: DataFrame) -> DataFrame:
 
 
 def thresholds(docs: DataFrame) -> dict[int, float]:
-    """For each length class, the p-value up to which Benjamini-Hochberg rejects randomness.
+    """For each length class, the p-value up to which Benjamini-Hochberg rejects randomness, at most ``MOST_MISSED``.
 
     p-values are counted in bins of 0.001, so what is gathered has a fixed size.
     """
@@ -206,7 +211,7 @@ def thresholds(docs: DataFrame) -> dict[int, float]:
             below += found[b]
             if b / _BINS <= CLASSES[cls][1] * below / total:
                 limit = b / _BINS
-        out[cls] = limit
+        out[cls] = min(limit, MOST_MISSED)
     return out
 
 
