@@ -8,7 +8,9 @@ misspelt word shares most of its runs with the word, so it needs no example of i
 
 A text is as toxic as its most toxic window, so a long text cannot dilute a few words.
 In training, a toxic text teaches through its currently highest window and a clean one
-through its highest and some random ones.
+through its highest and some random ones.  Training and the decision cut read whole texts,
+as scoring does; where texts are so long that the sample would hold more than
+``SAMPLE_CHARS`` code points, it has fewer rows.
 
 Null and empty texts have the score of the bias alone, at most 0.49.  Repeated rows get
 equal scores; labels that contradict each other are left out; without labels of both
@@ -22,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,8 +38,8 @@ SIZES = (3, 4, 5)
 WINDOW, STRIDE = 1, 1
 #: Labelled rows the model is trained on, at most, half of each label.
 SAMPLE_ROWS = 3000
-#: Code points read of a training text, at most (scoring reads whole texts).
-TRAIN_CHARS = 6000
+#: Code points after which no more training texts are taken, half of them of each label.
+SAMPLE_CHARS = 18_000_000
 #: Training texts a run must occur in.
 LEAST_TEXTS = 3
 #: Bytes of texts scored in one go.
@@ -121,14 +123,17 @@ class Model:
 
 
 def _bags(raw: bytes) -> tuple[np.ndarray, np.ndarray] | None:
-    """Buckets of the first segment in order of words, and where each word begins."""
+    """Buckets in order of words, and where each word begins."""
+    buckets, counts = [], []
     for starts, found in runs(raw):
         words = len(starts)
         owner = np.concatenate([np.repeat(np.arange(words), n) for _, n in found])
         order = np.argsort(owner, kind="stable")
-        bucket = np.concatenate([b for b, _ in found])[order]
-        return bucket, np.searchsorted(owner[order], np.arange(words + 1))
-    return None
+        buckets.append(np.concatenate([b for b, _ in found])[order].astype(np.int32))
+        counts.append(np.bincount(owner, minlength=words))
+    if not buckets:
+        return None
+    return np.concatenate(buckets), np.concatenate([[0], np.cumsum(np.concatenate(counts))])
 
 
 def window_means(x: np.ndarray) -> np.ndarray:
@@ -238,8 +243,9 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(fold(doc_id, 5) == 0, F.lit(True))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Train on at most ``sample_rows`` labelled documents outside the held-out fold, half of each label."""
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> Model:
+    """Train on at most ``sample_rows`` labelled documents outside the held-out fold, half of
+    each label, and whole; fewer once they hold ``sample_chars`` code points."""
     known = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("_most"))
     known = known.where("toxic = _most").select("doc_id", "toxic")
@@ -249,9 +255,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
         some = bounded_sample(known.where(F.col("toxic") == value), counts.get(value, 0), sample_rows // 2, F.col("doc_id"))
         chosen = some if chosen is None else chosen.union(some)
     # At most ``sample_rows`` ids, whatever the size of the tables.
-    texts = docs.select("doc_id", F.substring("text", 1, TRAIN_CHARS).alias("_text"))
+    texts = docs.select("doc_id", F.col("text").alias("_text"))
     rows = texts.join(F.broadcast(chosen), "doc_id").where("length(_text) > 0")
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "_text").limit(sample_rows).collect()
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("_text")]
+    earlier = Window.partitionBy("toxic").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_before", F.coalesce(F.sum(F.length("_text").cast("long")).over(earlier), F.lit(0)))
+    rows = rows.where(F.col("_before") < sample_chars // 2).orderBy(*order).limit(sample_rows).collect()
     return train([r["_text"].lower().encode() for r in rows], [r["toxic"] for r in rows])
 
 

@@ -134,6 +134,24 @@ def test_toxicity_of_the_table_and_odd_rows(spark):
     assert X.score(frame(spark, []), X.train([], [])).count() == 0
 
 
+def test_training_reads_whole_texts(spark, monkeypatch):
+    rows = [(i, "clean " * 1400 + (f"grumpfish {i}" if i % 2 else f"end {i}")) for i in range(40)]
+    docs, labels = frame(spark, rows), spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id bigint, toxic int")
+    seen = {}
+    monkeypatch.setattr(X, "train", lambda texts, toxic: seen.update(zip(texts, toxic)))
+    X.fit(docs, labels)
+    assert seen == {t.encode(): i % 2 for i, t in rows if crc(i) % 5}
+    seen.clear()
+    X.fit(docs, labels, sample_chars=40_000)
+    whole = {t.encode() for _, t in rows}
+    assert 4 <= len(seen) <= 8 and set(seen) <= whole and set(seen.values()) == {0, 1}
+
+
+def test_bags_cover_every_segment():
+    bucket, first = X._bags(b"word " * 500_000)
+    assert len(first) == 500_001 and first[-1] == len(bucket)
+
+
 # -- language ID
 
 
