@@ -6,8 +6,14 @@ against ordered rules.  A rule that matches takes its identifiers out of the seq
 a longer licence is named before a part of it; what no rule takes stays as ``unmatched``.
 
 Sentences end at ``.``, ``!``, ``?`` or ``:`` before white space, and at line ends; text wrapped
-inside a sentence is recognised in a second reading that joins lines.  All expressions
-are Spark columns; no row moves, and a text without a marker word costs one search.
+inside a sentence is recognised in a second reading that joins the lines of a paragraph.
+List markers are dropped.  A sentence that only puts a licence's name behind a lead-in, and
+an SPDX tag of one licence, are looked up by name.  A copyright notice with ``all rights
+reserved`` is a licence only where no other is found.
+
+``recognise_sql`` has ``SENTENCES``, ``PATTERNS`` and ``RULES``; what else is said above is in
+``recognise`` alone.  All expressions are Spark
+columns; no row moves, and a text without a marker word costs one search.
 
 Null and empty texts have no licence; repeated rows get equal results; a null id is
 carried along.
@@ -114,6 +120,54 @@ RULES = (
     ("Proprietary", ("copyright", "rights")),
     ("Proprietary", ("rights",)),
 )
+#: Patterns and rules that ``recognise`` knows besides.
+MORE_PATTERNS = (
+    ("bsd-neither", "^neither the names? of .* may be used to endorse or promote products derived from this software without specific prior written permission$"),
+    ("bsd-neither", "^the names? of .* may not be used to endorse or promote products derived from this software without specific prior written permission$"),
+    ("bsd-neither-start", "^neither the names? of .*$"),
+    ("bsd-neither-end", "^nor the names? of .* may be used to endorse or promote products derived from this software without specific prior written permission$"),
+    ("apache2-title", "^apache license$"),
+    ("apache2-version", "^version 2 0 january 2004$"),
+    ("apache2-title-version", "^apache license version 2 0 january 2004( http.*)?$"),
+)
+_BSD2 = ("bsd-redistribute", "bsd-source", "bsd-binary")
+FIRST_RULES = (
+    ("BSD-3-Clause", (*_BSD2, "bsd-neither")),
+    ("BSD-3-Clause", (*_BSD2, "bsd-neither-start", "bsd-neither-end")),
+    ("Apache-2.0", ("apache2-title", "apache2-version")),
+    ("Apache-2.0", ("apache2-title-version",)),
+)
+#: Names, normalised, that a lead-in or an SPDX tag may be followed by.
+_GNU = {"gpl": "gnu general public license", "lgpl": "gnu lesser general public license", "agpl": "gnu affero general public license"}
+NAMES = {
+    "Apache-2.0": ("apache license version 2 0", "apache license 2 0", "apache 2 0", "apache 2 0 license", "apache version 2 0"),
+    "MIT": ("mit", "mit license"),
+    "BSD-3-Clause": ("bsd 3 clause", "bsd 3 clause license", "3 clause bsd license"),
+    "BSD-2-Clause": ("bsd 2 clause", "bsd 2 clause license", "2 clause bsd license"),
+    "MPL-2.0": ("mpl 2 0", "mozilla public license version 2 0", "mozilla public license v 2 0", "mozilla public license 2 0"),
+    "CC-BY-NC-4.0": ("cc by nc 4 0", "creative commons attribution noncommercial 4 0 international license"),
+    "CC-BY-SA-4.0": ("cc by sa 4 0", "creative commons attribution sharealike 4 0 international license"),
+    "CC-BY-4.0": ("cc by 4 0", "creative commons attribution 4 0 international license"),
+    "CC0-1.0": ("cc0 1 0", "cc0 1 0 universal"),
+    "ISC": ("isc", "isc license"),
+    "Unlicense": ("unlicense",),
+} | {
+    f"{short.upper()}-{n}.0{end}": tuple(
+        name + tail for tail in tails for name in (f"{short} {n} 0", f"{short} v{n}", f"{short}v{n}", f"{full} version {n}", f"{full} v{n}", f"{full} v{n} 0")
+    )
+    for short, full in _GNU.items() for n in ((2, 3) if short == "gpl" else (3,))
+    for end, tails in (("", ("", " only")), ("-or-later", (" or later", " or any later version", " or at your option any later version")))
+}
+#: A sentence that holds nothing but a lead-in and a name; group 1 is the name.
+LEAD = (
+    r"^(?:(?:this|the|all|our) (?:[a-z0-9]+ ){1,3}(?:is|are) )?(?:licensed|released|distributed|published|provided|made available|available) "
+    r"under (?:the terms of )?(?:the |an? )?(.+?)(?: the license)?(?: see .*)?$"
+)
+SPDX = r"^spdx license identifier (.+)$"
+#: A list marker before a sentence or alone; ``c`` before ``copyright`` is none.
+_MARKER = r"^(?:[0-9]{1,3}|[a-z]|i{2,3}|iv|vi{0,3}|ix)(?: (?!copyright)|$)"
+#: Rules of ``Proprietary`` that hold only where nothing else is found.
+NOTICES = (("copyright", "-", "-", "rights"), ("copyright", "-", "rights"), ("copyright", "rights"))
 #: Every known sentence holds one of these words, so a text without them has none.
 MARKERS = "(?i)licen[cs]e|copyright|permission|warranty|redistribut|reserved|public domain"
 _END = r"([.!?:])\s+"
@@ -131,25 +185,35 @@ def _normal(sentence: Column) -> Column:
 def _identifiers(sentences: Column) -> Column:
     """Identifiers of the known sentences, in order; an unknown sentence between gives ``-``."""
     known = F.create_map(*[F.lit(x) for name, text in SENTENCES.items() for x in (text, name)])
+    named = F.create_map(*[F.lit(x) for licence, names in NAMES.items() for n in names for x in (n, f"named-{licence}")])
 
     def one(s: Column) -> Column:
         out = F.element_at(known, s)
-        for name, pattern in PATTERNS:
+        for name, pattern in PATTERNS + MORE_PATTERNS:
             out = F.coalesce(out, F.when(s.rlike(pattern), F.lit(name)))
+        for pattern in (LEAD, SPDX):
+            out = F.coalesce(out, F.when(s.rlike(pattern), F.element_at(named, F.regexp_extract(s, pattern, 1))))
         return F.coalesce(out, F.lit("-"))
 
-    normal = F.filter(F.transform(sentences, _normal), lambda s: s != "")
+    normal = F.transform(sentences, lambda s: F.regexp_replace(_normal(s), _MARKER, ""))
+    normal = F.filter(normal, lambda s: s != "")
     return F.transform(normal, one)
 
 
 def _matched(sequence: Column) -> Column:
     """Struct (licences, rest) of a sequence written as ``,a,,b,``."""
-    rules = F.array(*[F.struct(F.lit(n).alias("licence"), F.lit("," + ",,".join(ids) + ",").alias("ids")) for n, ids in RULES])
+    open_rules = [(n, ids) for n, ids in RULES if n != "Proprietary"] + [(n, (f"named-{n}",)) for n in NAMES]
+    ordered = [*FIRST_RULES, *open_rules, *[("Proprietary", ids) for ids in NOTICES], ("Proprietary", ("rights",))]
+    rules = F.array(*[
+        F.struct(F.lit(n).alias("licence"), F.lit("," + ",,".join(ids) + ",").alias("ids"), F.lit(ids in NOTICES).alias("alone"))
+        for n, ids in ordered
+    ])
     start = F.struct(F.array().cast("array<string>").alias("found"), sequence.alias("rest"))
 
     def step(acc: Column, rule: Column) -> Column:
         hit = F.contains(acc.rest, rule.ids)
-        found = F.when(hit, F.array_union(acc.found, F.array(rule.licence))).otherwise(acc.found)
+        named = hit & ~(rule.alone & F.exists(acc.found, lambda n: n != "Proprietary"))
+        found = F.when(named, F.array_union(acc.found, F.array(rule.licence))).otherwise(acc.found)
         return F.struct(found.alias("found"), F.when(hit, F.replace(acc.rest, rule.ids, F.lit(""))).otherwise(acc.rest).alias("rest"))
 
     return F.aggregate(rules, start, step)
@@ -164,7 +228,10 @@ def recognise(docs: DataFrame) -> DataFrame:
     """doc_id, n_sentences (known ones), sentences, licenses and unmatched of every row."""
     text = F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), _TAG, "$1 ")
     lines = F.split(F.regexp_replace(text, _END, "$1\n"), r"[\r\n]+")
-    joined = F.split(F.regexp_replace(F.regexp_replace(text, r"\s+", " "), r"([.!?:]) ", "$1\n"), "\n")
+    paragraphs = F.split(text, r"\r?\n[ \t]*\r?\n")
+    joined = F.flatten(
+        F.transform(paragraphs, lambda p: F.split(F.regexp_replace(F.regexp_replace(p, r"\s+", " "), r"([.!?:]) ", "$1\n"), "\n"))
+    )
     none = F.array().cast("array<string>")
     marked = text.rlike(MARKERS)
     ids = docs.select(

@@ -285,6 +285,35 @@ def test_licence_rules(spark):
     assert license_rules.recognise(frame(spark, [])).count() == 0
 
 
+def test_full_licence_texts(spark):
+    met = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n"
+    source = "Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n\n"
+    binary = ("Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following "
+              "disclaimer in the documentation\n   and/or other materials provided with the distribution.\n\n")
+    neither = ("Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products "
+               "derived from\n   this software without specific prior written permission.\n\n")
+    notice = "Copyright (c) 2020, Some One. All rights reserved.\n\n"
+    as_is = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS "AS IS".\n'
+    mit = ("MIT License\n\nCopyright (c) 2020 Some One\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\n"
+           'of this software and associated documentation files (the "Software"), to deal\nin the Software without restriction, including '
+           "without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, "
+           "and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\nThe above copyright "
+           "notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.\n")
+    apache = ('Copyright 2020 J. Smith. All rights reserved.\n\nLicensed under the Apache License, Version 2.0 (the "License");\nyou may not use this '
+              "file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n")
+    cases = [
+        (f"{notice}{met}1. {source}2. {binary}{as_is}", "BSD-2-Clause"), (f"{notice}{met}1. {source}2. {binary}3. {neither}{as_is}", "BSD-3-Clause"),
+        (f"{notice}{met}* {source}* {binary}* {neither}{as_is}", "BSD-3-Clause"), (f"{met}(a) {source}(b) {binary}(c) {neither}", "BSD-3-Clause"),
+        (mit, "MIT"), (apache, "Apache-2.0"), ("Apache License\nVersion 2.0, January 2004\n", "Apache-2.0"),
+        ("This project is licensed under the Apache License, Version 2.0.", "Apache-2.0"), ("This software is released under the BSD 3-Clause License.", "BSD-3-Clause"),
+        ("This project is licensed under the MIT License - see the LICENSE file", "MIT"), ("SPDX-License-Identifier: MPL-2.0", "MPL-2.0"),
+        ("SPDX-License-Identifier: AGPL-3.0-or-later", "AGPL-3.0-or-later"), ("Distributed under the GNU General Public License v3.0.", "GPL-3.0"),
+        ("Copyright 2020 J. Smith. All rights reserved.", "Proprietary"),
+    ]
+    got = {r["doc_id"]: r["licenses"] for r in license_rules.recognise(frame(spark, [(i, t) for i, (t, _) in enumerate(cases)])).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(cases)}
+
+
 def test_every_known_sentence_holds_a_marker():
     import re
 
