@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fixity, language_id, license_rules, minhash_dedup, mixing, multi_index, packing, quality_rules, secret_scan, toxicity
+from . import chunk_bpe, fixity, language_id, license_rules, minhash_dedup, mixing, multi_index, packing, periodic_runs
+from . import quality_rules, resampling, secret_scan, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +56,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.report(table(spark, sf_dir, "documents"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_warc_fixity": op1_warc_fixity,
@@ -67,8 +81,11 @@ def queries() -> dict[str, Query]:
         "op8_minhash_dedup": op8_minhash_dedup,
         "op9_secret_scan": op9_secret_scan,
         "op10_language_id": op10_language_id,
+        "op11_periodic_runs": op11_periodic_runs,
+        "op12_importance_resampling": op12_importance_resampling,
+        "op13_chunk_bpe": op13_chunk_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_fixity": fixity.AUDIT_SQL, "op5_license_rules": license_rules.recognise_sql()}
+    return {"op1_warc_fixity": fixity.AUDIT_SQL, "op5_license_rules": license_rules.recognise_sql(), "op12_importance_resampling": resampling.RESAMPLE_SQL}
