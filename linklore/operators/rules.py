@@ -274,9 +274,13 @@ def needed(rules: dict[str, Rule] | None = None) -> set[str]:
 
 
 def match(
-    timeline: DataFrame, p: Params = DEFAULTS, rules: dict[str, Rule] | None = None
+    timeline: DataFrame,
+    p: Params = DEFAULTS,
+    rules: dict[str, Rule] | None = None,
+    keep_instants: bool = False,
 ) -> DataFrame:
-    """Candidates of the given rules (default: all), text not rendered."""
+    """Candidates of the given rules (default: all), text not rendered.  With
+    ``keep_instants`` an instant at which none fires is a row without candidate."""
     found = []
     for rule in (rules or RULES).values():
         m = rule.match(p)
@@ -288,8 +292,9 @@ def match(
             F.array(*m.words).alias("words"),
         )
         found.append(F.when(m.fires, candidate))
+    each = F.explode_outer if keep_instants else F.explode
     return timeline.select(
-        "session_id", *INSTANT, F.explode(F.array_compact(F.array(*found))).alias("c")
+        "session_id", *INSTANT, each(F.array_compact(F.array(*found))).alias("c")
     ).select("session_id", *INSTANT, "c.*")
 
 

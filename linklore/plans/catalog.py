@@ -32,7 +32,10 @@ from ..sources.session_files import (
     read_sessions,
     write_sessions,
 )
+from ..streaming import epochs as live_epochs
+from ..streaming import findings as live_findings
 from ..streaming import tail as stream
+from ..streaming import windows as live
 from .sequence import scratch_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -369,6 +372,44 @@ def _stream_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(S.accumulate(counted))
 
 
+FEED_SLICES, FEED_FILES = 4, 8
+
+
+def _streamed(
+    spark: SparkSession, sf_dir: str, name: str, build: Callable[[DataFrame, Recording], DataFrame]
+) -> DataFrame:
+    """What ``build`` makes of a recording that arrives in several micro-batches: its events
+    are written in slices of time, and a streaming query reads them as files come."""
+    rec = lens.recording(spark, sf_dir)
+    path = scratch_folder(spark, name)
+    events = live.window_events(rec)
+    events = events.unionByName(live.heartbeats(events, rec.params))
+    live.write_feed(events, f"{path}/feed", FEED_SLICES)
+    feed = (
+        spark.readStream.schema(events.schema).option("maxFilesPerTrigger", FEED_FILES).parquet(f"{path}/feed")
+    )
+    query = (
+        build(feed, rec)
+        .writeStream.format("parquet")
+        .option("checkpointLocation", f"{path}/progress")
+        .trigger(availableNow=True)
+        .start(f"{path}/rows")
+    )
+    query.awaitTermination()
+    rows = spark.read.parquet(f"{path}/rows")
+    return rows.withColumn("session_id", F.col("session_id").cast(rec.session_type))
+
+
+def _stream_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Finding transitions of windows, rules and lifecycle kept as state of a stream."""
+    return flat(_streamed(spark, sf_dir, "findings", lambda feed, rec: live_findings.finding_stream(feed, rec.params)))
+
+
+def _stream_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Association and counter epochs that a stream opens and closes."""
+    return flat(_streamed(spark, sf_dir, "epochs", lambda feed, rec: live_epochs.epoch_stream(feed)))
+
+
 OPERATORS: dict[str, Callable[[Recording], DataFrame]] = {
     # sources and ordering
     "event_index": S.event_index,
@@ -457,4 +498,6 @@ def queries() -> dict[str, Query]:
     return {
         **{name: _on_lens(op) for name, op in OPERATORS.items()},
         "stream_tally": _stream_tally,
+        "stream_findings": _stream_findings,
+        "stream_epochs": _stream_epochs,
     }

@@ -630,6 +630,9 @@ QUERIES["ping_ingest"] = """SELECT session_id, seq, at_us, target, CAST(round(x
 )
 QUERIES["session_roundtrip"] = QUERIES["session_summary"].rsplit(", CASE", 1)[0] + " FROM log GROUP BY 1"
 QUERIES["stream_tally"] = QUERIES["running_tally"]
+QUERIES["stream_findings"] = QUERIES["findings"]
+QUERIES["stream_epochs"] = """SELECT session_id, seq, at_us, 'association' AS kind, lost, epoch, since_us, identity_key FROM assoc
+    UNION ALL SELECT session_id, seq, at_us, 'counter', lost, epoch, min(at_us) OVER (PARTITION BY session_id, epoch), NULL FROM cnt"""
 _RAW_CHANNEL = """CASE {pos} % 4 WHEN 0 THEN 'FiveGhz' WHEN 2 THEN 'TwoPointFourGhz' ELSE {band} END AS channel_band,
     CASE {pos} % 4 WHEN 0 THEN 'Mhz80' WHEN 1 THEN 'Mhz40' WHEN 2 THEN 'Mhz20' END AS channel_width"""
 QUERIES["capture_text"] = """SELECT session_id, scan_seq, pos, CASE WHEN pos % 5 >= 2 THEN ssid END AS ssid,
