@@ -133,51 +133,58 @@ def parse_time(text: Column) -> Column:
 # -- header ----------------------------------------------------------------
 
 
-def headers(rows: DataFrame, kind: str = DEFAULT_KIND, files: DataFrame | None = None) -> DataFrame:
-    """One row per session with its header fields and a ``status``, from the
-    first line of each.  ``files`` adds sessions without any line.
+def _header_field(value: Column, name: str) -> Column:
+    return F.get_json_object(value, f"$.{name}")
 
-    The checks go from outside in, so that a wrong kind or version is reported
-    as such even where the rest of the header has another shape."""
-    df = rows.groupBy("session_id").agg(F.min(F.struct("seq", "value")).alias("f")).select(
-        "session_id", F.col("f.seq").alias("header_seq"), F.col("f.value").alias("value")
-    )
-    if files is not None:
-        df = files.join(df, "session_id", "left")
 
-    def field(name: str) -> Column:
-        return F.get_json_object("value", f"$.{name}")
+def _header_version(value: Column) -> Column:
+    written = _header_field(value, "format_version")
+    return F.when(written.rlike("^[0-9]+$"), written.try_cast("bigint"))
+
 
-    is_json = F.try_parse_json("value").isNotNull()
-    written = field("format_version")
-    version = F.when(written.rlike("^[0-9]+$"), written.try_cast("bigint"))
-    created = parse_time(field("created_at"))
+def header_status(value: Column, kind: str = DEFAULT_KIND) -> Column:
+    """Verdict on the first line of a session.  The checks go from outside in, so that a
+    wrong kind or version is reported as such even where the rest has another shape."""
+    version = _header_version(value)
     shaped = (
-        field("kind").isNotNull()
+        _header_field(value, "kind").isNotNull()
         & version.isNotNull()
-        & F.unix_micros(F.try_to_timestamp(field("created_at"))).isNotNull()
-        & field("tool_version").isNotNull()
+        & F.unix_micros(F.try_to_timestamp(_header_field(value, "created_at"))).isNotNull()
+        & _header_field(value, "tool_version").isNotNull()
     )
-    status = (
-        F.when(F.col("header_seq").isNull(), "Empty")
+    return (
         # A landed event keeps no text: the first line was an event.
-        .when(F.col("value").isNull(), "MissingHeader")
-        .when(~is_json, "BadJson")
-        .when(F.coalesce(field("row"), F.lit("")) != "header", "MissingHeader")
-        .when(field("kind") != kind, "WrongKind")
+        F.when(value.isNull(), "MissingHeader")
+        .when(F.try_parse_json(value).isNull(), "BadJson")
+        .when(F.coalesce(_header_field(value, "row"), F.lit("")) != "header", "MissingHeader")
+        .when(_header_field(value, "kind") != kind, "WrongKind")
         .when(version > FORMAT_VERSION, "NewerVersion")
         .when(version < MIN_READABLE_VERSION, "OlderVersion")
         .when(~shaped, "BadJson")
         .otherwise("ok")
     )
+
+
+def headers(rows: DataFrame, kind: str = DEFAULT_KIND, files: DataFrame | None = None) -> DataFrame:
+    """One row per session with its header fields and a ``status``, from the
+    first line of each.  ``files`` adds sessions without any line."""
+    df = rows.groupBy("session_id").agg(F.min(F.struct("seq", "value")).alias("f")).select(
+        "session_id", F.col("f.seq").alias("header_seq"), F.col("f.value").alias("value")
+    )
+    if files is not None:
+        df = files.join(df, "session_id", "left")
+
+    field, version = _header_field, _header_version(F.col("value"))
+    created = parse_time(field(F.col("value"), "created_at"))
+    status = F.when(F.col("header_seq").isNull(), "Empty").otherwise(header_status(F.col("value"), kind))
     return df.select(
         "session_id",
         "header_seq",
-        field("kind").alias("kind"),
+        field(F.col("value"), "kind").alias("kind"),
         version.alias("format_version"),
         created.alias("created_us"),
-        field("tool_version").alias("tool_version"),
-        field("label").alias("label"),
+        field(F.col("value"), "tool_version").alias("tool_version"),
+        field(F.col("value"), "label").alias("label"),
         status.alias("status"),
     )
 

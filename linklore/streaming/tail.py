@@ -1,4 +1,9 @@
-"""Live tail of session files with Structured Streaming."""
+"""Live tail of session files with Structured Streaming.
+
+Files may still be growing: every completed line arrives once.  The header of a file is
+checked with each of its rows; a row that is not an event of a readable session is kept with
+the reason, for a sink of its own.
+"""
 
 from __future__ import annotations
 
@@ -8,30 +13,65 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.summary import COUNTERS, TALLIED
 from ..params import DEFAULTS, Params
-from ..sources.session_files import parsed, session_of
+from ..sources.growing import growing_lines
+from ..sources.session_files import DEFAULT_KIND, header_status, parsed
+
+
+def tail_rows(spark: SparkSession, path: str, kind: str = DEFAULT_KIND) -> DataFrame:
+    """Every row after the header, as it arrives, with ``error``: null for an event, else what is
+    wrong with the file (a header status) or the row (``BadJson``, ``DuplicateHeader``)."""
+    rows = parsed(growing_lines(spark, path).where(F.trim("value") != ""))
+    status = header_status(F.col("header"), kind)
+    again = F.coalesce(F.col("row_tag") == "header", F.lit(False))
+    error = F.when(status != "ok", status).when(~F.col("is_good"), F.when(again, "DuplicateHeader").otherwise("BadJson"))
+    # The first line of an unreadable file is a row like the others.
+    rows = rows.withColumn("error", error).where((F.col("seq") > F.col("header_seq")) | (status != "ok"))
+    return rows.drop("header", "header_seq")
+
+
+def accepted(rows: DataFrame) -> DataFrame:
+    """The envelopes among :func:`tail_rows`."""
+    return rows.where("error is null").drop("error", "value")
+
+
+def rejected(rows: DataFrame) -> DataFrame:
+    return rows.where("error is not null").select("session_id", "seq", "error", "value")
 
 
 def tail(
-    spark: SparkSession, path: str, late: str = "10 minutes", files_per_trigger: int = 1000
+    spark: SparkSession, path: str, late: str = "10 minutes", kind: str = DEFAULT_KIND, dedup: bool = True
 ) -> DataFrame:
-    """Envelopes as they arrive, copies removed.  Event time is watermarked;
-    order inside a session is the event id."""
-    lines = (
-        spark.readStream.format("text")
-        .option("maxFilesPerTrigger", files_per_trigger)
-        .option("recursiveFileLookup", "true")
-        .load(path)
-        .select(
-            session_of(F.col("_metadata.file_path")).alias("session_id"), "value"
-        )
-    )
-    rows = parsed(lines.where(F.trim("value") != "")).where("is_good")
-    rows = rows.withColumn("seq", F.col("id"))
-    return (
-        rows.withColumn("at", F.timestamp_micros("at_us"))
-        .withWatermark("at", late)
-        .dropDuplicatesWithinWatermark(["session_id", "id"])
-    )
+    """Envelopes as they arrive, watermarked by event time, in file order (``seq``).
+
+    ``dedup`` removes copies that are equal in id, time and content (a recorder that starts
+    late writes its backlog twice); rows that share an id only all stay.  It looks back ``late``
+    in event time and drops what is older; see :func:`dropped_late`."""
+    rows = accepted(tail_rows(spark, path, kind)).withColumn("at", F.timestamp_micros("at_us"))
+    rows = rows.withWatermark("at", late)
+    if not dedup:
+        return rows
+    content = F.xxhash64("source", "event_type", F.to_json("event"))
+    keys = ["session_id", "id", "at_us", "_content"]
+    return rows.withColumn("_content", content).dropDuplicatesWithinWatermark(keys).drop("_content")
+
+
+def dropped_late(query: StreamingQuery) -> int:
+    """Rows that came behind the watermark in the recent micro-batches of a query."""
+    return sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
+
+
+def land_tail(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Write :func:`tail_rows` as they come: events by variant under ``events``, the others
+    with their reason under ``rejected``.  A repeated batch replaces its folders."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        for name, part, by in (("events", accepted(batch), ["event_type"]), ("rejected", rejected(batch), [])):
+            part.write.mode("overwrite").partitionBy(*by).parquet(f"{path}/{name}/batch={batch_id:012d}")
+        batch.unpersist()
+
+    query = rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return query.trigger(availableNow=True).start()
 
 
 def land_stream(envelopes: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

@@ -237,3 +237,84 @@ def test_live_findings_equal_a_replay(spark, tmp_path):
     cols = ["session_id", "at_us", "fingerprint", "lifecycle", "headline"]
     assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
     assert {r.session_id[-1] for r in got.collect()} == {"a", "b"}
+
+
+# -- tail of growing files
+
+
+def append(folder, name, lines, end="\n"):
+    with open(folder / name, "a") as file:
+        file.write("\n".join(x if isinstance(x, str) else json.dumps(x) for x in lines) + end)
+
+
+def test_appended_lines_arrive_once_across_restarts(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+
+    def landed():
+        TAIL.land_tail(TAIL.tail_rows(spark, str(src)), str(tmp_path / "live"), str(tmp_path / "cp")).awaitTermination()
+        events = spark.read.parquet(f"{tmp_path}/live/events").collect()
+        wrong = spark.read.parquet(f"{tmp_path}/live/rejected").collect()
+        name = lambda r: r.session_id.rsplit("/", 1)[1]
+        return sorted((name(r), r.id) for r in events), sorted((name(r), r.error) for r in wrong)
+
+    append(src, "a", [HEADER, row(1), row(2)])
+    assert landed() == ([("a", 1), ("a", 2)], [])
+    half = json.dumps(row(4))
+    append(src, "a", [row(3), "{bad", HEADER, half[:30]], end="")
+    append(src, "none", [row(1), row(2)])
+    append(src, "other", [HEADER | {"kind": "else"}, row(1)])
+    expected = [("a", "BadJson"), ("a", "DuplicateHeader"), *[("none", "MissingHeader")] * 2, *[("other", "WrongKind")] * 2]
+    assert landed() == ([("a", 1), ("a", 2), ("a", 3)], expected)
+    # The line is completed, ids restart with another time, and a new file comes.
+    append(src, "a", [half[30:], row(1, at="2026-05-28T20:00:00Z"), "", row(2, at="2026-05-28T20:00:01Z")])
+    append(src, "b", ["", HEADER, row(9)])
+    want = [("a", 1), ("a", 1), ("a", 2), ("a", 2), ("a", 3), ("a", 4), ("b", 9)]
+    assert landed() == (want, expected)
+    assert landed() == (want, expected)  # nothing new
+
+
+def test_ranges_of_a_file_give_every_line_once(tmp_path):
+    from linklore.sources.growing import GrowingReader
+
+    lines = [("x" * (i * 37 % 300)) + str(i) for i in range(400)]
+    (tmp_path / "f").write_text("\n".join(lines) + "\n" + "open line")
+    for size in (50, 333, 100_000):
+        reader = GrowingReader({"path": f"file://{tmp_path}", "partitionBytes": str(size)})
+        end = reader.latestOffset()
+        got = [v for part in reader.partitions({}, end) for b in reader.read(part) for v in b.column(2).to_pylist()]
+        assert got == lines
+        starts = [v for part in reader.partitions({}, end) for b in reader.read(part) for v in b.column(1).to_pylist()]
+        assert starts == sorted(set(starts))
+
+
+def test_tail_keeps_rows_that_share_an_id_only(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    other = row(1, type="GatewayLatency", target="10.0.0.1", rtt={"secs": 0, "nanos": 9}, reachable=True, probe="icmp")
+    append(src, "s", [HEADER, row(1), row(1), other, row(1, at="2026-05-28T19:24:00Z")])
+    for dedup, n in ((True, 3), (False, 4)):
+        query = TAIL.land_stream(TAIL.tail(spark, str(src), dedup=dedup), f"{tmp_path}/{n}", f"{tmp_path}/cp{n}")
+        query.awaitTermination()
+        assert spark.read.parquet(f"{tmp_path}/{n}").count() == n
+        assert TAIL.dropped_late(query) == 0
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    append(src, "s", [HEADER, row(1, at="2026-05-28T19:00:00Z")])
+
+    def land():
+        query = TAIL.land_stream(TAIL.tail(spark, str(src), late="1 minute"), f"{tmp_path}/live", f"{tmp_path}/cp")
+        query.awaitTermination()
+        return TAIL.dropped_late(query)
+
+    assert land() == 0
+    append(src, "s", [row(2, at="2026-05-28T19:30:00Z")])
+    assert land() == 0
+    append(src, "s", [row(3, at="2026-05-28T19:30:30Z")])  # a batch judges by the watermark before it
+    assert land() == 0
+    append(src, "s", [row(4, at="2026-05-28T19:05:00Z"), row(5, at="2026-05-28T19:31:00Z")])
+    assert land() == 1
+    assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/live").collect()) == [1, 2, 3, 5]
