@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import settle
-from .tokens import word_cache
+from .tokens import word_encoder
 
 SEQUENCE = 2048
 CLOSING_ID = 1
@@ -41,13 +41,13 @@ def pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE) -> DataFra
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, nth = word_cache(tokenizer), 0
+        encoder, nth = word_encoder(tokenizer), 0
         closing = np.array([CLOSING_ID], "<u4").tobytes()
         for batch in batches:
             for a in range(0, batch.num_rows, _TOGETHER):
                 part = batch.slice(a, _TOGETHER)
                 owner, start, length, crc, tokens = [], [], [], [], []
-                for i, ids in enumerate(cache.encode([t or "" for t in part.column(1).to_pylist()])):
+                for i, ids in enumerate(encoder.encode([t or "" for t in part.column(1).to_pylist()])):
                     ids += closing
                     for at in range(0, len(ids), 4 * sequence):
                         piece = ids[at : at + 4 * sequence]
