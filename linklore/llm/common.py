@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import math
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -78,3 +79,19 @@ def join_nulls(left: DataFrame, right: DataFrame, keys: list[str], how: str = "i
     renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
     on = [left[k].eqNullSafe(renamed[f"_right_{k}"]) for k in keys]
     return left.join(renamed, on, how).drop(*[f"_right_{k}" for k in keys])
+
+
+def keeps_columns(*read: str) -> Callable:
+    """For functions that give back rows of their first argument: they see the columns they
+    ``read`` and the others under names of their own, so that no helper column can meet one."""
+
+    def wrap(function: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @functools.wraps(function)
+        def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+            inner = {c: c if c in read else f"_other{i}" for i, c in enumerate(docs.columns)}
+            out = function(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in inner.items()]), *args, **kwargs)
+            return out.select(*[F.col(n).alias(c) for c, n in inner.items()])
+
+        return run
+
+    return wrap

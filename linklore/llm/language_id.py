@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold, parts_of, place
+from .common import fold, keeps_columns, parts_of, place, settle
 
 UNKNOWN = "und"
 #: Positions that run in one chain.
@@ -239,7 +239,7 @@ def labelled_sample(
         *[F.lit(v) for name, n in sorted(sizes.items()) for v in (name, int(min(1.0, 1.2 * sample_rows / n) * (1 << 30)))]
     )
     some = known.where(place("doc_id") < below[F.col("_lang")]).orderBy(place("doc_id"), "doc_id", "_text")
-    return some.limit(2 * sample_rows * len(sizes)).select("_text", "_lang")
+    return settle(some.limit(2 * sample_rows * len(sizes)).select("_text", "_lang"), "language-sample")
 
 
 def training_pieces(sample: DataFrame | None) -> tuple[list[bytes], list[str]]:
@@ -269,13 +269,13 @@ def predict(
     into: tuple[str, str] = ("lang_pred", "score"),
 ) -> DataFrame:
     """``keep``, and language and score of every row in the columns ``into``."""
-    shown = docs.select(*keep)
+    shown, read = docs.select(*keep), keep if text in keep else (*keep, text)
     fields = [T.StructField(into[0], T.StringType()), T.StructField(into[1], T.DoubleType())]
     names = [*keep, *into]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts_of(batches):
-            column = batch.column(len(keep)).cast(pa.large_binary())
+            column = batch.column(read.index(text)).cast(pa.large_binary())
             raw = [v or b"" for v in column.to_pylist()]
             spoken = np.array([bool(_LETTER.search(v.decode("utf-8", "replace"))) for v in raw], bool)
             offsets = np.concatenate([[0], np.cumsum([len(v) for v in raw])]).astype(np.int64)
@@ -289,8 +289,7 @@ def predict(
             cols = [pa.array(found, pa.string()), pa.array(score, pa.float64())]
             yield pa.RecordBatch.from_arrays(batch.columns[: len(keep)] + cols, names)
 
-    asked = docs.select(*keep, F.col(text).alias("_text"))
-    return asked.mapInArrow(run, T.StructType(shown.schema.fields + fields))
+    return docs.select(*read).mapInArrow(run, T.StructType(shown.schema.fields + fields))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -352,6 +351,7 @@ def fit_limits(sample: DataFrame, net: Network) -> Limits:
     return Limits(share / 3, (1 + float(np.quantile(wrong, 1 - _UNUSUAL, method="lower"))) / 2)
 
 
+@keeps_columns("doc_id", "text", "lang")
 def spoken(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The rows of ``docs`` that have a language: a letter, and within the ``Limits``."""
     sample = labelled_sample(docs, ~held_out(F.col("doc_id")), sample_rows)

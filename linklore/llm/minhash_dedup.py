@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import Forest, by_task, dealt
-from .common import parts_of, settle
+from .common import keeps_columns, parts_of, settle
 from .components import components
 from .rolling import mixed
 from .shingles import SHINGLE_WORDS, MinHashes, set_key, shingle_sets
@@ -261,6 +261,7 @@ def near_duplicates(docs: DataFrame, p: Banding = Banding()) -> DataFrame:
     return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), kept.alias("kept"))
 
 
+@keeps_columns("doc_id", "text")
 def deduplicated(docs: DataFrame, p: Banding = Banding()) -> DataFrame:
     """The rows of ``docs`` that are kept; of rows that repeat id and text, one."""
     verdict = near_duplicates(docs, p).where(~F.col("kept"))

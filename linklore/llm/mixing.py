@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, join_nulls, settle
+from .common import WORD, join_nulls, keeps_columns, settle
 
 WEIGHTS = (5.0, 2.0, 1.0)
 TOTAL = 1.5
@@ -178,6 +178,7 @@ def mix(docs: DataFrame) -> DataFrame:
     )
 
 
+@keeps_columns("doc_id", "source", "text")
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` as often as the mix takes them."""
     drawn = mix(docs).where("times > 0").select("doc_id", "source", F.col("h").alias("_h"), F.col("copy").alias("_copy"), F.col("times").alias("_times"))

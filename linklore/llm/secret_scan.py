@@ -26,6 +26,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import keeps_columns
+
 _VALUE = r"[A-Za-z0-9+/_.=-]"
 ASSIGN = rf"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?({_VALUE}+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
@@ -254,6 +256,7 @@ def report(docs: DataFrame) -> DataFrame:
     )
 
 
+@keeps_columns("text")
 def redacted(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span of ``text`` replaced by ``mask``; rows and columns stay."""
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts"))

@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from linklore.llm import components as C
-from linklore.llm import fixity, license_rules, mixing, packing, queries
+from linklore.llm import fixity, license_rules, mixing, packing, queries, tokens
 from linklore.llm import minhash_dedup as H
 from linklore.llm import blocks
 
@@ -350,3 +350,46 @@ def test_pipeline_runs(spark):
     got = corpus_pipeline.run(spark, DATA).collect()
     assert got and {"doc_id", "sequence_id", "offset"} <= set(got[0].asDict())
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+PRIVATE = ("_id _h _nth _copy _times _time _base _all _tokens _free _letters _lang_pred _lang_score _share _text _lang _other0 "
+           "_other1 spans size kept length p score a.b").split()
+
+
+@pytest.mark.parametrize("stage", ["language_id", "minhash_dedup", "secret_scan", "source_mixing"])
+def test_stages_keep_columns_of_any_name(spark, stage):
+    run = dict(corpus_pipeline.STAGES)[stage]
+    plain = documents(spark).where("doc_id < 80")
+    clashing = plain.select("*", *[F.concat(F.lit(n), F.col("doc_id")).alias(n) for n in PRIVATE])
+    rows = run(spark, clashing, DATA)
+    assert rows.columns == clashing.columns
+    found = rows.collect()
+    assert found and all(r[n] == f"{n}{r['doc_id']}" for r in found for n in PRIVATE)
+    expected = Counter(map(tuple, run(spark, plain, DATA).collect()))
+    assert Counter(tuple(r)[: len(plain.columns)] for r in found) == expected
+
+
+def test_stages_of_an_empty_table(spark):
+    docs = documents(spark).limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, DATA)
+        assert out.collect() == []
+        if name != "packing":
+            assert out.columns == docs.columns
+
+
+# -- words of the packing tokenizer
+
+
+def test_ids_of_odd_texts_equal_the_library():
+    encoder = tokens.WordEncoder(TOKENIZER)
+    library, rng = Tokenizer.from_file(TOKENIZER), random.Random(1)
+    marks = list("abcdefghijklmnopqrstuvwxyz '' 1") * 8 + ["<|endoftext|>", "<|", "漢", "🙂", "ﬁ", "Σ", "̇"]
+    letters = [chr(i) for i in range(0x250)] + marks
+    texts = ["".join(rng.choices(letters, k=rng.randint(0, 40))) for _ in range(6000)]
+    texts += [t.removesuffix("</w>") + tail for t in library.get_vocab() for tail in ("", " x")]
+    texts += ["", " ", "\x01", "x" * 60_000, "ab " * 30_000]
+    for at in range(0, len(texts), 4000):
+        part = texts[at : at + 4000]
+        for ids, theirs in zip(encoder.encode(part), library.encode_batch_fast(part, add_special_tokens=False)):
+            assert np.frombuffer(ids, "<u4").tolist() == theirs.ids
