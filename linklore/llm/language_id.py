@@ -268,28 +268,37 @@ def predict(
     docs: DataFrame, net: Network, keep: tuple[str, ...] = ("doc_id",), text: str = "text",
     into: tuple[str, str] = ("lang_pred", "score"),
 ) -> DataFrame:
-    """``keep``, and language and score of every row in the columns ``into``."""
-    shown, read = docs.select(*keep), keep if text in keep else (*keep, text)
-    fields = [T.StructField(into[0], T.StringType()), T.StructField(into[1], T.DoubleType())]
-    names = [*keep, *into]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts_of(batches):
-            column = batch.column(read.index(text)).cast(pa.large_binary())
-            raw = [v or b"" for v in column.to_pylist()]
-            spoken = np.array([bool(_LETTER.search(v.decode("utf-8", "replace"))) for v in raw], bool)
-            offsets = np.concatenate([[0], np.cumsum([len(v) for v in raw])]).astype(np.int64)
-            if net.classes and len(raw) and offsets[-1]:
-                p = net.pooled(np.frombuffer(b"".join(raw), np.uint8), offsets)
-                best = p.argmax(axis=1)
-                found = [net.classes[i] if s else UNKNOWN for i, s in zip(best, spoken)]
-                score = np.where(spoken, np.clip(p[np.arange(len(p)), best], 0, 1), 1.0)
-            else:
-                found, score = [UNKNOWN] * len(raw), np.ones(len(raw))
-            cols = [pa.array(found, pa.string()), pa.array(score, pa.float64())]
-            yield pa.RecordBatch.from_arrays(batch.columns[: len(keep)] + cols, names)
-
-    return docs.select(*read).mapInArrow(run, T.StructType(shown.schema.fields + fields))
+    """``keep``, and language and score of every row in the columns ``into``.
+
+    Only the text goes to Python and only language and score come back; the rows stay in Spark.
+    """
+    names = list(into)
+
+    def judged(column: pa.Array) -> pa.RecordBatch:
+        raw = [v or b"" for v in column.cast(pa.large_binary()).to_pylist()]
+        spoken = np.array([bool(_LETTER.search(v.decode("utf-8", "replace"))) for v in raw], bool)
+        offsets = np.concatenate([[0], np.cumsum([len(v) for v in raw])]).astype(np.int64)
+        if net.classes and len(raw) and offsets[-1]:
+            p = net.pooled(np.frombuffer(b"".join(raw), np.uint8), offsets)
+            best = p.argmax(axis=1)
+            found = [net.classes[i] if s else UNKNOWN for i, s in zip(best, spoken)]
+            score = np.where(spoken, np.clip(p[np.arange(len(p)), best], 0, 1), 1.0)
+        else:
+            found, score = [UNKNOWN] * len(raw), np.ones(len(raw))
+        return pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(score, pa.float64())], names)
+
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        schema = pa.schema([(names[0], pa.string()), (names[1], pa.float64())])
+        for column in columns:
+            whole = pa.RecordBatch.from_arrays([column], [text])
+            parts = [judged(part.column(0)) for part in parts_of(iter([whole]))]
+            yield pa.Table.from_batches(parts, schema).combine_chunks().to_struct_array().combine_chunks()
+
+    schema = T.StructType([T.StructField(into[0], T.StringType()), T.StructField(into[1], T.DoubleType())])
+    # Not deterministic to the optimiser, so that no filter repeats it.
+    pair = F.arrow_udf(run, schema).asNondeterministic()
+    found = docs.select(*keep, pair(F.col(text)).alias("_judged"))
+    return found.select(*keep, *[F.col("_judged")[c].alias(c) for c in into])
 
 
 def held_out(doc_id: Column) -> Column:
