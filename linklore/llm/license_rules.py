@@ -7,13 +7,13 @@ a longer licence is named before a part of it; what no rule takes stays as ``unm
 
 Sentences end at ``.``, ``!``, ``?`` or ``:`` before white space, and at line ends; text wrapped
 inside a sentence is recognised in a second reading that joins the lines of a paragraph.
-List markers are dropped.  A sentence that only puts a licence's name behind a lead-in, and
-an SPDX tag of one licence, are looked up by name.  A copyright notice with ``all rights
+List markers are dropped.  A sentence that only puts licence names behind a lead-in, and an
+SPDX tag, are looked up by name: names joined by ``or`` and ``and`` give one identifier each,
+in order, and an exception after ``with`` is not read.  A copyright notice with ``all rights
 reserved`` is a licence only where no other is found.
 
-``recognise_sql`` has ``SENTENCES``, ``PATTERNS`` and ``RULES``; what else is said above is in
-``recognise`` alone.  All expressions are Spark
-columns; no row moves, and a text without a marker word costs one search.
+``recognise_sql`` follows the same rules.  All expressions are Spark columns; no row moves,
+and a text without a marker word costs one search.
 
 Null and empty texts have no licence; repeated rows get equal results; a null id is
 carried along.
@@ -69,11 +69,14 @@ SENTENCES = {
 #: Sentences with changing parts: identifier and pattern of the whole normalised sentence.
 PATTERNS = (
     ("copyright", "^(copyright|c copyright|copyright c) [0-9]{4}.*$"),
-    ("spdx-apache2", "^spdx license identifier apache 2 0$"),
-    ("spdx-mit", "^spdx license identifier mit$"),
-    ("spdx-gpl3", "^spdx license identifier gpl 3 0( only| or later)?$"),
-    ("spdx-bsd3", "^spdx license identifier bsd 3 clause$"),
-)
+    ("bsd-neither", "^neither the names? of .* may be used to endorse or promote products derived from this software without specific prior written permission$"),
+    ("bsd-neither", "^the names? of .* may not be used to endorse or promote products derived from this software without specific prior written permission$"),
+    ("bsd-neither-start", "^neither the names? of .*$"),
+    ("bsd-neither-end", "^nor the names? of .* may be used to endorse or promote products derived from this software without specific prior written permission$"),
+    ("apache2-title", "^apache license$"),
+    ("apache2-version", "^version 2 0 january 2004$"),
+    ("apache2-title-version", "^apache license version 2 0 january 2004( http.*)?$"),
+)
 #: Rules in order: licence and the identifiers it takes, one after the other.
 RULES = (
     ("Apache-2.0", ("apache2-grant-long", "apache2-comply", "apache2-copy")),
@@ -81,7 +84,6 @@ RULES = (
     ("Apache-2.0", ("apache2-grant-long",)),
     ("Apache-2.0", ("apache2-grant",)),
     ("Apache-2.0", ("apache2-short",)),
-    ("Apache-2.0", ("spdx-apache2",)),
     ("MIT", ("mit-title", "mit-permission", "mit-notice")),
     ("MIT", ("mit-title-short", "mit-permission", "mit-notice")),
     ("MIT", ("mit-permission", "mit-notice")),
@@ -90,7 +92,6 @@ RULES = (
     ("MIT", ("mit-project",)),
     ("MIT", ("mit-title",)),
     ("MIT", ("mit-title-short",)),
-    ("MIT", ("spdx-mit",)),
     ("AGPL-3.0", ("agpl3-under",)),
     ("LGPL-3.0", ("lgpl3-under",)),
     ("GPL-3.0-or-later", ("gpl-redistribute", "gpl-warranty", "gpl-copy")),
@@ -99,11 +100,9 @@ RULES = (
     ("GPL-2.0-or-later", ("gpl2-redistribute",)),
     ("GPL-3.0", ("gpl3-work",)),
     ("GPL-3.0", ("gpl3-under",)),
-    ("GPL-3.0", ("spdx-gpl3",)),
     ("GPL-2.0", ("gpl2-under",)),
     ("BSD-2-Clause", ("bsd-redistribute", "bsd-source", "bsd-binary")),
     ("BSD-3-Clause", ("bsd3-under",)),
-    ("BSD-3-Clause", ("spdx-bsd3",)),
     ("BSD-2-Clause", ("bsd2-under",)),
     ("MPL-2.0", ("mpl2-terms",)),
     ("MPL-2.0", ("mpl2-under",)),
@@ -117,19 +116,8 @@ RULES = (
     ("CC0-1.0", ("cc0",)),
     ("ISC", ("isc-under",)),
     ("Unlicense", ("unlicense",)),
-    ("Proprietary", ("copyright", "rights")),
-    ("Proprietary", ("rights",)),
 )
-#: Patterns and rules that ``recognise`` knows besides.
-MORE_PATTERNS = (
-    ("bsd-neither", "^neither the names? of .* may be used to endorse or promote products derived from this software without specific prior written permission$"),
-    ("bsd-neither", "^the names? of .* may not be used to endorse or promote products derived from this software without specific prior written permission$"),
-    ("bsd-neither-start", "^neither the names? of .*$"),
-    ("bsd-neither-end", "^nor the names? of .* may be used to endorse or promote products derived from this software without specific prior written permission$"),
-    ("apache2-title", "^apache license$"),
-    ("apache2-version", "^version 2 0 january 2004$"),
-    ("apache2-title-version", "^apache license version 2 0 january 2004( http.*)?$"),
-)
+#: Rules that come before those.
 _BSD2 = ("bsd-redistribute", "bsd-source", "bsd-binary")
 FIRST_RULES = (
     ("BSD-3-Clause", (*_BSD2, "bsd-neither")),
@@ -137,39 +125,63 @@ FIRST_RULES = (
     ("Apache-2.0", ("apache2-title", "apache2-version")),
     ("Apache-2.0", ("apache2-title-version",)),
 )
-#: Names, normalised, that a lead-in or an SPDX tag may be followed by.
-_GNU = {"gpl": "gnu general public license", "lgpl": "gnu lesser general public license", "agpl": "gnu affero general public license"}
+#: Names behind a lead-in or an SPDX tag, normalised, without article and ``license`` at the end.
 NAMES = {
-    "Apache-2.0": ("apache license version 2 0", "apache license 2 0", "apache 2 0", "apache 2 0 license", "apache version 2 0"),
-    "MIT": ("mit", "mit license"),
-    "BSD-3-Clause": ("bsd 3 clause", "bsd 3 clause license", "3 clause bsd license"),
-    "BSD-2-Clause": ("bsd 2 clause", "bsd 2 clause license", "2 clause bsd license"),
-    "MPL-2.0": ("mpl 2 0", "mozilla public license version 2 0", "mozilla public license v 2 0", "mozilla public license 2 0"),
-    "CC-BY-NC-4.0": ("cc by nc 4 0", "creative commons attribution noncommercial 4 0 international license"),
-    "CC-BY-SA-4.0": ("cc by sa 4 0", "creative commons attribution sharealike 4 0 international license"),
-    "CC-BY-4.0": ("cc by 4 0", "creative commons attribution 4 0 international license"),
-    "CC0-1.0": ("cc0 1 0", "cc0 1 0 universal"),
-    "ISC": ("isc", "isc license"),
+    "Apache-2.0": ("apache license version 2 0", "apache license 2 0", "apache license v2 0", "apache 2 0", "apache 2", "apache version 2 0", "asl 2 0"),
+    "MIT": ("mit", "expat", "mit expat"),
+    "BSD-3-Clause": ("bsd 3 clause", "3 clause bsd", "new bsd", "modified bsd"),
+    "BSD-2-Clause": ("bsd 2 clause", "2 clause bsd", "simplified bsd"),
+    "0BSD": ("0bsd",),
+    "MPL-2.0": ("mpl 2 0", "mpl v2 0", "mozilla public license version 2 0", "mozilla public license v 2 0", "mozilla public license 2 0"),
+    "EPL-2.0": ("epl 2 0", "eclipse public license 2 0", "eclipse public license version 2 0", "eclipse public license v 2 0"),
+    "BSL-1.0": ("bsl 1 0", "boost software license 1 0", "boost software license version 1 0"),
+    "Zlib": ("zlib",),
+    "CC0-1.0": ("cc0 1 0", "cc0", "cc0 1 0 universal"),
+    "ISC": ("isc",),
     "Unlicense": ("unlicense",),
 } | {
-    f"{short.upper()}-{n}.0{end}": tuple(
-        name + tail for tail in tails for name in (f"{short} {n} 0", f"{short} v{n}", f"{short}v{n}", f"{full} version {n}", f"{full} v{n}", f"{full} v{n} 0")
+    f"CC-{short.upper().replace(' ', '-')}-4.0": (f"cc {short} 4 0", f"creative commons {full} 4 0 international", f"creative commons {full} 4 0")
+    for short, full in (
+        ("by", "attribution"), ("by sa", "attribution sharealike"), ("by nd", "attribution noderivatives"), ("by nc", "attribution noncommercial"),
+        ("by nc sa", "attribution noncommercial sharealike"), ("by nc nd", "attribution noncommercial noderivatives"),
+    )
+} | {
+    f"{short.upper()}-{n}.{m}{end}": tuple(
+        head + v + plus
+        for head in (short, f"gnu {short}", full)
+        for v in (f" {n} {m}", f" v{n} {m}", f"v{n} {m}", f" version {n} {m}", *((f" {n}", f" v{n}", f"v{n}", f" version {n}") if m == 0 else ()))
+    )
+    for short, full, versions in (
+        ("gpl", "gnu general public license", ((2, 0), (3, 0))),
+        ("lgpl", "gnu lesser general public license", ((2, 1), (3, 0))),
+        ("agpl", "gnu affero general public license", ((3, 0),)),
     )
-    for short, full in _GNU.items() for n in ((2, 3) if short == "gpl" else (3,))
-    for end, tails in (("", ("", " only")), ("-or-later", (" or later", " or any later version", " or at your option any later version")))
+    for n, m in versions
+    for end, plus in (("", ""), ("-or-later", "+"))
 }
-#: A sentence that holds nothing but a lead-in and a name; group 1 is the name.
+#: A sentence that holds nothing but a lead-in and names; group 1 is the names.
 LEAD = (
-    r"^(?:(?:this|the|all|our) (?:[a-z0-9]+ ){1,3}(?:is|are) )?(?:licensed|released|distributed|published|provided|made available|available) "
-    r"under (?:the terms of )?(?:the |an? )?(.+?)(?: the license)?(?: see .*)?$"
+    r"^(?:(?:this|the|all|our) (?:[a-z0-9]+ ){1,3}(?:is|are) )?(?:(?:dual )?licensed|released|distributed|published|provided|made available|available) "
+    r"under (?:the terms of )?(.+?)(?: the license)?(?: at your option)?(?: see .*)?$"
 )
 SPDX = r"^spdx license identifier (.+)$"
-#: A list marker before a sentence or alone; ``c`` before ``copyright`` is none.
-_MARKER = r"^(?:[0-9]{1,3}|[a-z]|i{2,3}|iv|vi{0,3}|ix)(?: (?!copyright)|$)"
+#: In this order: later versions become a plus, exceptions go, names are parted, articles
+#: and ``license`` around a name go.
+_LATER = r" or (?:at your option )?(?:any )?later(?: version)?"
+_EXCEPTION = r" with (?:[a-z0-9]+ )*?exception(?: [0-9]+)*"
+_BETWEEN = r" (?:or|and) "
+_AROUND = r"^(?:(?:the|an?|either|both|of) )+|(?: licenses?| only)+$"
+#: ``GPL-2.0+`` in a text means a later version too.
+_PLUS = r"(?i)(gpl[- ]?v?[0-9](?:\.[0-9])?)\+"
+#: A list marker before a sentence or alone; none before ``copyright``, as in ``(c) Copyright``.
+_MARKER = "^(?:[0-9]{1,3}|[a-z]|i{2,3}|iv|vi{0,3}|ix)"
 #: Rules of ``Proprietary`` that hold only where nothing else is found.
 NOTICES = (("copyright", "-", "-", "rights"), ("copyright", "-", "rights"), ("copyright", "rights"))
-#: Every known sentence holds one of these words, so a text without them has none.
-MARKERS = "(?i)licen[cs]e|copyright|permission|warranty|redistribut|reserved|public domain"
+#: Every known sentence holds one of these, so a text without them has none.
+MARKERS = (
+    "(?i)licen[cs]e|copyright|permission|warranty|redistribut|reserved|public[^a-z0-9]+domain|january[^a-z0-9]+2004|neither[^a-z0-9]+the[^a-z0-9]+name"
+    "|(released|distributed|published|provided|available)[^a-z0-9]+under"
+)
 _END = r"([.!?:])\s+"
 #: The colon of this tag ends no sentence.
 _TAG = "(?i)(spdx-license-identifier):[ \t]+"
@@ -182,31 +194,44 @@ def _normal(sentence: Column) -> Column:
     return F.regexp_replace(words, r"\blicence\b", "license")
 
 
+def _named(sentence: Column) -> Column:
+    """Identifiers of the names in an SPDX tag or behind a lead-in; ``-`` for an unknown one."""
+    names = F.create_map(*[F.lit(x) for licence, all_ in NAMES.items() for n in all_ for x in (n, f"named-{licence}")])
+    tag = sentence.rlike(SPDX)
+    said = F.when(tag, F.regexp_extract(sentence, SPDX, 1)).otherwise(F.regexp_extract(sentence, LEAD, 1))
+    said = F.regexp_replace(F.regexp_replace(said, _LATER, "+"), _EXCEPTION, "")
+    one = lambda name: F.coalesce(F.element_at(names, F.regexp_replace(name, _AROUND, "")), F.lit("-"))
+    return F.when(tag | sentence.rlike(LEAD), F.transform(F.split(said, _BETWEEN), one)).otherwise(F.array(F.lit("-")))
+
+
 def _identifiers(sentences: Column) -> Column:
     """Identifiers of the known sentences, in order; an unknown sentence between gives ``-``."""
     known = F.create_map(*[F.lit(x) for name, text in SENTENCES.items() for x in (text, name)])
-    named = F.create_map(*[F.lit(x) for licence, names in NAMES.items() for n in names for x in (n, f"named-{licence}")])
 
     def one(s: Column) -> Column:
         out = F.element_at(known, s)
-        for name, pattern in PATTERNS + MORE_PATTERNS:
+        for name, pattern in PATTERNS:
             out = F.coalesce(out, F.when(s.rlike(pattern), F.lit(name)))
-        for pattern in (LEAD, SPDX):
-            out = F.coalesce(out, F.when(s.rlike(pattern), F.element_at(named, F.regexp_extract(s, pattern, 1))))
-        return F.coalesce(out, F.lit("-"))
+        return F.coalesce(F.when(out.isNotNull(), F.array(out)), _named(s))
+
+    def unmarked(s: Column) -> Column:
+        return F.when(s.rlike(_MARKER + " copyright"), s).otherwise(F.regexp_replace(s, _MARKER + "(?: |$)", ""))
+
+    normal = F.filter(F.transform(F.transform(sentences, _normal), unmarked), lambda s: s != "")
+    return F.flatten(F.transform(normal, one))
+
 
-    normal = F.transform(sentences, lambda s: F.regexp_replace(_normal(s), _MARKER, ""))
-    normal = F.filter(normal, lambda s: s != "")
-    return F.transform(normal, one)
+def _rules() -> list[tuple[str, tuple[str, ...], bool]]:
+    """All rules in order: licence, identifiers, and whether it holds only where no other licence is found."""
+    ordered = [*FIRST_RULES, *RULES, *[(n, (f"named-{n}",)) for n in NAMES]]
+    return [(n, ids, False) for n, ids in ordered] + [("Proprietary", ids, True) for ids in NOTICES] + [("Proprietary", ("rights",), False)]
 
 
 def _matched(sequence: Column) -> Column:
     """Struct (licences, rest) of a sequence written as ``,a,,b,``."""
-    open_rules = [(n, ids) for n, ids in RULES if n != "Proprietary"] + [(n, (f"named-{n}",)) for n in NAMES]
-    ordered = [*FIRST_RULES, *open_rules, *[("Proprietary", ids) for ids in NOTICES], ("Proprietary", ("rights",))]
     rules = F.array(*[
-        F.struct(F.lit(n).alias("licence"), F.lit("," + ",,".join(ids) + ",").alias("ids"), F.lit(ids in NOTICES).alias("alone"))
-        for n, ids in ordered
+        F.struct(F.lit(n).alias("licence"), F.lit("," + ",,".join(ids) + ",").alias("ids"), F.lit(alone).alias("alone"))
+        for n, ids, alone in _rules()
     ])
     start = F.struct(F.array().cast("array<string>").alias("found"), sequence.alias("rest"))
 
@@ -227,6 +252,7 @@ def _written(identifiers: Column) -> Column:
 def recognise(docs: DataFrame) -> DataFrame:
     """doc_id, n_sentences (known ones), sentences, licenses and unmatched of every row."""
     text = F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), _TAG, "$1 ")
+    text = F.when(text.rlike(MARKERS), F.regexp_replace(text, _PLUS, "$1 or later")).otherwise(text)
     lines = F.split(F.regexp_replace(text, _END, "$1\n"), r"[\r\n]+")
     paragraphs = F.split(text, r"\r?\n[ \t]*\r?\n")
     joined = F.flatten(
@@ -258,37 +284,54 @@ def recognise_sql() -> str:
     """The same in DuckDB SQL."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     known = ", ".join(f"({quoted(t)}, {quoted(n)})" for n, t in SENTENCES.items())
-    patterns = " ".join(f"WHEN regexp_matches(s, {quoted(p)}) THEN {quoted(n)}" for n, p in PATTERNS)
-    rules = ", ".join(f"({i}, {quoted(n)}, {quoted(',' + ',,'.join(ids) + ',')})" for i, (n, ids) in enumerate(RULES, 1))
+    patterns = " ".join(f"WHEN regexp_matches(s, {quoted(p)}) THEN [{quoted(n)}]" for n, p in PATTERNS)
+    names = [(n, f"named-{licence}") for licence, all_ in NAMES.items() for n in all_]
+    named = f"map([{', '.join(quoted(n) for n, _ in names)}], [{', '.join(quoted(i) for _, i in names)}])"
+    rules = ", ".join(f"({i}, {quoted(n)}, {quoted(',' + ',,'.join(ids) + ',')}, {alone})" for i, (n, ids, alone) in enumerate(_rules(), 1))
     reading = """
 {name}_s AS (
-  SELECT doc_id, n, replace(' ' || trim(regexp_replace(translate(part, '{up}', '{low}'), '[^a-z0-9]+', ' ', 'g')) || ' ', ' licence ', ' license ') AS padded
-  FROM (SELECT doc_id, unnest({parts}) AS part, generate_subscripts({parts}, 1) AS n FROM marked)),
+  SELECT doc_id, n, CASE WHEN regexp_matches(s, {mark_c}) THEN s ELSE regexp_replace(s, {mark}, '') END AS s
+  FROM (
+    SELECT doc_id, n, regexp_replace(trim(regexp_replace(translate(part, '{up}', '{low}'), '[^a-z0-9]+', ' ', 'g')), '\\blicence\\b', 'license', 'g') AS s
+    FROM (SELECT doc_id, unnest({parts}) AS part, generate_subscripts({parts}, 1) AS n FROM marked))),
+{name}_t AS (
+  SELECT *, regexp_replace(regexp_replace(
+    CASE WHEN regexp_matches(s, {spdx}) THEN regexp_extract(s, {spdx}, 1) ELSE regexp_extract(s, {lead}, 1) END, {later}, '+', 'g'), {exception}, '', 'g') AS said
+  FROM {name}_s WHERE s <> ''),
 {name} AS (
-  SELECT doc_id, list(coalesce(k.id, CASE {patterns} END, '-') ORDER BY n) AS ids
-  FROM (SELECT doc_id, n, trim(padded) AS s FROM {name}_s) LEFT JOIN known k ON k.sentence = s WHERE s <> '' GROUP BY doc_id)"""
+  SELECT doc_id, flatten(list(CASE WHEN k.id IS NOT NULL THEN [k.id] {patterns}
+    WHEN regexp_matches(s, {spdx}) OR regexp_matches(s, {lead})
+    THEN list_transform(string_split_regex(said, {between}), lambda p: coalesce({named}[regexp_replace(p, {around}, '', 'g')], '-')) ELSE ['-'] END ORDER BY n)) AS ids
+  FROM {name}_t LEFT JOIN known k ON k.sentence = s GROUP BY doc_id)"""
     lines = r"string_split_regex(regexp_replace(text, '([.!?:])[\s\x0b]+', '\1' || chr(10), 'g'), '[\r\n]+')"
-    joined = r"string_split(regexp_replace(regexp_replace(text, '[\s\x0b]+', ' ', 'g'), '([.!?:]) ', '\1' || chr(10), 'g'), chr(10))"
-    fill = lambda name, parts: reading.format(name=name, parts=parts, patterns=patterns, up=_UPPER, low=_LOWER)
+    one_line = r"string_split(regexp_replace(regexp_replace(p, '[\s\x0b]+', ' ', 'g'), '([.!?:]) ', '\1' || chr(10), 'g'), chr(10))"
+    joined = rf"flatten(list_transform(string_split_regex(text, '\r?\n[ \t]*\r?\n'), lambda p: {one_line}))"
+    said = {"spdx": SPDX, "lead": LEAD, "later": _LATER, "exception": _EXCEPTION, "between": _BETWEEN, "around": _AROUND}
+    said |= {"mark": _MARKER + "(?: |$)", "mark_c": _MARKER + " copyright"}
+    said = {k: quoted(v) for k, v in said.items()}
+    fill = lambda name, parts: reading.format(name=name, parts=parts, patterns=patterns, named=named, up=_UPPER, low=_LOWER, **said)
     return f"""
 WITH RECURSIVE known(sentence, id) AS (VALUES {known}),
-rules(i, name, ids) AS (VALUES {rules}),
-marked AS (SELECT doc_id, regexp_replace(text, {quoted(_TAG)}, '\\1 ', 'g') AS text FROM documents WHERE regexp_matches(text, {quoted(MARKERS)})),
+rules(i, name, ids, alone) AS (VALUES {rules}),
+marked AS (
+  SELECT doc_id, regexp_replace(regexp_replace(text, {quoted(_TAG)}, '\\1 ', 'g'), {quoted(_PLUS)}, '\\1 or later', 'g') AS text
+  FROM documents WHERE regexp_matches(text, {quoted(MARKERS)})),
 {fill("by_line", lines)},
 {fill("by_joined", joined)},
 chosen AS (
-  SELECT doc_id, CASE WHEN len(list_filter(b.ids, lambda x: x <> '-' AND NOT list_contains(a.ids, x))) > 0 THEN b.ids ELSE a.ids END AS ids
-  FROM by_line a JOIN by_joined b USING (doc_id)),
+  SELECT doc_id, CASE WHEN len(list_filter(b.ids, lambda x: x <> '-' AND NOT list_contains(coalesce(a.ids, []), x))) > 0 THEN b.ids ELSE a.ids END AS ids
+  FROM by_line a FULL JOIN by_joined b USING (doc_id)),
 seq AS (SELECT doc_id, list_filter(ids, lambda x: x <> '-') AS found, ',' || array_to_string(ids, ',,') || ',' AS rest FROM chosen),
 walk AS (
   SELECT doc_id, 0 AS i, rest, []::VARCHAR[] AS names FROM seq WHERE len(found) > 0
   UNION ALL
   SELECT doc_id, r.i, replace(rest, r.ids, ''),
-    CASE WHEN contains(rest, r.ids) AND NOT list_contains(names, r.name) THEN list_append(names, r.name) ELSE names END
+    CASE WHEN contains(rest, r.ids) AND NOT list_contains(names, r.name)
+      AND NOT (r.alone AND len(list_filter(names, lambda x: x <> 'Proprietary')) > 0) THEN list_append(names, r.name) ELSE names END
   FROM walk w JOIN rules r ON r.i = w.i + 1),
 done AS (SELECT doc_id, array_to_string(names, ',') AS licenses,
     array_to_string(list_filter(string_split(rest, ','), lambda x: x <> '' AND x <> '-'), ',') AS unmatched
-  FROM walk WHERE i = {len(RULES)})
+  FROM walk WHERE i = {len(_rules())})
 SELECT d.doc_id, coalesce(len(found), 0)::BIGINT AS n_sentences, coalesce(array_to_string(found, ','), '') AS sentences,
   coalesce(licenses, '') AS licenses, coalesce(unmatched, '') AS unmatched
 FROM documents d LEFT JOIN seq USING (doc_id) LEFT JOIN done USING (doc_id)

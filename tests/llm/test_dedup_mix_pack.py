@@ -314,12 +314,55 @@ def test_full_licence_texts(spark):
     assert got == {i: want for i, (_, want) in enumerate(cases)}
 
 
+NAMED = [
+    ("This project is released under ISC.", "ISC"), ("Distributed under Apache 2.0.", "Apache-2.0"), ("Available under CC BY 4.0.", "CC-BY-4.0"),
+    ("This code is available under the terms of the GPLv3.", "GPL-3.0"), ("SPDX-License-Identifier: GPL-3.0-or-later", "GPL-3.0-or-later"),
+    ("/* SPDX-License-Identifier: Apache-2.0 OR MIT */", "Apache-2.0,MIT"), ("Licensed under the LGPL 2.1.", "LGPL-2.1"),
+    ("SPDX-License-Identifier: GPL-2.0+", "GPL-2.0-or-later"), ("# SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0", "GPL-2.0"),
+    ("Dual licensed under the MIT license or the Apache License, Version 2.0, at your option.", "Apache-2.0,MIT"),
+    ("SPDX-License-Identifier: (MIT AND BSD-3-Clause)", "MIT,BSD-3-Clause"), ("SPDX-License-Identifier: Foo-1.0 OR MIT", "MIT"),
+    ("This library is distributed under the GNU Lesser General Public License v2.1 or later.", "LGPL-2.1-or-later"),
+    ("All rights reserved.", "Proprietary"), ("Copyright 2020 A. All rights reserved.\n\nLicensed under the MIT License.", "MIT"),
+    ("no rights here", ""), ("The show is available under water.", ""), ("Released under the\nMIT licence.", "MIT"),
+    ("1. The MIT License\n2. Licensed under CC BY-NC-SA 4.0", "MIT,CC-BY-NC-SA-4.0"), ("Licensed under the MIT and Zlib licenses.", "MIT,Zlib"),
+    ("Provided\n\tunder the ISC license.", "ISC"), (None, ""), ("", ""), ("neither the name of X.", ""), ("Version 2.0, January 2004", ""),
+]
+
+
+def test_names_expressions_and_sql_agree(spark):
+    import duckdb
+    import pyarrow as pa
+
+    texts = [t for t, _ in NAMED] + ["x " * 50_000 + "\nDistributed under Apache 2.0."]
+    found = {tuple(r) for r in license_rules.recognise(frame(spark, list(enumerate(texts)))).collect()}
+    by_id = {r[0]: r[3] for r in found}
+    assert [set(by_id[i].split(",")) for i in range(len(NAMED))] == [set(want.split(",")) for _, want in NAMED]
+    assert by_id[len(NAMED)] == "Apache-2.0"
+    with duckdb.connect() as con:
+        con.register("documents", pa.table({"doc_id": list(range(len(texts))), "text": texts}))
+        assert set(con.execute(license_rules.recognise_sql()).fetchall()) == found
+
+
 def test_every_known_sentence_holds_a_marker():
     import re
 
     marker = re.compile(license_rules.MARKERS)
     assert all(marker.search(s) for s in license_rules.SENTENCES.values())
-    assert {i for _, ids in license_rules.RULES for i in ids} <= {*license_rules.SENTENCES, *(n for n, _ in license_rules.PATTERNS)}
+    patterns = [re.sub(r"[\^$?]|\(.*?\)", "", p) for _, p in license_rules.PATTERNS]
+    assert all(marker.search(p) for p in patterns if not p.startswith(("nor", " [0-9]")))
+    leads = ("released", "distributed", "published", "provided", "made available", "available", "licensed", "dual licensed")
+    names = {n for all_ in license_rules.NAMES.values() for n in all_}
+    assert all(marker.search(f"{lead} under the {n}") and re.match(license_rules.LEAD, f"{lead} under the {n}") for lead in leads for n in names)
+    known = {*license_rules.SENTENCES, *(n for n, _ in license_rules.PATTERNS)}
+    assert {i for _, ids in license_rules.RULES + license_rules.FIRST_RULES for i in ids} <= known
+
+
+def test_a_name_stands_for_one_licence():
+    import re
+
+    names = [n for all_ in license_rules.NAMES.values() for n in all_]
+    assert len(names) == len(set(names))
+    assert all(re.sub(license_rules._AROUND, "", n) == n for n in names)
 
 
 # -- the pipeline
