@@ -11,8 +11,9 @@ uniform independent symbols, a chi-squared test of the alphabet, a runs test abo
 middle and a lag-1 serial correlation give three p-values; three times the least is the
 token's.  Structured tokens are told apart by Benjamini-Hochberg over all tokens of a
 length class, at a level that is higher for short ones, whose tests have less power; what
-is not rejected is reported.  No token is rejected with a p-value above ``MOST_MISSED``, so
-about that share of random tokens is missed at most, however many structured ones there are.
+is not rejected is reported.  The bound follows the corpus: near 0 where all tokens of a class
+look random, higher the more structured ones there are.  No token is rejected with a p-value
+above ``MOST_MISSED``, so about that share of random tokens is missed at most.
 
 Null and empty texts have no spans; repeated rows get equal results; an empty table gives
 an empty result; a null id is carried along.
@@ -26,7 +27,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keeps_columns
+from .common import keeps_columns, settle
 
 _VALUE = r"[A-Za-z0-9+/_.=-]"
 ASSIGN = rf"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?({_VALUE}+)"""
@@ -199,7 +200,12 @@ def thresholds(docs: DataFrame) -> dict[int, float]:
 
     p-values are counted in bins of 0.001, so what is gathered has a fixed size.
     """
-    each = scanned(docs.select("text")).select(F.explode("_tokens").alias("x"))
+    return limits_of(scanned(docs.select("text")))
+
+
+def limits_of(found: DataFrame) -> dict[int, float]:
+    """:func:`thresholds` of texts that are scanned already."""
+    each = found.select(F.explode("_tokens").alias("x"))
     bins = each.select(
         _length_class(F.col("x.end") - F.col("x.start")).alias("cls"), F.ceil(F.col("x.p") * _BINS).cast("int").alias("bin")
     )
@@ -218,22 +224,28 @@ def thresholds(docs: DataFrame) -> dict[int, float]:
 
 
 def _is_random(token: Column, limits: dict[int, float]) -> Column:
-    """Not rejected, and above the level of its class alone (so that few tokens are judged as strictly)."""
+    """Not rejected by the control of its class."""
     cls = _length_class(token.end - token.start)
     bound = F.lit(0.0)
-    for i, (_, level) in enumerate(CLASSES):
-        bound = F.when(cls == i, F.lit(max(limits.get(i, 0.0), level / 10))).otherwise(bound)
+    for i, limit in limits.items():
+        bound = F.when(cls == i, F.lit(limit)).otherwise(bound)
     return token.p > bound
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_base`` and ``_all``: sorted spans (start, place, end) of base kinds and of all kinds."""
-    limits = thresholds(docs)
+    """``docs`` with ``_base`` and ``_all``: sorted spans (start, place, end) of base kinds and of all kinds.
+
+    Texts are scanned twice, as keeping them beside their spans would write them once more."""
+    return judged(scanned(docs), thresholds(docs))
+
+
+def judged(found: DataFrame, limits: dict[int, float]) -> DataFrame:
+    """Scanned rows with ``_all`` in place of ``_tokens``."""
     extra = F.transform(
         F.filter("_tokens", lambda t: _is_random(t, limits)),
         lambda t: F.struct(t.start.alias("start"), F.lit(3).alias("place"), t.end.alias("end")),
     )
-    return scanned(docs).withColumn("_all", F.array_sort(F.concat("_base", extra))).drop("_tokens")
+    return found.withColumn("_all", F.array_sort(F.concat("_base", extra))).drop("_tokens")
 
 
 def _written(spans: Column) -> Column:
@@ -244,7 +256,9 @@ def _written(spans: Column) -> Column:
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, counts of the base kinds, digest of the base spans, all spans as text."""
-    found = scan(docs.select("doc_id", "text"))
+    # Spans are small beside the texts: written once, they serve the control and the result.
+    found = settle(scanned(docs.select("doc_id", "text")).drop("text"), "secret-spans")
+    found = judged(found, limits_of(found))
     n = lambda place: F.size(F.filter("_base", lambda s: s.place == place)).cast("long")
     return found.select(
         "doc_id",

@@ -133,6 +133,32 @@ def test_few_secrets_are_missed_among_structured_tokens(spark):
     assert max(missed.values()) <= 0.07
 
 
+SLUG_WORDS = "the quick brown fox jumps over lazy dog while seven green birds watch from old stone walls".split()
+
+
+LENGTHS = (24, 32, 44, 70)
+
+
+def test_the_bound_follows_the_corpus(spark):
+    """The more structured tokens a class holds, the higher the p-value that is called structured."""
+    rng = random.Random(24)
+    slug = lambda n: (f"{rng.randint(2000, 2030)}-" + "-".join(rng.choices(SLUG_WORDS, k=24)))[: n - 1].rstrip("-") + "7"
+    uniform = lambda n: "".join(rng.choices(BASE62, k=n - 1)) + "7"
+    bounds = []
+    for tenths in (0, 1, 9):
+        made = [(n, i % 10 < tenths) for n in LENGTHS for i in range(600)]
+        rows = [(i, f"see {(slug if plain else uniform)(n)} here") for i, (n, plain) in enumerate(made)]
+        bounds.append(secret_scan.thresholds(frame(spark, rows)))
+        hit = {r["doc_id"]: "random" in r["spans"] for r in secret_scan.report(frame(spark, rows)).collect()}
+        for n in LENGTHS:
+            found = {p: [hit[i] for i, (m, plain) in enumerate(made) if m == n and plain == p] for p in (False, True)}
+            assert sum(found[False]) >= 0.9 * len(found[False])
+            assert sum(found[True]) <= (0.45 if n < 28 else 0.15 if n < 40 else 0.02) * len(found[True])
+    for cls in range(len(LENGTHS)):
+        few, some, many = (b[cls] for b in bounds)
+        assert few < some <= many <= secret_scan.MOST_MISSED and few <= 0.005
+
+
 def test_mixed_case_without_digits(spark):
     rng = random.Random(4)
     rows = [(i, f"see {''.join(rng.choices(BASE62[:52], k=24))} here") for i in range(200)]
