@@ -38,10 +38,16 @@ FINGERPRINT = ["session_id", "fingerprint"]
 EPISODE = [*FINGERPRINT, "episode"]
 
 
-def findings(rec: Recording, rules: dict[str, R.Rule] | None = None) -> DataFrame:
-    """The whole pipeline: windows, timeline, rules, lifecycle."""
-    candidates = R.match(timeline(rec, R.needed(rules)), rec.params, rules)
-    found = transitions(candidates, instants(rec), rec.params, rec.layout)
+def findings(
+    rec: Recording, rules: dict[str, R.Rule] | None = None, every_tick: bool | None = None
+) -> DataFrame:
+    """The whole pipeline: windows, timeline, rules, lifecycle.
+
+    The built-in rules see nothing new at the ticks deep inside a silence, so these are not
+    generated; rules of the caller's own may read the time itself and are run at every tick."""
+    every = rules is not None if every_tick is None else every_tick
+    candidates = R.match(timeline(rec, R.needed(rules), every), rec.params, rules)
+    found = transitions(candidates, instants(rec, every), rec.params, rec.layout)
     rendered = R.render(found, rec.params, rules)
     return rendered.withColumn(
         "headline", L.lifecycle_headline(F.col("headline"), F.col("lifecycle"))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ladders as L
+from ..params import Params
 from ..plans.sequence import Layout, frame_count, frame_sum, last_known, scan, trailing
 from ..sources.recording import BASE, Recording
 from . import windows as W
@@ -32,35 +33,55 @@ def slice_of(layout: Layout, at_us: str = "at_us") -> Column | None:
     return F.floor(F.col(at_us) / layout.segment_us).cast("bigint")
 
 
-def ticks(rec: Recording) -> DataFrame:
+def quiet_span(p: Params) -> int:
+    """Seconds after an event from which ticks repeat each other until the next event: no sample is
+    left in a lookback that is measured at the tick itself, what stopped is resolved, and a change
+    held back by the cooldown is out."""
+    return max(p.signal_lookback, p.density_lookback) + max(p.resolved_after, p.cooldown) + 2 * p.tick
+
+
+def ticks(rec: Recording, every: bool = True) -> DataFrame:
     """The evaluation timer: every tick from a session's first event until a
-    finding last seen at its final event could resolve.  Generated in bounded
-    chunks, spread over tasks, so a long session is never one array."""
+    finding last seen at its final event could resolve.  Generated in slots of bounded
+    length, spread over tasks, so the ticks of a long session are never one array.
+
+    Without ``every`` only slots with an event and their neighbours have ticks, so rows grow
+    with the events and not with the time between them.  A slot is as long as
+    :func:`quiet_span`: the ticks left out see what the tick before and the tick after them see."""
     p = rec.params
     step = p.us(p.tick)
+    slot = _TICKS_PER_CHUNK * step if every else p.us(quiet_span(p))
     ends = rec.log().groupBy("session_id").agg(
         F.min("at_us").alias("first_us"), F.max("at_us").alias("last_us")
     )
     count = F.floor((F.col("last_us") - F.col("first_us") + p.us(p.resolved_after)) / step) + 2
-    chunks = ends.select(
-        "session_id",
-        "first_us",
-        count.alias("n"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), count - 1, F.lit(_TICKS_PER_CHUNK).cast("bigint"))).alias("chunk"),
-    )
+    ends = ends.select("session_id", "first_us", count.alias("n"))
+    at = lambda us: F.floor(us / slot).cast("bigint")
+    if every:
+        final = F.col("first_us") + (F.col("n") - 1) * step
+        slots = ends.select("*", F.explode(F.sequence(at(F.col("first_us")), at(final))).alias("slot"))
+    else:
+        here = at(F.col("at_us"))
+        near = rec.log().select("session_id", F.explode(F.sequence(here - 1, here + 1)).alias("slot"))
+        slots = near.distinct().join(ends, "session_id")
     if rec.layout.split:
-        chunks = chunks.repartition("session_id", "chunk")
-    last = F.least(F.col("chunk") + _TICKS_PER_CHUNK, F.col("n")) - 1
-    return chunks.select(
-        "session_id", "first_us", F.explode(F.sequence("chunk", last)).alias("seq")
-    ).select("session_id", "seq", (F.col("first_us") + F.col("seq") * step).alias("at_us"))
+        slots = slots.repartition("session_id", "slot")
+    place = lambda us: F.ceil((us - F.col("first_us")) / step).cast("bigint")
+    begin = F.greatest(place(F.col("slot") * slot), F.lit(0).cast("bigint"))
+    end = F.least(place((F.col("slot") + 1) * slot), F.col("n")) - 1
+    return (
+        slots.select("session_id", "first_us", begin.alias("begin"), end.alias("end"))
+        .where("begin <= end")
+        .select("session_id", "first_us", F.explode(F.sequence("begin", "end")).alias("seq"))
+        .select("session_id", "seq", (F.col("first_us") + F.col("seq") * step).alias("at_us"))
+    )
 
 
-def instants(rec: Recording) -> DataFrame:
+def instants(rec: Recording, every_tick: bool = True) -> DataFrame:
     """Every evaluation: one per gateway, DNS, scan or Wi-Fi event and tick."""
     at_events = rec.log().where(F.col("event_type").isin(*EVALUATED))
     return at_events.select("session_id", "at_us", F.lit(0).alias("is_tick"), "seq").unionByName(
-        ticks(rec).select("session_id", "at_us", F.lit(1).alias("is_tick"), "seq")
+        ticks(rec, every_tick).select("session_id", "at_us", F.lit(1).alias("is_tick"), "seq")
     )
 
 
@@ -144,12 +165,13 @@ def link_environment(rec: Recording) -> DataFrame:
 STATES = ("gw", "dns", "rf", "sig", "env", "tput")
 
 
-def timeline(rec: Recording, needs: Iterable[str] = STATES) -> DataFrame:
+def timeline(rec: Recording, needs: Iterable[str] = STATES, every_tick: bool = True) -> DataFrame:
     """One row per evaluation instant with the state of all streams:
     ``gw``, ``dns``, ``rf``, ``sig``, ``env``, ``tput``, and the half-window
     changes of signal and density measured at the instant itself.
 
-    ``needs`` limits the states that are derived; instants are always all."""
+    ``needs`` limits the states that are derived, not the instants.  Without ``every_tick`` the
+    ticks that repeat their neighbours are left out (:func:`ticks`)."""
     p = rec.params
     needs = [s for s in STATES if s in set(needs)]
     event = F.lit(0).alias("is_tick")
@@ -158,7 +180,7 @@ def timeline(rec: Recording, needs: Iterable[str] = STATES) -> DataFrame:
         return df.select(*BASE, event, F.lit(int(acts)).alias("evaluates"), *state)
 
     parts = [
-        ticks(rec).select(
+        ticks(rec, every_tick).select(
             "session_id", "seq", "at_us", F.lit(1).alias("is_tick"), F.lit(1).alias("evaluates")
         )
     ]

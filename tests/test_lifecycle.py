@@ -7,9 +7,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from linklore.operators import lifecycle as C
+from linklore.operators import timeline as TL
 from linklore.params import Params
 from linklore.plans.sequence import WHOLE, Layout
 
+from .conftest import counters, dns, gateway, neighbor, wifi
+
 S = 1_000_000
 CAND = (
     "session_id string, at_us bigint, is_tick int, seq bigint, kind string, fingerprint string, "
@@ -130,3 +133,52 @@ def test_stream_equals_batch(spark, tmp_path):
             for r in got if r.session_id == s
         )
         assert mine == model(steps, p), s
+
+
+def silent_sessions(seed, n):
+    """Bursts of events with silences from seconds to a day between them."""
+    rng = random.Random(seed)
+    rows = {k: [] for k in ("gateway", "dns", "wifi", "scans", "counters")}
+    heard = []
+    for s in range(n):
+        name, at, total = f"s{s}", rng.choice([0, 1.7, 1_700_000_000.25]), 0
+        for seq in range(rng.randint(30, 60)):
+            at += rng.choice([0, 1, 1, 2, 3, 7, 20] if rng.random() < 0.8 else [100, 139, 160, 288, 290, 450, 3600, 86_400])
+            kind = rng.choice(list(rows))
+            if kind == "gateway":
+                rows[kind].append(gateway(name, seq, at, rng.choice([5, 5, 80]), rng.random() < 0.7))
+            elif kind == "dns":
+                rows[kind].append(dns(name, seq, at, rng.choice([20, 400]), rng.random() < 0.6))
+            elif kind == "wifi":
+                rows[kind].append(wifi(name, seq, at, rng.choice([-50, -72, -85])))
+            elif kind == "counters":
+                total += rng.choice([0, 10_000_000])
+                rows[kind].append(counters(name, seq, at, total))
+            else:
+                size = rng.choice([2, 9, 16])
+                rows[kind].append((name, seq, int(at * S), "en0", size))
+                heard += [neighbor(name, seq, i, 11, "Home", f"b{i}", -55) for i in range(size)]
+    return rows, heard
+
+
+@pytest.mark.parametrize("layout", [WHOLE, Layout(12, 600 * S)])
+def test_ticks_of_a_silence_change_nothing(make, layout):
+    rows, heard = silent_sessions(3, 14)
+    rec = make(layout=layout, neighbors=heard, **rows)
+    every = C.findings(rec, every_tick=True) if layout is WHOLE else C.findings(make(neighbors=heard, **rows), every_tick=True)
+    few = C.findings(rec)
+    assert sorted(map(str, few.collect())) == sorted(map(str, every.collect()))
+    assert every.select("kind").distinct().count() >= 5
+    if layout is WHOLE:
+        assert TL.ticks(rec, every=False).count() < TL.ticks(rec).count() / 10
+        assert TL.ticks(rec, every=False).exceptAll(TL.ticks(rec)).count() == 0
+
+
+def test_ticks_grow_with_events_not_with_time(make):
+    year = 365 * 86_400
+    rec = make(gateway=[gateway("a", i, i * year / 9, 5) for i in range(10)])
+    slot = TL.quiet_span(rec.params) // rec.params.tick
+    assert TL.ticks(rec, every=False).count() <= 3 * 10 * slot
+    assert TL.ticks(make(gateway=[gateway("a", 0, 5, 5)]), every=False).count() == TL.ticks(
+        make(gateway=[gateway("a", 0, 5, 5)])
+    ).count()
