@@ -23,6 +23,7 @@ from ..operators import summary as S
 from ..operators import timeline as TL
 from ..operators import windows as W
 from ..functions import normalize as N
+from ..session import keyed_state
 from ..sources import lens, probes
 from ..sources.recording import BASE, Recording
 from ..sources.session_files import (
@@ -36,7 +37,7 @@ from ..streaming import epochs as live_epochs
 from ..streaming import findings as live_findings
 from ..streaming import tail as stream
 from ..streaming import windows as live
-from .sequence import scratch_folder
+from .sequence import scratch_folder, tasks_for
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -382,20 +383,24 @@ def _streamed(
     are written in slices of time, and a streaming query reads them as files come."""
     rec = lens.recording(spark, sf_dir)
     path = scratch_folder(spark, name)
-    events = live.window_events(rec)
+    # Every slice and the heartbeats read the events, so they are derived once.
+    live.window_events(rec).write.parquet(f"{path}/events")
+    events = spark.read.parquet(f"{path}/events")
+    tasks = tasks_for(spark, events.count())
     events = events.unionByName(live.heartbeats(events, rec.params))
     live.write_feed(events, f"{path}/feed", FEED_SLICES)
     feed = (
         spark.readStream.schema(events.schema).option("maxFilesPerTrigger", FEED_FILES).parquet(f"{path}/feed")
     )
-    query = (
-        build(feed, rec)
-        .writeStream.format("parquet")
-        .option("checkpointLocation", f"{path}/progress")
-        .trigger(availableNow=True)
-        .start(f"{path}/rows")
-    )
-    query.awaitTermination()
+    with keyed_state(spark, tasks):
+        query = (
+            build(feed, rec)
+            .writeStream.format("parquet")
+            .option("checkpointLocation", f"{path}/progress")
+            .trigger(availableNow=True)
+            .start(f"{path}/rows")
+        )
+        query.awaitTermination()
     rows = spark.read.parquet(f"{path}/rows")
     return rows.withColumn("session_id", F.col("session_id").cast(rec.session_type))
 

@@ -40,6 +40,8 @@ class Layout:
     segment_us: int | None = None
     #: Frames of a split session with more rows are never collected.
     frame_rows: int = 20_000
+    #: How many tasks share a merged timeline; None leaves it to the session's settings.
+    tasks: int | None = None
 
     @property
     def split(self) -> bool:
@@ -51,6 +53,14 @@ WHOLE = Layout()
 #: A session above this many rows is cut into segments.
 MAX_SESSION_ROWS = 1_000_000
 
+#: Log rows a task of a merged timeline is meant to hold.
+ROWS_PER_TASK = 100_000
+
+
+def tasks_for(spark: SparkSession, rows: int) -> int:
+    """Tasks for so many log rows: the cores at least, and more as the log grows."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // ROWS_PER_TASK))
+
 
 def choose_layout(log: DataFrame, max_rows: int = MAX_SESSION_ROWS) -> Layout:
     """Measure the largest session and decide.  One map-side combined
@@ -59,10 +69,12 @@ def choose_layout(log: DataFrame, max_rows: int = MAX_SESSION_ROWS) -> Layout:
         F.count(F.lit(1)).alias("n"),
         (F.max("at_us") - F.min("at_us")).alias("extent"),
     )
-    top = per_session.agg(F.max(F.struct("n", "extent")).alias("top")).first()["top"]
+    found = per_session.agg(F.max(F.struct("n", "extent")).alias("top"), F.sum("n").alias("rows")).first()
+    top, rows = found["top"], found["rows"] or 0
+    tasks = tasks_for(log.sparkSession, rows) if rows > ROWS_PER_TASK else None
     if top is None or top["n"] <= max_rows:
-        return WHOLE
-    return Layout(max_rows, max(1, top["extent"] * max_rows // top["n"]))
+        return Layout(tasks=tasks)
+    return Layout(max_rows, max(1, top["extent"] * max_rows // top["n"]), tasks=tasks)
 
 
 @dataclass(frozen=True)
@@ -99,6 +111,15 @@ def position() -> _Spec:
     return running(F.lit(1))
 
 
+def spread(df: DataFrame, layout: Layout) -> DataFrame:
+    """Whole sessions over as many tasks as the log asks for.  Adaptive execution joins small
+    shuffle parts by their compressed size, and wide rows that repeat their neighbours
+    compress so well that a task would get far more of them than its memory takes."""
+    if layout.split or layout.tasks is None:
+        return df
+    return df.repartition(layout.tasks, "session_id")
+
+
 def scan(
     df: DataFrame,
     keys: list[str],
@@ -256,28 +277,29 @@ def trailing(
             )
         )
         part.append("_slice")
+    # The finest order first: all other frames then find their rows sorted.
     in_order = Window.partitionBy(*part).orderBy("at_us", *order)
-    df = df.select(
-        "*",
-        *[
-            F.lead(f.value).over(in_order).alias(f"_next_{n}")
-            for n, f in frames.items()
-            if f.kind == "earliest"
-        ],
-    )
+    upto = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ahead = []
+    for n, f in frames.items():
+        if f.kind == "earliest":
+            ahead.append(F.lead(f.value).over(in_order).alias(f"_next_{n}"))
+        elif f.kind != "list" and f.end is None:
+            ahead.append(_total(f, upto).alias(f"_upto_{n}"))
+    df = df.select("*", *ahead)
     out = df.select("*", *[_frame(n, f, part, order).alias(n) for n, f in frames.items()])
     if layout.split:
         out = out.where("_slice = _own")
     return out.select(*cols, *frames)
 
 
+def _total(f: _Frame, over) -> Column:
+    agg = F.sum if f.kind == "sum" else F.count
+    return F.coalesce(agg(f.value).over(over), F.lit(0)).cast("bigint")
+
+
 def _frame(name: str, f: _Frame, part: list[str], order: list[str]) -> Column:
     by_time = Window.partitionBy(*part).orderBy("at_us")
-    peers = (
-        Window.partitionBy(*part, "at_us")
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
     if f.kind == "earliest":
         # The row after the last one before the frame; without such a row, the
         # very first.  Both come from frames that only grow.
@@ -287,23 +309,24 @@ def _frame(name: str, f: _Frame, part: list[str], order: list[str]) -> Column:
         first = F.coalesce(last_out["next"], start)
         return F.when(first["seq"] != F.col("seq"), first)
     if f.kind == "list":
+        peers = (
+            Window.partitionBy(*part, "at_us")
+            .orderBy(*order)
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        )
         earlier = by_time.rangeBetween(-f.start, -1)
         return F.concat(
             F.collect_list(f.value).over(earlier), F.collect_list(f.value).over(peers)
         )
 
-    def total(over) -> Column:
-        agg = F.sum if f.kind == "sum" else F.count
-        return F.coalesce(agg(f.value).over(over), F.lit(0)).cast("bigint")
-
     def before(offset: int) -> Column:
         """Everything more than ``offset`` back.  A frame that only grows costs
         one step per row, a sliding one is summed again for every row."""
-        return total(by_time.rangeBetween(Window.unboundedPreceding, -offset - 1))
+        return _total(f, by_time.rangeBetween(Window.unboundedPreceding, -offset - 1))
 
     if f.end is not None:
         return before(f.end) - before(f.start)
-    return before(0) + total(peers) - before(f.start)
+    return F.col(f"_upto_{name}") - before(f.start)
 
 
 # --------------------------------------------------------------------------

@@ -10,12 +10,13 @@ from linklore.operators import lifecycle as C
 from linklore.operators import windows as W
 from linklore.operators.timeline import timeline
 from linklore.params import Params
+from linklore.plans import catalog
 from linklore.sources.session_files import envelopes_of, scan_sessions, to_recording, write_sessions
 from linklore.streaming import epochs as E
 from linklore.streaming import findings as FS
 from linklore.streaming import windows as V
 
-from .conftest import S, counters, dns, gateway, health, neighbor, wifi
+from .conftest import DATA, S, counters, dns, gateway, health, neighbor, wifi
 
 P = Params(latency_span=12, trend_span=60, signal_lookback=20, density_lookback=24, throughput_span=8, cooldown=4, resolved_after=10)
 
@@ -171,3 +172,14 @@ def test_order_statistics_follow_arrival_and_eviction():
         assert window.ordered == good and window.bad == sum(not o for _, o, _ in kept)
         assert window.median() == (good[len(good) // 2] if good else None)
         assert window.above(5.0) == sum(m > 5 for m in good)
+
+
+def test_streamed_queries_run_in_a_session_without_the_state_store_setting(spark):
+    key, plain = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    held, parts = spark.conf.get(key), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set(key, plain)
+    try:
+        assert catalog.queries()["stream_epochs"](spark, DATA).count() > 0
+        assert spark.conf.get(key) == plain and spark.conf.get("spark.sql.shuffle.partitions") == parts
+    finally:
+        spark.conf.set(key, held)
