@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ladders as L
 from ..params import Params
-from ..plans.sequence import Layout, frame_count, frame_sum, last_known, scan, trailing
+from ..plans.sequence import Layout, frame_count, frame_sum, last_known, scan, spread, trailing
 from ..sources.recording import BASE, Recording
 from . import windows as W
 
@@ -222,7 +222,7 @@ def timeline(rec: Recording, needs: Iterable[str] = STATES, every_tick: bool = T
         parts.append(rows(rec.iface_lost(), False, nothing.alias("tput_now")))
 
     df = scan(
-        reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts),
+        spread(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), rec.layout),
         ["session_id"],
         rec.layout,
         [*INSTANT, "evaluates"],
@@ -231,6 +231,15 @@ def timeline(rec: Recording, needs: Iterable[str] = STATES, every_tick: bool = T
     )
     peers = ["is_tick", "seq", "evaluates"]
     extra = []
+    # The density frames go first: they find the rows in the order of the scan above.
+    if "env" in needs:
+        df = trailing(
+            df,
+            ["session_id"],
+            rec.layout,
+            peers,
+            **W.half_frames("aps", p.us(p.density_lookback), p, "env"),
+        )
     if "sig" in needs:
         df = trailing(
             df.withColumn("sig_epoch", F.col("sig.epoch")),
@@ -242,12 +251,5 @@ def timeline(rec: Recording, needs: Iterable[str] = STATES, every_tick: bool = T
         held = F.col("sig_epoch").isNotNull()
         extra.append(F.when(held, W.half_delta("sig")).alias("rssi_delta"))
     if "env" in needs:
-        df = trailing(
-            df,
-            ["session_id"],
-            rec.layout,
-            peers,
-            **W.half_frames("aps", p.us(p.density_lookback), p, "env"),
-        )
         extra.append(W.half_delta("env").alias("density_delta"))
     return df.where("evaluates = 1").select("session_id", *INSTANT, *needs, *extra)

@@ -65,3 +65,18 @@ def test_dense_frames_are_selected_not_collected(spark, name):
     whole = catalog.flat(operator(lens.recording(spark, DATA)))
     dense = catalog.flat(operator(lens.recording(spark, DATA, Layout(37, 11 * HOUR, frame_rows=3))))
     assert rows_of(whole.columns, whole.collect()) == rows_of(dense.columns, dense.collect())
+
+
+def test_a_larger_log_is_spread_over_more_tasks(spark, monkeypatch):
+    from linklore.operators import timeline
+    from linklore.plans import sequence
+
+    monkeypatch.setattr(sequence, "ROWS_PER_TASK", 40)
+    log = lens.recording(spark, DATA).log()
+    layout = sequence.choose_layout(log)
+    assert layout.tasks == max(8, -(-log.count() // 40)) > 8 and not layout.split
+    wide = timeline.timeline(lens.recording(spark, DATA, layout))
+    # Adaptive execution joins no parts of a timeline that was spread.
+    assert wide.rdd.getNumPartitions() == layout.tasks
+    plain = timeline.timeline(lens.recording(spark, DATA, sequence.WHOLE))
+    assert wide.count() == plain.count() and wide.exceptAll(plain).isEmpty()
