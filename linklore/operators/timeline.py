@@ -133,7 +133,7 @@ def link_environment(rec: Recording) -> DataFrame:
         rec.scans.select(*BASE, heard.alias("scan_now")), allowMissingColumns=True
     )
     df = scan(
-        rows,
+        spread(rows, rec.layout),
         ["session_id"],
         rec.layout,
         link=last_known(F.col("link_now")),

@@ -23,6 +23,7 @@ from ..plans.sequence import (
     previous,
     running,
     scan,
+    spread,
     trailing,
 )
 from ..plans.selection import frame_count_above, frame_value_at_rank
@@ -67,6 +68,7 @@ def _latency_frames(
         "n": frame_count(F.lit(1), span),
         "bad": frame_count(F.when(~ok, 1), span),
     }
+    rows = spread(rows, rec.layout)
     if rec.layout.split:
         rows = materialize(rows)
         sized = materialize(trailing(rows, SESSION, rec.layout, **counts))
@@ -161,7 +163,7 @@ def association_epochs(rec: Recording) -> DataFrame:
         number.alias("noise_dbm"),
     )
     df = scan(
-        link.unionByName(gone),
+        spread(link.unionByName(gone), rec.layout),
         SESSION,
         rec.layout,
         before=previous("lost", "ssid", "bssid"),
@@ -249,7 +251,7 @@ def half_delta(name: str) -> Column:
 def density_window(rec: Recording) -> DataFrame:
     p = rec.params
     df = trailing(
-        rec.scans,
+        spread(rec.scans, rec.layout),
         SESSION,
         rec.layout,
         samples=frame_count(F.lit(1), p.us(p.trend_span)),
@@ -279,7 +281,7 @@ def counter_epochs(rec: Recording) -> DataFrame:
         *[F.lit(None).cast("bigint").alias(c) for c in _COUNTS],
     )
     df = scan(
-        rows.unionByName(gone),
+        spread(rows.unionByName(gone), rec.layout),
         SESSION,
         rec.layout,
         before=previous("lost", "interface", "rx_bytes", "tx_bytes"),

@@ -40,7 +40,7 @@ class Layout:
     segment_us: int | None = None
     #: Frames of a split session with more rows are never collected.
     frame_rows: int = 20_000
-    #: How many tasks share a merged timeline; None leaves it to the session's settings.
+    #: How many tasks share the rows of a stream or timeline; None leaves it to the session's settings.
     tasks: int | None = None
 
     @property
@@ -53,7 +53,7 @@ WHOLE = Layout()
 #: A session above this many rows is cut into segments.
 MAX_SESSION_ROWS = 1_000_000
 
-#: Log rows a task of a merged timeline is meant to hold.
+#: Log rows a task is meant to hold.
 ROWS_PER_TASK = 100_000
 
 
@@ -326,7 +326,9 @@ def _frame(name: str, f: _Frame, part: list[str], order: list[str]) -> Column:
 
     if f.end is not None:
         return before(f.end) - before(f.start)
-    return F.col(f"_upto_{name}") - before(f.start)
+    # Rows without a time come first and are their own frame.
+    upto = F.col(f"_upto_{name}")
+    return F.when(F.col("at_us").isNull(), upto).otherwise(upto - before(f.start))
 
 
 # --------------------------------------------------------------------------

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ladders as L
 from ..params import Params
-from ..plans.sequence import Layout, choose_layout, running, scan
+from ..plans.sequence import Layout, choose_layout, running, scan, spread
 from .recording import BASE, Recording
 
 HOUR_US = 3_600_000_000
@@ -121,7 +121,7 @@ def counters(df: DataFrame, layout: Layout) -> DataFrame:
         F.col("k").cast("bigint").alias("k"),
         (F.col("value").cast("bigint") * scale).alias("rx"),
     )
-    df = scan(df, ["session_id"], layout, epoch=running((F.col("k") % 20 == 0).cast("int")))
+    df = scan(spread(df, layout), ["session_id"], layout, epoch=running((F.col("k") % 20 == 0).cast("int")))
     df = scan(
         df,
         ["session_id", "epoch"],

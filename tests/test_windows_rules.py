@@ -154,3 +154,11 @@ def test_elevated_at_exactly_twice_the_median(spark, make):
     whole = W.gateway_window(make(gateway=rows))
     cut = W.gateway_window(make(layout=Layout(3, 3000, frame_rows=2), gateway=rows))
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, cut.collect()))
+
+
+def test_probes_without_a_time_are_their_own_frame(make):
+    """They come before all others: each counts those of its kind up to itself."""
+    rows = [gateway("s", i, 0, 5.0) for i in range(3)]
+    rows = [(*r[:2], None, *r[3:]) for r in rows] + [gateway("s", 3, 10, 5.0), gateway("s", 4, 11, 5.0)]
+    got = W.gateway_window(make(gateway=rows)).orderBy("seq").collect()
+    assert [r["n"] for r in got] == [1, 2, 3, 1, 2]
