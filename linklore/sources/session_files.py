@@ -167,10 +167,12 @@ def header_status(value: Column, kind: str = DEFAULT_KIND) -> Column:
 
 def headers(rows: DataFrame, kind: str = DEFAULT_KIND, files: DataFrame | None = None) -> DataFrame:
     """One row per session with its header fields and a ``status``, from the
-    first line of each.  ``files`` adds sessions without any line."""
-    df = rows.groupBy("session_id").agg(F.min(F.struct("seq", "value")).alias("f")).select(
-        "session_id", F.col("f.seq").alias("header_seq"), F.col("f.value").alias("value")
-    )
+    first line of each.  ``files`` adds sessions without any line.  ``others``
+    counts the rows that are no complete events, the header among them."""
+    df = rows.groupBy("session_id").agg(
+        F.min(F.struct("seq", "value")).alias("f"),
+        F.count_if(~F.col("is_good")).alias("others"),
+    ).select("session_id", F.col("f.seq").alias("header_seq"), F.col("f.value").alias("value"), "others")
     if files is not None:
         df = files.join(df, "session_id", "left")
 
@@ -186,6 +188,7 @@ def headers(rows: DataFrame, kind: str = DEFAULT_KIND, files: DataFrame | None =
         field(F.col("value"), "tool_version").alias("tool_version"),
         field(F.col("value"), "label").alias("label"),
         status.alias("status"),
+        "others",
     )
 
 
@@ -277,6 +280,10 @@ class SessionScan:
         """All events.  An unreadable session or a rejected row is an error here,
         whatever variant is read later.  On a landed table the check reads the small
         folders of headers and rejected rows only."""
+        # One pass tells both; only the header of a readable session is no event.
+        amiss = self.sessions.where("status <> 'ok' or others > 1").limit(1).count()
+        if not amiss:
+            return self.rows.where("is_good")
         broken = self.sessions.where("status <> 'ok'").select("session_id", "status").first()
         if broken is not None:
             raise SessionError(f"{broken['session_id']}: {broken['status']}")

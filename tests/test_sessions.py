@@ -318,3 +318,21 @@ def test_late_rows_are_counted(spark, tmp_path):
     append(src, "s", [row(4, at="2026-05-28T19:05:00Z"), row(5, at="2026-05-28T19:31:00Z")])
     assert land() == 1
     assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/live").collect()) == [1, 2, 3, 5]
+
+
+def test_whole_sessions_are_checked_in_one_pass(spark, tmp_path, monkeypatch):
+    """Sound files need no second look for the first wrong row; a wrong one is still named."""
+    header = '{"row":"header","kind":"%s","format_version":2,"created_at":"2024-01-01T00:00:00Z","tool_version":"1","label":null}' % SF.DEFAULT_KIND
+    event = (
+        '{"row":"envelope","id":1,"at":"2024-01-01T00:00:01Z","source":"iface",'
+        '"event":{"type":"SensorHealth","sensor":"iface","state":"Stale","backend":"b","detail":null}}'
+    )
+    (tmp_path / "a.jsonl").write_text("\n".join([header, event, event]))
+    looked = []
+    second = SF.SessionScan.bad
+    monkeypatch.setattr(SF.SessionScan, "bad", lambda self: looked.append(1) or second(self))
+    assert SF.scan_sessions(spark, str(tmp_path)).strict().count() == 2 and not looked
+    (tmp_path / "b.jsonl").write_text("\n".join([header, event, "{"]))
+    with pytest.raises(SF.SessionError, match="BadJson in .*b.jsonl, line 3"):
+        SF.scan_sessions(spark, str(tmp_path)).strict()
+    assert looked
