@@ -21,6 +21,8 @@ from . import windows as W
 
 EVALUATED = ("GatewayLatency", "DnsLatency", "Scan", "Wifi")
 INSTANT = ["at_us", "is_tick", "seq"]
+CHANNEL = ["session_id", "scan_seq", "channel_number"]
+NETWORK = ["session_id", "scan_seq", "ssid"]
 _TICKS_PER_CHUNK = 4096
 # Places in a scan below 2^43, signals within +-2^19 dBm.
 _PLACE_BITS = 43
@@ -66,6 +68,7 @@ def ticks(rec: Recording, every: bool = True) -> DataFrame:
         slots = near.distinct().join(ends, "session_id")
     if rec.layout.split:
         slots = slots.repartition("session_id", "slot")
+    slots = spread(slots, rec.layout)
     place = lambda us: F.ceil((us - F.col("first_us")) / step).cast("bigint")
     begin = F.greatest(place(F.col("slot") * slot), F.lit(0).cast("bigint"))
     end = F.least(place((F.col("slot") + 1) * slot), F.col("n")) - 1
@@ -87,9 +90,10 @@ def instants(rec: Recording, every_tick: bool = True) -> DataFrame:
 
 def channel_counts(rec: Recording) -> DataFrame:
     """Access points per channel number of each scan."""
+    known = rec.neighbors.where(F.col("channel_number").isNotNull())
     return (
-        rec.neighbors.where(F.col("channel_number").isNotNull())
-        .groupBy("session_id", "scan_seq", "channel_number")
+        spread(known, rec.layout, *CHANNEL)
+        .groupBy(*CHANNEL)
         .agg(F.count(F.lit(1)).alias("ap_count"))
     )
 
@@ -103,18 +107,18 @@ def same_ssid_best(rec: Recording) -> DataFrame:
     # One whole number orders by signal and then by place in the scan, so the
     # grouping stays a hash aggregate (a struct maximum would sort every row).
     strength = F.shiftleft(F.col("rssi_dbm").cast("bigint"), _PLACE_BITS) - F.col("pos")
-    per_ap = known.groupBy("session_id", "scan_seq", "ssid", "bssid").agg(
-        F.max(strength).alias("strength")
-    )
-    rank = F.row_number().over(
-        Window.partitionBy("session_id", "scan_seq", "ssid").orderBy(F.desc("strength"))
+    per_ap = (
+        spread(known, rec.layout, *NETWORK)
+        .groupBy(*NETWORK, "bssid")
+        .agg(F.max(strength).alias("strength"))
     )
+    rank = F.row_number().over(Window.partitionBy(*NETWORK).orderBy(F.desc("strength")))
     rssi = F.shiftright(F.col("strength") + ((1 << _PLACE_BITS) - 1), _PLACE_BITS)
     ap = F.struct("bssid", rssi.cast("int").alias("rssi_dbm"))
     return (
         per_ap.withColumn("rank", rank)
         .where(F.col("rank") <= 2)
-        .groupBy("session_id", "scan_seq", "ssid")
+        .groupBy(*NETWORK)
         .agg(
             F.max(F.when(F.col("rank") == 1, ap)).alias("best"),
             F.max(F.when(F.col("rank") == 2, ap)).alias("runner_up"),
@@ -147,8 +151,8 @@ def link_environment(rec: Recording) -> DataFrame:
         F.col("link.channel_number").alias("channel_number"),
         F.col("link.ssid").alias("ssid"),
     )
-    df = df.join(channel_counts(rec), ["session_id", "scan_seq", "channel_number"], "left")
-    df = df.join(same_ssid_best(rec), ["session_id", "scan_seq", "ssid"], "left")
+    df = spread(df, rec.layout, *CHANNEL).join(channel_counts(rec), CHANNEL, "left")
+    df = spread(df, rec.layout, *NETWORK).join(same_ssid_best(rec), NETWORK, "left")
     other = F.when(F.col("best.bssid") != F.col("link.bssid"), F.col("best")).otherwise(
         F.when(F.col("best").isNotNull(), F.col("runner_up"))
     )

@@ -111,13 +111,14 @@ def position() -> _Spec:
     return running(F.lit(1))
 
 
-def spread(df: DataFrame, layout: Layout) -> DataFrame:
-    """Whole sessions over as many tasks as the log asks for.  Adaptive execution joins small
-    shuffle parts by their compressed size, and wide rows that repeat their neighbours
-    compress so well that a task would get far more of them than its memory takes."""
+def spread(df: DataFrame, layout: Layout, *keys: str) -> DataFrame:
+    """Whole sessions (or whole groups of ``keys``) over as many tasks as the log asks for.
+    Adaptive execution joins small shuffle parts by their compressed size, and wide rows that
+    repeat their neighbours compress so well that a task would get far more of them than its
+    memory takes.  Two sides of a join spread by all its keys are not exchanged again."""
     if layout.split or layout.tasks is None:
         return df
-    return df.repartition(layout.tasks, "session_id")
+    return df.repartition(layout.tasks, *(keys or ("session_id",)))
 
 
 def scan(

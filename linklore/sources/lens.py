@@ -177,7 +177,11 @@ def health(df: DataFrame) -> DataFrame:
     )
 
 
-def neighbors(scans: DataFrame, lineitem: DataFrame) -> DataFrame:
+def _part() -> Column:
+    return F.floor(F.col("seq") / 5).cast("bigint")
+
+
+def neighbors(scans: DataFrame, lineitem: DataFrame, layout: Layout) -> DataFrame:
     """Scan ``n`` hears the line items of part ``n div 5``."""
     number = _pick(CHANNELS, F.col("l_suppkey") % 5, "int")
     items = lineitem.select(
@@ -192,10 +196,10 @@ def neighbors(scans: DataFrame, lineitem: DataFrame) -> DataFrame:
     heard = scans.select(
         "session_id",
         F.col("seq").alias("scan_seq"),
-        F.floor(F.col("seq") / 5).cast("bigint").alias("part"),
+        _part().alias("part"),
     )
     text = F.lit(None).cast("string")
-    return heard.join(items, "part").select(
+    return spread(heard, layout, "part").join(spread(items, layout, "part"), "part").select(
         "session_id",
         "scan_seq",
         F.col("item").alias("pos"),
@@ -211,6 +215,17 @@ def neighbors(scans: DataFrame, lineitem: DataFrame) -> DataFrame:
     )
 
 
+def neighbor_counts(scans: DataFrame, lineitem: DataFrame, layout: Layout) -> DataFrame:
+    """How many rows :func:`neighbors` has for each scan, from the counts of both sides."""
+    items = spread(lineitem.select(F.col("l_partkey").alias("part")), layout, "part")
+    items = items.groupBy("part").agg(F.count(F.lit(1)).alias("items"))
+    heard = scans.groupBy("session_id", "seq").agg(F.count(F.lit(1)).alias("copies"))
+    heard = spread(heard.withColumn("part", _part()), layout, "part")
+    return heard.join(items, "part").select(
+        "session_id", "seq", (F.col("copies") * F.col("items")).alias("n_neighbors")
+    )
+
+
 def log_of(raw: DataFrame) -> DataFrame:
     """The payload-free log of an event table, batch or streaming."""
     return events(raw).select(
@@ -233,13 +248,14 @@ def recording(
     def scan_rows() -> DataFrame:
         return events(raw, "signup").where(F.col("k") % 3 != 0).select(*BASE)
 
+    def lineitem() -> DataFrame:
+        return spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+
     def heard() -> DataFrame:
-        return neighbors(scan_rows(), spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+        return neighbors(scan_rows(), lineitem(), layout)
 
     def scans() -> DataFrame:
-        sizes = heard().groupBy("session_id", F.col("scan_seq").alias("seq")).agg(
-            F.count(F.lit(1)).alias("n_neighbors")
-        )
+        sizes = neighbor_counts(scan_rows(), lineitem(), layout)
         return scan_rows().join(sizes, ["session_id", "seq"], "left").select(
             *BASE,
             F.lit("en0").alias("interface"),

@@ -80,3 +80,50 @@ def test_a_larger_log_is_spread_over_more_tasks(spark, monkeypatch):
     assert wide.rdd.getNumPartitions() == layout.tasks
     plain = timeline.timeline(lens.recording(spark, DATA, sequence.WHOLE))
     assert wide.count() == plain.count() and wide.exceptAll(plain).isEmpty()
+
+
+def test_steps_over_a_larger_log_are_spread(spark, monkeypatch):
+    """Access points, lifecycle and landmarks take the tasks of the log, whatever their parts weigh."""
+    from linklore.operators import landmarks, lifecycle, timeline
+    from linklore.plans import sequence
+
+    monkeypatch.setattr(sequence, "ROWS_PER_TASK", 40)
+    layout = sequence.choose_layout(lens.recording(spark, DATA).log())
+    wide, plain = (lens.recording(spark, DATA, x) for x in (layout, sequence.WHOLE))
+    steps = {
+        "channels": timeline.channel_counts,
+        "networks": timeline.same_ssid_best,
+        "environment": timeline.link_environment,
+        # Closings come from one part of the rows each; what is emitted is joined.
+        "emitted": lambda r: lifecycle.findings(r).where("lifecycle <> 'Resolved'"),
+        "active": lambda r: lifecycle.active_findings(lifecycle.findings(r), r.layout),
+        "published": lambda r: landmarks.published(r, lifecycle.findings(r)),
+        "health": landmarks.from_health,
+        "gateway": landmarks.from_gateway,
+        "dns": landmarks.from_dns,
+        "throughput": landmarks.from_throughput,
+    }
+    for name, step in steps.items():
+        found, same = step(wide), step(plain)
+        parts = found.rdd.getNumPartitions()
+        assert parts == layout.tasks, name
+        assert rows_of(found.columns, found.collect()) == rows_of(same.columns, same.collect()), name
+
+
+def test_scan_sizes_are_counted_without_the_pairs(spark):
+    """Sizes are those of the neighbours, with repeated scans, repeated items and missing keys."""
+    from linklore.plans.sequence import WHOLE
+
+    base = "session_id bigint, seq bigint, at_us bigint"
+    scans = spark.createDataFrame(
+        [(1, 5, 0), (1, 5, 0), (1, 9, 1), (2, 10, 2), (2, None, 3), (None, 11, 4), (3, 99, 5)], base
+    )
+    lines = [(7, 1, 3, 1, 4.0), (8, 1, 3, 1, 4.0), (8, 1, 3, 1, 4.0), (9, 2, 5, 2, 9.0), (9, None, 5, 2, 9.0)]
+    items = spark.createDataFrame(
+        lines, "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double"
+    )
+    for layout in (WHOLE, Layout(tasks=5)):
+        counted = lens.neighbor_counts(scans, items, layout)
+        listed = lens.neighbors(scans, items, layout).groupBy("session_id", "scan_seq").count()
+        assert sorted(map(tuple, counted.collect()), key=repr) == sorted(map(tuple, listed.collect()), key=repr)
+        assert counted.count() == 4
