@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..functions import ladders as L
 from ..params import Params
 from ..plans.sequence import (
+    WHOLE,
     Layout,
     last_known,
     materialize,
@@ -29,6 +30,7 @@ from ..plans.sequence import (
     running_min,
     scan,
     settle,
+    spread,
 )
 from ..sources.recording import Recording
 from . import rules as R
@@ -69,7 +71,7 @@ def transitions(
     )
     order = [*INSTANT, "closes"]
     rows = scan(
-        rows,
+        spread(rows, layout),
         FINGERPRINT,
         layout,
         order,
@@ -91,8 +93,9 @@ def transitions(
     rows = materialize(rows)
     marks = rows.where("closes = 0").select(*EPISODE, *INSTANT, "confidence")
     chain = _chain_split if layout.split else _chain_whole
-    emitted = chain(marks, p, layout).join(
-        rows.where("closes = 0"), [*EPISODE, *INSTANT]
+    row = [*EPISODE, *INSTANT]
+    emitted = spread(chain(marks, p, layout), layout, *row).join(
+        spread(rows.where("closes = 0"), layout, *row), row
     )
     closed = rows.where("closes = 1").withColumn("lifecycle", F.lit("Resolved"))
     return _finding(emitted, False).unionByName(_finding(closed, True))
@@ -121,8 +124,9 @@ def _closings(
 ) -> DataFrame:
     """One row per resolution: the instant at which a fingerprint is closed."""
     late = p.us(p.resolved_after)
+    candidates = spread(candidates.select(*FINGERPRINT, *INSTANT), layout)
     seen = scan(
-        candidates.select(*FINGERPRINT, *INSTANT),
+        candidates,
         FINGERPRINT,
         layout,
         INSTANT,
@@ -159,7 +163,7 @@ def _closings(
         (-F.col("seq")).alias("back_seq"),
     )
     merged = scan(
-        merged,
+        spread(merged, layout),
         ["session_id"],
         layout,
         ["back_us", "asks", "back_tick", "back_seq"],
@@ -180,7 +184,7 @@ def _material(delta, p: Params):
 def _chain_whole(marks: DataFrame, p: Params, layout: Layout) -> DataFrame:
     """Fold an episode's (time, confidence) pairs inside the JVM."""
     step = F.struct(*INSTANT, "confidence")
-    ordered = marks.groupBy(*EPISODE).agg(F.sort_array(F.collect_list(step)).alias("steps"))
+    ordered = spread(marks, layout).groupBy(*EPISODE).agg(F.sort_array(F.collect_list(step)).alias("steps"))
     hit = "struct<at_us:bigint,is_tick:int,seq:bigint,lifecycle:string>"
     start = F.struct(
         F.lit(None).cast("bigint").alias("at_us"),
@@ -316,13 +320,14 @@ def _chain_split(marks: DataFrame, p: Params, layout: Layout) -> DataFrame:
     )
 
 
-def active_findings(found: DataFrame) -> DataFrame:
+def active_findings(found: DataFrame, layout: Layout = WHOLE) -> DataFrame:
     """Latest transition per fingerprint, unless it resolved."""
     newest = F.max_by(
         F.struct(*[c for c in found.columns if c not in FINGERPRINT]), F.struct(*INSTANT)
     )
     return (
-        found.groupBy(*FINGERPRINT)
+        spread(found, layout)
+        .groupBy(*FINGERPRINT)
         .agg(newest.alias("f"))
         .where("f.lifecycle <> 'Resolved'")
         .select(*FINGERPRINT, "f.*")

@@ -236,7 +236,7 @@ def _state(rec: Recording) -> DataFrame:
 
 
 def _active(rec: Recording) -> DataFrame:
-    return C.active_findings(C.findings(rec))
+    return C.active_findings(C.findings(rec), rec.layout)
 
 
 def _epochs(rec: Recording) -> DataFrame:
