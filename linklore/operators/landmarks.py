@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ladders as L
 from ..functions.text import fixed, rate
-from ..plans.sequence import last_known, position, previous, running, running_min, scan
+from ..plans.sequence import last_known, position, previous, running, running_min, scan, spread
 from ..sources.recording import BASE, Recording
 from . import windows as W
 from .timeline import INSTANT, slice_of
@@ -57,7 +57,7 @@ def published(rec: Recording, found: DataFrame) -> DataFrame:
     )
     rows = found.withColumn("tie", F.col("seq")).drop("seq").withColumn("is_finding", F.lit(1))
     df = scan(
-        events.unionByName(rows, allowMissingColumns=True),
+        spread(events.unionByName(rows, allowMissingColumns=True), rec.layout),
         SESSION,
         rec.layout,
         ["at_us", "is_tick", "tie", "is_finding"],
@@ -69,7 +69,7 @@ def published(rec: Recording, found: DataFrame) -> DataFrame:
 
 def health_changes(rec: Recording) -> DataFrame:
     """Health rows whose state differs from the sensor's previous one."""
-    df = scan(rec.health, ["session_id", "sensor"], rec.layout, prev=previous("state"))
+    df = scan(spread(rec.health, rec.layout), ["session_id", "sensor"], rec.layout, prev=previous("state"))
     return df.where(F.col("prev").isNull() | (F.col("prev.state") != F.col("state"))).withColumn(
         "prev_state", F.col("prev.state")
     ).drop("prev")
@@ -100,7 +100,7 @@ def gateway_stances(rec: Recording) -> DataFrame:
     )
     busy = W.step_rate(rec).where("regime <> 'idle'").select(*BASE, F.lit(False).alias("is_probe"))
     df = scan(
-        probes.unionByName(busy, allowMissingColumns=True),
+        spread(probes.unionByName(busy, allowMissingColumns=True), rec.layout),
         SESSION,
         rec.layout,
         active_us=last_known(F.when(~F.col("is_probe"), F.col("at_us"))),
@@ -167,7 +167,7 @@ def from_gateway(rec: Recording) -> DataFrame:
 
 def from_dns(rec: Recording) -> DataFrame:
     """Every flip between answering and failing, queries mixed."""
-    df = scan(rec.dns, SESSION, rec.layout, prev=previous("answered"))
+    df = scan(spread(rec.dns, rec.layout), SESSION, rec.layout, prev=previous("answered"))
     df = df.where(F.col("prev.answered") != F.col("answered"))
     via = F.concat("query", F.lit(" via "), "resolver")
     why = F.coalesce(F.concat(F.lit(" ("), "error", F.lit(")")), F.lit(""))
@@ -250,7 +250,7 @@ def around_playhead(marks: DataFrame, playheads: DataFrame, rec: Recording) -> D
     if rec.layout.split:
         segment = F.floor(F.coalesce("commit_seq", ph) / rec.layout.segment_rows).cast("bigint")
     df = scan(
-        playheads.join(marks, "session_id", "left"),
+        spread(playheads, rec.layout).join(spread(marks, rec.layout), "session_id", "left"),
         keys,
         rec.layout,
         ["commit_seq", "category"],

@@ -409,7 +409,7 @@ def elapsed_since_last(df: DataFrame, now_us: DataFrame, p) -> DataFrame:
 
 def rolling_median(rec: Recording) -> DataFrame:
     """Upper median over the last probes, unreachable ones included."""
-    return _last_probes(rec.gateway, rec.params.median_probes, rec.layout)
+    return _last_probes(spread(rec.gateway, rec.layout), rec.params.median_probes, rec.layout)
 
 
 def _last_probes(gateway: DataFrame, n: int, layout: Layout) -> DataFrame:
@@ -443,7 +443,7 @@ def step_rate(rec: Recording) -> DataFrame:
     neither total falls; interface and losses are ignored."""
     p = rec.params
     df = scan(
-        rec.counters.select(*BASE, "rx_bytes", "tx_bytes"),
+        spread(rec.counters.select(*BASE, "rx_bytes", "tx_bytes"), rec.layout),
         SESSION,
         rec.layout,
         prev=previous("at_us", "rx_bytes", "tx_bytes"),
