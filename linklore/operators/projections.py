@@ -556,7 +556,8 @@ def latest_health(rec: Recording) -> DataFrame:
 
 def state_as_of(rec: Recording, playheads: DataFrame, findings: DataFrame | None = None) -> DataFrame:
     """Everything the dashboard knows at a playhead, one row per session:
-    a fresh computation over the events up to it."""
+    a fresh computation over the events up to it.  ``findings`` may be those of the recording
+    as the playheads see it (:meth:`Recording.seen_by`)."""
     past = rec.up_to(playheads)
     seen = past.log().groupBy(*SESSION).agg(F.count(F.lit(1)).alias("events"))
     parts = [
@@ -578,7 +579,7 @@ def state_as_of(rec: Recording, playheads: DataFrame, findings: DataFrame | None
             playheads.select(*SESSION, "playhead_us"), "session_id"
         ).where(F.col("at_us") <= F.col("playhead_us"))
         parts.append(
-            lifecycle.active_findings(upto.drop("playhead_us"))
+            lifecycle.active_findings(upto.drop("playhead_us"), rec.layout)
             .groupBy(*SESSION)
             .agg(F.count(F.lit(1)).alias("active_findings"))
         )

@@ -37,7 +37,7 @@ from ..streaming import epochs as live_epochs
 from ..streaming import findings as live_findings
 from ..streaming import tail as stream
 from ..streaming import windows as live
-from .sequence import scratch_folder, tasks_for
+from .sequence import per_session, scratch_folder, tasks_for
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -232,7 +232,8 @@ def _around(rec: Recording) -> DataFrame:
 
 
 def _state(rec: Recording) -> DataFrame:
-    return P.state_as_of(rec, _playheads(rec), C.findings(rec))
+    heads = per_session(_playheads(rec))
+    return P.state_as_of(rec, heads, C.findings(rec.seen_by(heads)))
 
 
 def _active(rec: Recording) -> DataFrame:

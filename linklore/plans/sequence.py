@@ -349,6 +349,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: A table with one row a session is sent to every task up to this many rows.
+BROADCAST_ROWS = 500_000
+
+
+def per_session(df: DataFrame) -> DataFrame:
+    """A few numbers of each session, written once; sent to every task where few enough."""
+    df = materialize(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share.  Only a local session may make its own."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -12,12 +12,12 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ladders as L
 from ..params import DEFAULTS, Params
-from ..plans.sequence import WHOLE, Layout
+from ..plans.sequence import WHOLE, Layout, per_session
 
 BASE = ["session_id", "seq", "at_us"]
 #: What an envelope read from a file also carries, so that it can be written back.
@@ -163,6 +163,42 @@ class Recording:
             self.session_type,
         )
 
+    def seen_by(self, playhead: DataFrame) -> Recording:
+        """Every stream without what no instant up to a playhead can see: ``playhead`` has one row
+        per session with ``session_id`` and ``playhead_us``.
+
+        Left out are the rows behind the playhead's time that also come, in the order of the log,
+        after every row that is not behind it.  Windows in either order look backward, so what is
+        derived for the instants up to the playhead stays the same; later instants are incomplete."""
+        at, head = F.col("at_us"), F.col("playhead_us")
+        last = (
+            self.log()
+            .join(playhead.select("session_id", "playhead_us"), "session_id")
+            .groupBy("session_id", "playhead_us")
+            .agg(F.max(F.when(at.isNull() | ~(at > head), F.col("seq"))).alias("last_seq"))
+        )
+        last = per_session(
+            last.select(
+                F.col("session_id").alias("_session"),
+                F.col("playhead_us").alias("_head_us"),
+                F.col("last_seq").alias("_last_seq"),
+            )
+        )
+
+        def cut(df: DataFrame, seq: str, late: Column) -> DataFrame:
+            kept = ~F.coalesce(late & (F.col(seq) > F.col("_last_seq")), F.lit(False))
+            return df.join(last, (F.col("session_id") == F.col("_session")) & kept, "left_semi")
+
+        after = F.col("at_us") > F.col("_head_us")
+        return Recording(
+            self.spark,
+            {name: (lambda n=name: cut(self.stream(n), "seq", after)) for name in self.streams},
+            None if self.neighbor_rows is None else (lambda: cut(self.neighbors, "scan_seq", F.lit(True))),
+            self.layout,
+            self.params,
+            self.session_type,
+        )
+
     def up_to(self, playhead: DataFrame) -> Recording:
         """Every stream cut at a playhead: ``playhead`` has one row per session
         with ``session_id`` and ``playhead_seq``."""

@@ -127,3 +127,21 @@ def test_scan_sizes_are_counted_without_the_pairs(spark):
         listed = lens.neighbors(scans, items, layout).groupBy("session_id", "scan_seq").count()
         assert sorted(map(tuple, counted.collect()), key=repr) == sorted(map(tuple, listed.collect()), key=repr)
         assert counted.count() == 4
+
+
+def test_findings_to_a_playhead_need_only_what_it_sees(spark):
+    from linklore.operators import lifecycle
+    from linklore.operators.projections import half_way
+
+    rec = lens.recording(spark, DATA)
+    heads = half_way(rec)
+    seen = rec.seen_by(heads)
+    ends = {r.session_id: r for r in heads.collect()}
+    assert sorted(map(tuple, seen.log().collect())) == sorted(
+        tuple(r) for r in rec.log().collect() if r.at_us <= ends[r.session_id].playhead_us
+    )
+    whole, cut = (
+        lifecycle.findings(r).join(heads, "session_id").where("at_us <= playhead_us") for r in (rec, seen)
+    )
+    assert whole.count() > 0
+    assert rows_of(whole.columns, whole.collect()) == rows_of(cut.columns, cut.collect())
