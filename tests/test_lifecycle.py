@@ -182,3 +182,31 @@ def test_ticks_grow_with_events_not_with_time(make):
     assert TL.ticks(make(gateway=[gateway("a", 0, 5, 5)]), every=False).count() == TL.ticks(
         make(gateway=[gateway("a", 0, 5, 5)])
     ).count()
+
+
+def test_playheads_see_the_same_findings_where_times_go_back(spark, make):
+    """Times that run against the order of the log, rows without a time and sessions of one row."""
+    rng = random.Random(5)
+    rows = {"gateway": [], "dns": [], "wifi": [], "counters": []}
+    for s in ("a", "b", "c"):
+        for seq in range(260 if s != "c" else 1):
+            at = seq * 2 + rng.choice([0, 0, 0, -25, 30])
+            kind = rng.choice(list(rows))
+            if kind == "gateway":
+                row = gateway(s, seq, at, rng.choice([5, 6, 90]), rng.random() < 0.8)
+            elif kind == "dns":
+                row = dns(s, seq, at, 20, rng.random() < 0.6)
+            elif kind == "wifi":
+                row = wifi(s, seq, at, rng.choice([-50, -60, -80]))
+            else:
+                row = counters(s, seq, at, seq * rng.choice([10, 100_000]))
+            rows[kind].append((*row[:2], None, *row[3:]) if rng.random() < 0.01 else row)
+    rec = make(**rows)
+    ends = "session_id string, playhead_seq bigint, playhead_us bigint"
+    heads = spark.createDataFrame([("a", 130, 250 * S), ("b", 60, 118 * S), ("c", 0, 0)], ends)
+    seen = rec.seen_by(heads)
+    assert seen.log().count() < rec.log().count()
+    whole, cut = (
+        C.findings(r).join(heads, "session_id").where("at_us <= playhead_us").collect() for r in (rec, seen)
+    )
+    assert whole and sorted(map(repr, whole)) == sorted(map(repr, cut))
